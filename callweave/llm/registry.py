@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import token_counts
+from callweave.llm import near_dups, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op6_near_duplicates": near_dups.op6_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {}
