@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import near_dups, token_counts
+from callweave.llm import mixing, near_dups, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op5_mixing": mixing.op5_mixing,
     "op6_near_duplicates": near_dups.op6_near_duplicates,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": mixing.OP5_SQL,
+}
