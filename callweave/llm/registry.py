@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import decontamination, mixing, near_dups, pii, quality, token_counts
+from callweave.llm import decontamination, fingerprints, mixing, near_dups, packing, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op3_packing": packing.op3_packing,
     "op5_mixing": mixing.op5_mixing,
     "op6_near_duplicates": near_dups.op6_near_duplicates,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_quality": quality.op8_quality,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_personal_data": pii.op10_personal_data,
