@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import decontamination, fingerprints, mixing, near_dups, packing, pii, quality, token_counts
+from callweave.llm import decontamination, fingerprints, mixing, near_dups, packing, pii, quality, token_counts, url_lists, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_warc_derivatives": warc.op2_warc_derivatives,
     "op3_packing": packing.op3_packing,
+    "op4_url_lists": url_lists.op4_url_lists,
     "op5_mixing": mixing.op5_mixing,
     "op6_near_duplicates": near_dups.op6_near_duplicates,
     "op7_fingerprints": fingerprints.op7_fingerprints,
@@ -19,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": pii.op10_personal_data,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_lists": url_lists.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
 }
