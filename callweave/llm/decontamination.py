@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import words
+from callweave.llm import frames, words
 from callweave.session import table, written
 
 WINDOW = 10
@@ -253,34 +254,62 @@ def cut(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> list[str]:
     return out
 
 
-def _cut(batches):
+def _cleaned(batches, key, shared, window, coverage):
+    """Cut, and looked at again, until no hit is left; rows over the coverage go."""
+    auto = opened(key, shared.value, window)
     for b in batches:
-        text = pa.array(cut(b.column("text"), b.column("starts"), b.column("ends")), pa.string())
-        yield pa.RecordBatch.from_arrays([text if c == "text" else b.column(c) for c in b.schema.names], b.schema.names)
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+        text = b.column("text")
+        keep = np.ones(b.num_rows, bool)
+        new: dict[int, str] = {}
+        todo, part = np.arange(b.num_rows), text
+        while len(todo):
+            again, starts, ends = [], [], []
+            for w in words.chunks(part, words.ALNUM):
+                for r, (spans, _) in auto.hits(w).items():
+                    k, both = w.first + r, merged(spans)
+                    if sum(y - x for x, y in both) > coverage * w.n[r]:
+                        keep[todo[k]] = False
+                    else:
+                        again.append(k)
+                        starts.append([x for x, _ in both])
+                        ends.append([y for _, y in both])
+            part = pa.array(cut(part.take(pa.array(again, pa.int64())), pa.array(starts, INTS), pa.array(ends, INTS)), pa.string())
+            todo = todo[again]
+            new |= dict(zip(todo.tolist(), part.to_pylist(), strict=True))
+        if new:
+            text = pa.array([new.get(k, t) for k, t in enumerate(text.to_pylist())], pa.string())
+        yield pa.RecordBatch.from_arrays([text if c == "text" else b.column(c) for c in b.schema.names], b.schema.names).filter(pa.array(keep))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, limit: int = ITEM_BYTES) -> DataFrame:
     """docs without benchmark passages, in docs' columns: rows go whose hit words are over `coverage` of all their words; from others the spans of hit words are cut.
 
-    Cutting goes on, on the rows that were cut, until none has a hit: what stood on both sides of a span may match together.
-    Rows without hits keep their text as it is, null or not, and every other column.
+    Cutting goes on until a row has no hit: what stood on both sides of a span may match together. Coverage is that of what is
+    left each time. Rows without hits keep their text as it is, null or not, and every other column. Items beyond one automaton
+    are looked for in turn, and all of them again as long as any row was cut. No shuffle.
     """
-    others = [c for c in docs.columns if c != text_col]
-    names = [f"c{i}" for i in range(len(others))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)], F.col(text_col).isNull().alias("none"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    hit = F.expr("aggregate(zip_with(ends, starts, (e, s) -> e - s), 0, (a, x) -> a + x)")
-    kept = None
-    while True:
-        m = written(matches(rows, benchmark, window))
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in m.schema)
-        clean = m.where(F.size("starts") == 0).select(rows.columns)
-        kept = clean if kept is None else kept.unionByName(clean)
-        rows = m.where((F.size("starts") > 0) & (hit <= coverage * F.col("n_words"))).mapInArrow(_cut, kinds).select(rows.columns)
-        if rows.isEmpty():
+    spark = docs.sparkSession
+    rows, names = frames.plain(docs, text_col)
+    rows = rows.withColumn("none", F.col(f"c{names.index(text_col)}").isNull()).drop(f"c{names.index(text_col)}")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    blocks = item_blocks(benchmark, limit=limit)
+    first, more = next(blocks, []), next(blocks, None)
+
+    def clean(rows, block):
+        shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+        return rows.mapInArrow(lambda bs: _cleaned(bs, key, shared, window, coverage), kinds)
+
+    rows = clean(rows, first)
+    while more is not None:
+        rows = written(rows)
+        before = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+        for block in itertools.chain([more], blocks):
+            rows = written(clean(rows, block))
+        if rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first() == before:
             break
-    text = F.when(~F.col("none"), F.col("text"))
-    order = {c: F.col(n).alias(c) for c, n in zip(others, names, strict=True)} | {text_col: text.alias(text_col)}
-    return kept.select(*[order[c] for c in docs.columns])
+        blocks = item_blocks(benchmark, limit=limit)
+        more = next(blocks)
+    return rows.select(*[F.when(~F.col("none"), F.col("text")).alias(c) if c == text_col else F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callweave.session import table
+from callweave.llm import frames
+from callweave.session import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source's documents are drawn in the order of a seeded hash, which falls into so many ranges: only sums of a range, and the one range where the draw ends, are ordered.
 RANGES = 4096
 SEED = 20
 EPOCHS = 3
+#: Sums of ranges up to this number (some 60 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def n_words(text: Column) -> Column:
@@ -53,7 +56,8 @@ def draws(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS) -> DataFrame:
     up_to = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     plan = sums.withColumn("below", F.coalesce(F.sum("range_size").over(up_to), F.lit(0)))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    plan = plan.join(share, same(plan, share)).select(plan["source"].alias("of"), F.col("range").alias("at"), "range_size", "below", "source_size", "target")
+    plan = written(plan.join(share, same(plan, share)).select(plan["source"].alias("of"), F.col("range").alias("at"), "range_size", "below", "source_size", "target"))
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
     d = d.join(plan, d["source"].eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
     d = d.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long"))
     d = d.withColumn("more", F.floor("target").cast("long") - F.col("whole") * F.col("source_size"))
@@ -76,6 +80,22 @@ def mix(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, id_col: str = "
     return draws(d, seed, epochs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "whole", "part")
 
 
+def mixed(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself, in docs' columns: each row as often as mix() takes it whole, then once more, cut, if it takes a part.
+
+    A part is the first words of the text with single blanks between them; one of all words is the text as it is. Rows
+    without words come as often as their source does whole.
+    """
+    rows, names = frames.plain(docs, text_col, id=id_col, source=source_col)
+    d = draws(rows.withColumn("source", F.col("source").cast("string")).withColumn("size", n_words(F.col("text"))), seed, epochs)
+    cut = F.col("part") < F.col("size")
+    copies = F.concat(F.array_repeat(F.lit(False), F.col("whole").cast("int")), F.when(F.col("part") > 0, F.array(cut)).otherwise(F.array().cast("array<boolean>")))
+    d = d.withColumn("cut", F.explode(copies))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
+    whole = F.col(f"c{names.index(text_col)}")
+    return frames.restored(d, names, F.when(F.col("cut"), first).otherwise(whole), text_col)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

@@ -165,5 +165,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
+#: Ids up to this number (8 bytes each) are broadcast to drop their rows; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, in its columns, with one document of each group of near_duplicates(): the one of the smallest id. Of rows that repeat an id, one stays; rows without an id all stay."""
+    mark = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    key = F.col(f"`{id_col}`").cast("long")
+    go = written(near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
+    own = docs.where(key.isNotNull())
+    again = written(own.groupBy(key.alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again"))
+    out = docs.join(mark(go), key == F.col("__gone"), "left_anti")
+    if again.isEmpty():
+        return out
+    twice = out.join(again, key == F.col("__again"), "left_semi")
+    return out.join(mark(again), key == F.col("__again"), "left_anti").unionByName(twice.dropDuplicates([id_col]))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -1,12 +1,52 @@
-"""A training corpus from raw documents: STAGES, one after the other, each written and read again by whoever runs them."""
+"""A training corpus from raw documents: STAGES, one after the other, each written and read again by whoever runs them.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of
+documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from callweave.llm import decontamination, mixing, near_dups, packing, quality
 from callweave.session import table
 
-STAGES: list = []
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that the quality classifier rejects."""
+    return quality.good(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_a_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id."""
+    return near_dups.deduplicated(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages cut; documents that are mostly such passages gone."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's share of the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of token ids."""
+    return packing.packed(docs, str(public_tokenizers.path("piece_bpe_32k.model")), eos=2)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_good),
+    ("near_duplicates", keep_one_of_a_group),
+    ("decontamination", without_benchmark),
+    ("mixing", mix_sources),
+    ("packing", pack_tokens),
+]
 #: The stages are not expressible in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 

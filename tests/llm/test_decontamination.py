@@ -75,6 +75,15 @@ def test_cutting(spark):
     assert contamination(d, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_cutting_with_blocks_of_items(spark, sf):
+    d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = [(r.item_id, r.text) for r in b.collect()]
+    one = {r.doc_id: r.text for r in decontaminated(d, b).collect()}
+    assert sum(t != r.text for r in d.collect() if (t := one.get(r.doc_id))) > 0
+    assert not any(expect(t, items)[-1] for t in one.values())
+    assert not any(expect(r.text, items)[-1] for r in decontaminated(d, b, limit=4000).collect())
+
+
 def test_automaton_tracks_the_longest_match():
     a = Automaton([("0", "a b a b c"), ("1", "b c")], window=2)
     w = next(words.chunks(pa.array(["a b c a x b c"]), words.ALNUM))
