@@ -18,6 +18,12 @@ BANDS = 32
 EMPTY = np.uint64(MASK := (1 << 64) - 1)
 STEP = words.constants(SLOTS, 17)
 BAND = words.constants(SLOTS, 29)
+#: Rounds in which all of a bucket are held against one member that is drawn, before all that are left are held against each other.
+ROUNDS = 2
+#: Longs of a sketch, 4 bits for each slot; links differ in at most so many slots of it: 4.75 standard deviations from what is expected at the threshold.
+SKETCH = SLOTS // 16
+_SAME = PERCENT / 100 + (1 - PERCENT / 100) / 16
+DIFFERENT = int(SLOTS * (1 - _SAME) + 4.75 * (SLOTS * _SAME * (1 - _SAME)) ** 0.5)
 
 
 def super_minhash(elements: np.ndarray, ptr: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -66,6 +72,9 @@ def swap(places: np.ndarray, step: int, at: np.ndarray) -> np.ndarray:
     return got
 
 
+SKETCHES = [f"s{k}" for k in range(SKETCH)]
+
+
 def _signed(batches):
     for b in batches:
         for w in words.chunks(b.column("text")):
@@ -77,17 +86,19 @@ def _signed(batches):
             for k in range(per):
                 band += sig[:, k::per] * BAND[k]
             band = words.mix(band + BAND[-BANDS:])
+            bits = (words.mix(sig) >> np.uint64(60)).reshape(-1, SKETCH, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+            sketch = np.bitwise_or.reduce(bits, axis=2).view(np.int64)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(words.mix(e ^ BAND[c]))]) for c in (10, 11)]
             digest = [s[ptr[1:]] - s[ptr[:-1]] for s in sums]
             filled = np.where(size > 0, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled)]), pa.int32()), pa.array(band[size > 0].ravel().view(np.int64)))
             ids = b.column("id").slice(w.first, len(size))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), *(pa.array(d.view(np.int64)) for d in digest), lists], ["id", "n", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), *(pa.array(d.view(np.int64)) for d in digest), lists, *(pa.array(sketch[:, k]) for k in range(SKETCH))], ["id", "n", "d1", "d2", "bands", *SKETCHES])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """docs (id long, text string not null) -> id, n (distinct shingles), d1, d2 (of the whole set), bands."""
-    return docs.mapInArrow(_signed, "id long, n long, d1 long, d2 long, bands array<long>")
+    """docs (id long, text string not null) -> id, n (distinct shingles), d1, d2 (of the whole set), bands, s0, s1, ... (4 bits of each slot)."""
+    return docs.mapInArrow(_signed, "id long, n long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCHES))
 
 
 def _verified(batches):
@@ -120,6 +131,25 @@ def fits(a, b):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def close(a: str, b: str):
+    """The sketches of a and b differ in few enough slots."""
+    low = F.lit(0x1111111111111111)
+    total = F.lit(0)
+    for c in SKETCHES:
+        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+        for shift in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.bit_count(x.bitwiseAND(low))
+    return total <= DIFFERENT
+
+
+def spread(met: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
+    """Rows of met in buckets whose members are not all in one group, with their component."""
+    placed = met.join(groups, "id", "left").select(*columns, F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    return placed.join(mixed, "bucket").select(*columns, "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
@@ -131,8 +161,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with equal sets fold into one representative first. Representatives that agree in one of 32 bands of 4 slots
     are candidates (a pair at the threshold is missed once in 200,000). In each bucket all members are held against its most
-    central member, the one whose buckets are largest; then every pair of the bucket whose ends are still in different groups
-    is held against each other. No bucket is capped, and no pair inside a group that is already joined is made.
+    central member, the one whose buckets are largest; then, for some rounds, those not in its group against a member that is
+    drawn; then every pair of the bucket whose ends are still in different groups is held against each other. After the first
+    time a pair is looked at only if its sketches agree in as many slots as a link's do (but for 1 in 500,000). No bucket is
+    capped, and no pair inside a group that is already joined is made.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     signed = written(signatures(rows))
@@ -150,14 +182,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(rows.join(met.select("id").distinct(), "id", "left_semi"))
     links = verified(first, texts)
     groups = components(links)
-    placed = met.join(groups, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = checkpointed(placed.join(mixed, "bucket"))
-    other = rest.toDF("bucket", "id2", "n2", "component2")
-    second = rest.join(other, "bucket").where("id < id2 AND component <> component2").where(fits(F.col("n"), F.col("n2"))).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    more = verified(second.join(first, ["a", "b"], "left_anti"), texts)
-    if not more.isEmpty():
-        groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    rest = spread(met, groups, "bucket", "id", "n")
+    rest = written(rest.drop("component").join(signed.select("id", *SKETCHES).dropDuplicates(["id"]), "id"))
+    tested = first
+    ends = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    apart = fits(F.col("x.n"), F.col("y.n")) & close("x", "y")
+    for k in range(ROUNDS + 1):
+        left = written(spread(rest, groups, *rest.columns))
+        if k < ROUNDS:
+            drawn = left.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("id", F.lit(k)).alias("draw"), *left.columns)).alias("m")).select("m.*")
+            pairs = left.alias("x").join(drawn.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where("x.component <> y.component").where(apart)
+        else:
+            pairs = left.alias("x").join(left.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where("x.id < y.id AND x.component <> y.component").where(apart)
+        pairs = checkpointed(pairs.select(*ends(F.col("x.id"), F.col("y.id"))).distinct().join(tested, ["a", "b"], "left_anti"))
+        more = verified(pairs, texts)
+        if not more.isEmpty():
+            tested = tested.union(pairs)
+            groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     home = classes.join(groups, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     linked = signed.where("id IS NOT NULL AND n > 0").join(home, ["d1", "d2"]).select("id", "n", "component_id")
     alone = signed.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
