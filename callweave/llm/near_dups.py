@@ -20,6 +20,8 @@ STEP = words.constants(SLOTS, 17)
 BAND = words.constants(SLOTS, 29)
 #: Rounds in which all of a bucket are held against one member that is drawn, before all that are left are held against each other.
 ROUNDS = 2
+#: Members of a bucket above which they are compared in blocks of BLOCK, without a row for each pair.
+LARGE, BLOCK = 48, 32
 #: Longs of a sketch, 4 bits for each slot; links differ in at most so many slots of it: 4.75 standard deviations from what is expected at the threshold.
 SKETCH = SLOTS // 16
 _SAME = PERCENT / 100 + (1 - PERCENT / 100) / 16
@@ -150,6 +152,70 @@ def spread(met: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
     return placed.join(mixed, "bucket").select(*columns, "component")
 
 
+def parted(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of buckets of up to LARGE members, and (bucket, block, asks, id, component) of the others: blocks of some BLOCK members.
+
+    asks: block of members outside the bucket's largest group. Those are to meet all blocks, others only those.
+    """
+    groups = left.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    size = groups.groupBy("bucket").agg(F.sum("c").alias("members"), F.max(F.struct("c", "component")).alias("most"))
+    sized = written(left.join(size, "bucket"))
+    large = sized.where(F.col("members") > LARGE)
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.ceil(n / BLOCK))
+    asks = F.when(F.col("component") != F.col("most.component"), deal(F.col("members") - F.col("most.c")))
+    return sized.where(F.col("members") <= LARGE).select(*left.columns), large.select("bucket", deal(F.col("members")).alias("block"), asks.alias("asks"), "id", "component")
+
+
+def blocks_verified(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) between different groups within large buckets. A block is one row, so that the pairs of a bucket are never rows."""
+    whole = rows.join(texts, "id")
+    row = F.struct("id", "component", "text")
+    members = whole.groupBy("bucket", "block").agg(F.collect_list(row).alias("y"))
+    asking = whole.where("asks IS NOT NULL").groupBy("bucket", "asks").agg(F.collect_list(row).alias("x"))
+    return asking.join(members, "bucket").select("x", "y").mapInArrow(_blocks_verified, "a long, b long")
+
+
+def _sets(block: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of all texts, each text's once, with the text's number, and how many each text has."""
+    values, sizes = [], []
+    for w in words.chunks(pa.array([r["text"] for r in block], pa.string())):
+        e, ptr = words.distinct(*words.shingles(w, WORDS))
+        values.append(e)
+        sizes.append(np.diff(ptr))
+    size = np.concatenate(sizes)
+    return np.concatenate(values), np.repeat(np.arange(len(size)), size), size
+
+
+def shared(x: tuple, y: tuple) -> np.ndarray:
+    """How many shingles each text of x has in common with each of y."""
+    common = np.intersect1d(x[0], y[0])
+    out = np.zeros((len(x[2]), len(y[2])), np.float32)
+    for lo in range(0, len(common), 8192):
+        part = common[lo : lo + 8192]
+        has = []
+        for values, of, size in (x, y):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            m = np.zeros((len(size), len(part)), np.float32)
+            m[of[hit], at[hit]] = 1
+            has.append(m)
+        out += has[0] @ has[1].T
+    return out.astype(np.int64)
+
+
+def _blocks_verified(batches):
+    for b in batches:
+        for k in range(b.num_rows):
+            rows = [b.column(c)[k].as_py() for c in ("x", "y")]
+            sets = [_sets(r) for r in rows]
+            both = shared(*sets)
+            ids, group = ([np.array([r[c] for r in side]) for side in rows] for c in ("id", "component"))
+            linked = (100 * both >= PERCENT * (sets[0][2][:, None] + sets[1][2][None, :] - both)) & (both > 0) & (group[0][:, None] != group[1][None, :])
+            i, j = np.nonzero(linked)
+            pairs = np.unique(np.sort(np.stack([ids[0][i], ids[1][j]], axis=1), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
@@ -162,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with equal sets fold into one representative first. Representatives that agree in one of 32 bands of 4 slots
     are candidates (a pair at the threshold is missed once in 200,000). In each bucket all members are held against its most
     central member, the one whose buckets are largest; then, for some rounds, those not in its group against a member that is
-    drawn; then every pair of the bucket whose ends are still in different groups is held against each other. After the first
+    drawn; then every pair of the bucket whose ends are still in different groups is held against each other, in large buckets block by block. After the first
     time a pair is looked at only if its sketches agree in as many slots as a link's do (but for 1 in 500,000). No bucket is
     capped, and no pair inside a group that is already joined is made.
     """
@@ -193,9 +259,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             drawn = left.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("id", F.lit(k)).alias("draw"), *left.columns)).alias("m")).select("m.*")
             pairs = left.alias("x").join(drawn.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where("x.component <> y.component").where(apart)
         else:
+            left, blocks = parted(left)
             pairs = left.alias("x").join(left.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where("x.id < y.id AND x.component <> y.component").where(apart)
         pairs = checkpointed(pairs.select(*ends(F.col("x.id"), F.col("y.id"))).distinct().join(tested, ["a", "b"], "left_anti"))
         more = verified(pairs, texts)
+        if k == ROUNDS:
+            more = more.union(checkpointed(blocks_verified(blocks, texts)))
         if not more.isEmpty():
             tested = tested.union(pairs)
             groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))

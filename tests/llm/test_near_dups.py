@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from callweave.llm import words
+from callweave.llm import near_dups, words
 from callweave.llm.groups import components
 from callweave.llm.near_dups import near_duplicates, op6_near_duplicates, super_minhash
 
@@ -106,3 +106,32 @@ def test_words_chunks():
         for r in range(len(w.n)):
             got[w.first + r] = [w.word(i).decode() for i in range(w.ptr[r], w.ptr[r + 1])]
     assert got == [WORD.findall(lower(t)) for t in texts]
+
+
+def test_large_bucket_of_single_documents(spark):
+    """Many texts alike, most of them not enough, in one bucket: blocks find the links that are there."""
+    import random
+
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(300):
+        w = list(base)
+        for k in rng.sample(range(120), rng.choice([1, 2, 3, 4, 5, 9])):
+            w[k] = f"x{i}k{k}"
+        texts[i] = " ".join(w)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in texts.items()}
+    low = dict(zip(texts, texts, strict=True))
+
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a in texts:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                p, q = sorted((find(a), find(b)))
+                low[q] = p
+    assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(d).collect()} == {i: find(i) for i in texts}
