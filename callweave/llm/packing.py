@@ -68,6 +68,13 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
+def read(b: pa.RecordBatch, rows: int = 128) -> Iterator[tuple[object, str]]:
+    """(id, text) of a batch, of which only some rows are Python objects at a time."""
+    for lo in range(0, b.num_rows, rows):
+        part = b.slice(lo, rows)
+        yield from zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True)
+
+
 def _packed(batches, tokenizer, length, unit, eos, pad):
     known = tokenize.ids(tokenizer)
     dtype = known.of.dtype
@@ -101,7 +108,7 @@ def _packed(batches, tokenizer, length, unit, eos, pad):
     step = length * dtype.itemsize
     for b in batches:
         kind = b.column("id").type
-        for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for i, t in read(b):
             data = known.ids(t)
             if not data:
                 continue
