@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -122,10 +124,23 @@ def _verified(batches):
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """While texts go to Python, in pairs or blocks: 8 MB a batch, so that neither side holds much for a task that sends few numbers back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "8m")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old else spark.conf.unset(key)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links, from texts (id, text). Spark splits the rows of an id that many pairs share."""
     a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    return checkpointed(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"))
+    with small_batches(pairs.sparkSession):
+        return checkpointed(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"))
 
 
 def fits(a, b):
@@ -172,7 +187,8 @@ def blocks_verified(rows: DataFrame, texts: DataFrame) -> DataFrame:
     row = F.struct("id", "component", "text")
     members = whole.groupBy("bucket", "block").agg(F.collect_list(row).alias("y"))
     asking = whole.where("asks IS NOT NULL").groupBy("bucket", "asks").agg(F.collect_list(row).alias("x"))
-    return asking.join(members, "bucket").select("x", "y").mapInArrow(_blocks_verified, "a long, b long")
+    with small_batches(rows.sparkSession):
+        return checkpointed(asking.join(members, "bucket").select("x", "y").mapInArrow(_blocks_verified, "a long, b long"))
 
 
 def _sets(block: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = checkpointed(pairs.select(*ends(F.col("x.id"), F.col("y.id"))).distinct().join(tested, ["a", "b"], "left_anti"))
         more = verified(pairs, texts)
         if k == ROUNDS:
-            more = more.union(checkpointed(blocks_verified(blocks, texts)))
+            more = more.union(blocks_verified(blocks, texts))
         if not more.isEmpty():
             tested = tested.union(pairs)
             groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
