@@ -40,7 +40,7 @@ def fixpoint(base: Relations, step: Callable[[Relations, Relations], Relations],
 
 def reached(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth): nodes that seeds (node) lead to over edges (src, dst), seeds included, with the fewest steps to each."""
-
+    edges = checkpointed(edges.select("src", "dst"))  # every round joins them
     known = checkpointed(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
     last, depth = known, 0
     while max_depth is None or depth < max_depth:
@@ -57,6 +57,7 @@ def reached(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
 
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst) for all dst that src leads to in one step or more."""
+    edges = checkpointed(edges.select("src", "dst"))
     e = edges.toDF("mid", "dst")
     step = lambda every, delta: {"path": delta["path"].toDF("src", "mid").join(e, "mid").select("src", "dst")}
-    return fixpoint({"path": edges.select("src", "dst")}, step)["path"]
+    return fixpoint({"path": edges}, step)["path"]
