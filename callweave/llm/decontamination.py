@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import frames, words
+from callweave.llm import frames, words, workers
 from callweave.session import table, written
 
 WINDOW = 10
@@ -154,14 +154,9 @@ class Automaton:
         return found
 
 
-_OPEN: dict[str, Automaton] = {}
-
-
-def opened(key: str, items: list[tuple[str, str]], window: int) -> Automaton:
-    """The automaton, built once in each worker."""
-    if key not in _OPEN:
-        _OPEN[key] = Automaton(items, window)
-    return _OPEN[key]
+def opened(key: str, shared, window: int) -> Automaton:
+    """The automaton of a broadcast block of items, built once in each worker."""
+    return workers.held(key, lambda: Automaton(shared.value, window))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -179,7 +174,7 @@ INTS, STRINGS = pa.list_(pa.int32()), pa.list_(pa.string())
 
 
 def _pass(batches, key, shared, window):
-    auto = opened(key, shared.value, window)
+    auto = opened(key, shared, window)
     for b in batches:
         names = b.schema.names
         starts, ends, items, counts = [], [], [], []
@@ -220,7 +215,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit:
     for k, block in enumerate(item_blocks(benchmark, limit=limit) if benchmark.limit(1).count() else [[]]):
         shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
         rows = written(rows) if k else rows
-        rows = rows.mapInArrow(lambda bs, key=key, shared=shared: _pass(bs, key, shared, window), kinds)
+        rows = workers.mapped(rows, lambda bs, key=key, shared=shared: _pass(bs, key, shared, window), kinds, holds=True)
     return rows
 
 
@@ -256,7 +251,7 @@ def cut(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> list[str]:
 
 def _cleaned(batches, key, shared, window, coverage):
     """Cut, and looked at again, until no hit is left; rows over the coverage go."""
-    auto = opened(key, shared.value, window)
+    auto = opened(key, shared, window)
     for b in batches:
         text = b.column("text")
         keep = np.ones(b.num_rows, bool)
@@ -297,7 +292,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
     def clean(rows, block):
         shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
-        return rows.mapInArrow(lambda bs: _cleaned(bs, key, shared, window, coverage), kinds)
+        return workers.mapped(rows, lambda bs: _cleaned(bs, key, shared, window, coverage), kinds, holds=True)
 
     rows = clean(rows, first)
     while more is not None:

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import words
+from callweave.llm import words, workers
 from callweave.session import table
 
 #: Common words of English, German, French and Spanish that signatures stand behind.
@@ -175,12 +175,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = [k / bins for k in range(bins)]
     least, cuts = rows.agg(F.min("id"), F.percentile_approx("id", at, max(10_000, 20 * bins))).first()
     bounds = np.unique(np.array([least, *(cuts or [])], np.int64)) if least is not None else np.zeros(0, np.int64)
-    dealt = rows.mapInArrow(lambda bs: _dealt(bs, bounds), "bin int, tail boolean, id long, blob binary")
+    dealt = workers.mapped(rows, lambda bs: _dealt(bs, bounds), "bin int, tail boolean, id long, blob binary")
     # several bins to a task: hashing deals them unevenly, and a task streams them
     tasks = max(1, min(bins, n // (8 * bin_rows) + 1)) if bins > 1 else 1
     ordered = dealt.repartition(max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bin").sortWithinPartitions("bin", "tail", F.col("id").asc_nulls_last(), "blob")
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.mapInArrow(_marked, kinds)
+    return workers.mapped(ordered, _marked, kinds)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

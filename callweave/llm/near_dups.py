@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import words
+from callweave.llm import words, workers
 from callweave.llm.groups import components
 from callweave.session import checkpointed, table, written
 
@@ -102,7 +100,7 @@ def _signed(batches):
 
 def signatures(docs: DataFrame) -> DataFrame:
     """docs (id long, text string not null) -> id, n (distinct shingles), d1, d2 (of the whole set), bands, s0, s1, ... (4 bits of each slot)."""
-    return docs.mapInArrow(_signed, "id long, n long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCHES))
+    return workers.mapped(docs, _signed, "id long, n long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCHES))
 
 
 def _verified(batches):
@@ -124,23 +122,11 @@ def _verified(batches):
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-@contextmanager
-def small_batches(spark: SparkSession):
-    """While texts go to Python, in pairs or blocks: 8 MB a batch, so that neither side holds much for a task that sends few numbers back."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, "8m")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old) if old else spark.conf.unset(key)
-
-
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links, from texts (id, text). Spark splits the rows of an id that many pairs share."""
     a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    with small_batches(pairs.sparkSession):
-        return checkpointed(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+    return checkpointed(workers.mapped(both, _verified, "a long, b long"))
 
 
 def fits(a, b):
@@ -187,8 +173,7 @@ def blocks_verified(rows: DataFrame, texts: DataFrame) -> DataFrame:
     row = F.struct("id", "component", "text")
     members = whole.groupBy("bucket", "block").agg(F.collect_list(row).alias("y"))
     asking = whole.where("asks IS NOT NULL").groupBy("bucket", "asks").agg(F.collect_list(row).alias("x"))
-    with small_batches(rows.sparkSession):
-        return checkpointed(asking.join(members, "bucket").select("x", "y").mapInArrow(_blocks_verified, "a long, b long"))
+    return checkpointed(workers.mapped(asking.join(members, "bucket").select("x", "y"), _blocks_verified, "a long, b long"))
 
 
 def _sets(block: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import tokenize
+from callweave.llm import tokenize, workers
 from callweave.session import table
 
 LENGTH = 2048
@@ -137,7 +137,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, unit: int = UN
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kinds = f"doc_ids array<{rows.schema['id'].dataType.simpleString()}>, offsets array<long>, cu_seqlens array<int>, position_resets array<int>, n_tokens int, ids binary"
-    out = rows.mapInArrow(lambda bs: _packed(bs, tokenizer, length, unit, eos, pad), kinds)
+    out = workers.mapped(rows, lambda bs: _packed(bs, tokenizer, length, unit, eos, pad), kinds, holds=True)
     return out.select(F.monotonically_increasing_id().alias("row_id"), "*")
 
 

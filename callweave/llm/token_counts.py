@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import tokenize
+from callweave.llm import tokenize, workers
 from callweave.session import table
 
 
@@ -27,7 +27,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return workers.mapped(rows, count, f"doc_id {kind}, n_bytes long, n_tokens long", holds=True).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

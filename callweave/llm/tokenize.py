@@ -11,6 +11,8 @@ from functools import cache
 
 import numpy as np
 
+from callweave.llm import workers
+
 #: Distinct units that a worker keeps; beyond it, the cache starts again from the proved ones.
 CACHED_UNITS = 400_000
 SPACED = re.compile(r" +[^ ]*")
@@ -125,11 +127,9 @@ def opened(path: str):
     return PieceUnits(path) if path.endswith(".model") else PreTokenUnits(path)
 
 
-@cache
 def counts(path: str) -> Counts:
-    return Counts(opened(path))
+    return workers.held(("counts", path), lambda: Counts(opened(path)))
 
 
-@cache
 def ids(path: str) -> Ids:
-    return Ids(opened(path))
+    return workers.held(("ids", path), lambda: Ids(opened(path)))

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.llm import workers
 from callweave.session import table
 
 #: Elements whose content is no text of the page, and those that end a line.
@@ -88,7 +89,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     own = F.coalesce(F.col("record_id").cast("string"), record_id(F.col("target_uri"), F.col("warc_date"), F.col("payload")))
     rows = responses.select(own.alias("record_id"), F.col("target_uri").cast("string").alias("target_uri"), F.col("warc_date").cast("string").alias("warc_date"), text("http_head").alias("http_head"), text("payload").alias("payload"))
-    return rows.mapInArrow(_derived, KINDS)
+    return workers.mapped(rows, _derived, KINDS)
 
 
 def record_id(*parts: Column) -> Column:
