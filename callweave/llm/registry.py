@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": mixing.op5_mixing,
     "op6_near_duplicates": near_dups.op6_near_duplicates,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op7_alike": fingerprints.op7_alike,
     "op8_quality": quality.op8_quality,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_personal_data": pii.op10_personal_data,
