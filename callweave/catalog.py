@@ -36,9 +36,10 @@ def query(sql: str) -> Callable[[Query], Query]:
 # ---- the parts that tables play
 
 
-def part_edges(spark: SparkSession, sf: str, big: bool = True) -> DataFrame:
+def part_edges(spark: SparkSession, sf: str, big: bool | None = True) -> DataFrame:
+    """Of large lines, of small ones, or (None) of all."""
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    d = table(spark, sf, "lineitem").where("l_quantity >= 44" if big else "l_quantity <= 3")
+    d = table(spark, sf, "lineitem").where("true" if big is None else "l_quantity >= 44" if big else "l_quantity <= 3")
     return d.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst IS NOT NULL").distinct()
 
 
@@ -210,11 +211,11 @@ def op_getter(spark, sf):
 NAMES = "(SELECT DISTINCT {id} AS id, CASE p_size % 3 WHEN 0 THEN 'literal' WHEN 1 THEN 'prefix' ELSE 'suffix' END AS kind, CASE p_size % 3 WHEN 0 THEN prop WHEN 1 THEN prop[1:1 + p_size % 2] ELSE prop[-1 - p_size % 2:] END AS t FROM word WHERE p_partkey % 4 = {k})"
 
 
-def event_names(spark: SparkSession, sf: str, k: int, column: str, name: str) -> DataFrame:
+def event_names(spark: SparkSession, sf: str, k: int | None, column: str, name: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("literal"), F.lit("prefix"), F.lit("suffix")), F.col("p_size") % 3 + 1)
     n = F.lit(1) + F.col("p_size") % 2
     part = F.when(kind == "literal", F.col("prop")).when(kind == "prefix", F.left("prop", n)).otherwise(F.right("prop", n))
-    return words_of(spark, sf).where(f"p_partkey % 4 = {k}").select(F.col(column).alias(name), kind.alias("kind"), part.alias("text")).distinct()
+    return words_of(spark, sf).where("true" if k is None else f"p_partkey % 4 = {k}").select(F.col(column).alias(name), kind.alias("kind"), part.alias("text")).distinct()
 
 
 @query(f"""WITH {WORDS}, e AS {NAMES.format(id='p_brand', k=0)}, o AS {NAMES.format(id='p_partkey', k=1)}
@@ -288,6 +289,77 @@ def op_soundness(spark, sf):
     return matching.classified(pairs, every.where("l_returnflag <> 'R'").select("source", "target"), pairs.where("target % 97 = 0"))
 
 
+# ---- the same operators over whole tables: every row takes part on every side; what is reached starts from parts of size 1
+
+EVERY_EDGE = EDGE.replace("\n  FROM lineitem WHERE l_quantity >= 44", " FROM lineitem")
+EVERY_REACH = "reach AS (SELECT p_partkey AS node FROM part WHERE p_size = 1 UNION SELECT dst FROM reach JOIN edge ON node = src)"
+EVERY_NAMES = NAMES.replace(" WHERE p_partkey % 4 = {k}", "")
+
+
+def parts(spark: SparkSession, sf: str, which: str = "true") -> DataFrame:
+    return table(spark, sf, "part").where(which).select(F.col("p_partkey").alias("node"))
+
+
+def whole_walk(spark: SparkSession, sf: str) -> DataFrame:
+    return reached(part_edges(spark, sf, None), parts(spark, sf, "p_size = 1"))
+
+
+@query(f"WITH RECURSIVE {EVERY_EDGE}, {EVERY_REACH} SELECT node FROM reach")
+def op_reach_whole(spark, sf):
+    return whole_walk(spark, sf).select("node")
+
+
+@query(f"""WITH {EVERY_EDGE}, pred AS (SELECT dst, min(src) AS src FROM edge GROUP BY dst), s0 AS (SELECT p_partkey AS target, 0 AS step, p_partkey AS node FROM part),
+{", ".join(f"s{k} AS (SELECT target, {k} AS step, src AS node FROM s{k - 1} JOIN pred ON node = dst)" for k in range(1, 11))} {" UNION ALL ".join(f"SELECT target, step, node FROM s{k}" for k in range(11))}""")
+def op_stack_trace_whole(spark, sf):
+    return graph.traces(part_edges(spark, sf, None).withColumn("ord", F.col("src")), parts(spark, sf))
+
+
+@query(f"WITH {WORDS} SELECT DISTINCT r.p_partkey AS read, w.p_partkey AS ap FROM word r JOIN word w ON r.p_brand = w.p_brand AND r.prop = w.prop")
+def op_field_exact_whole(spark, sf):
+    d = words_of(spark, sf).select(F.col("p_partkey").alias("read"), F.col("p_brand").alias("module"), "prop").distinct()
+    return lookups.fields(d, d.withColumnRenamed("read", "ap"))
+
+
+@query(f"""WITH {WORDS}, pat AS (SELECT DISTINCT 'prefix' AS kind, prop[1:2] AS t, p_type AS ap FROM word UNION SELECT DISTINCT 'suffix', prop[-2:], p_type FROM word)
+SELECT DISTINCT p_brand || '.' || prop AS read, ap FROM word JOIN pat ON (kind = 'prefix' AND starts_with(prop, t)) OR (kind = 'suffix' AND suffix(prop, t))""")
+def op_field_wild_whole(spark, sf):
+    d = words_of(spark, sf)
+    reads = d.select(F.concat_ws(".", "p_brand", "prop").alias("read"), "prop").distinct()
+    kinds = [d.select(F.lit(kind).alias("kind"), cut.alias("text"), F.col("p_type").alias("ap")) for kind, cut in (("prefix", F.substring("prop", 1, 2)), ("suffix", F.right("prop", F.lit(2))))]
+    return lookups.wild_fields(reads, kinds[0].union(kinds[1]).distinct())
+
+
+@query(f"WITH {WORDS} SELECT DISTINCT r.p_type AS read, w.p_partkey AS ap FROM word r JOIN word w USING (prop)")
+def op_getter_whole(spark, sf):
+    d, one = words_of(spark, sf), F.lit(0).alias("module")
+    return lookups.fields(d.select(F.col("p_type").alias("read"), one, "prop").distinct(), d.select(one, "prop", F.col("p_partkey").alias("ap")).distinct())
+
+
+@query(f"{ORACLE_SQL['op_listener'].split(', e AS ')[0]}, e AS {EVERY_NAMES.format(id='p_brand')}, o AS {EVERY_NAMES.format(id='p_partkey')}\nSELECT DISTINCT e.id{ORACLE_SQL['op_listener'].split('SELECT DISTINCT e.id')[1]}")
+def op_listener_whole(spark, sf):
+    return lookups.listeners(event_names(spark, sf, None, "p_brand", "emit"), event_names(spark, sf, None, "p_partkey", "callback"))
+
+
+@query("SELECT DISTINCT l_orderkey AS edge, l_suppkey AS ap FROM lineitem WHERE l_linenumber = 1")
+def op_promise_whole(spark, sf):
+    return table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("edge"), F.col("l_suppkey").alias("ap")).distinct()
+
+
+@query(f"""WITH RECURSIVE {EVERY_EDGE}, {EVERY_REACH}, {WORDS},
+dep AS (SELECT DISTINCT p_type AS library, [p_size, CAST(p_partkey % 10 AS INTEGER), 0] AS version FROM part),
+adv AS (SELECT p_partkey AS id, p_type AS library, [p_size - 1, 0, 0] AS low, [p_size + 1, 9, 0] AS high, string_split(p_name, ' ') AS props FROM part),
+hit AS (SELECT id, library, unnest(props) AS prop FROM adv WHERE EXISTS (SELECT 1 FROM dep WHERE dep.library = adv.library AND dep.version BETWEEN low AND high))
+SELECT id, count(DISTINCT p_partkey) AS functions FROM hit JOIN word ON library = p_type AND hit.prop = word.prop WHERE p_partkey IN (SELECT node FROM reach) GROUP BY id""")
+def op_scan_alarms_whole(spark, sf):
+    p = table(spark, sf, "part").withColumn("library", F.col("p_type"))
+    dep = p.select("library", F.array("p_size", (F.col("p_partkey") % 10).cast("int"), F.lit(0)).alias("version"))
+    bound = lambda d, m: F.array(F.col("p_size") + d, F.lit(m), F.lit(0))
+    adv = p.select(F.col("p_partkey").alias("id"), "library", bound(-1, 0).alias("low"), bound(1, 9).alias("high"), F.split("p_name", " ").alias("props"))
+    defs = words_of(spark, sf).select(F.col("p_type").alias("library"), "prop", F.col("p_partkey").alias("fn"))
+    return matching.alarms(adv, dep, defs, whole_walk(spark, sf).select("node"))
+
+
 # ---- events
 
 
