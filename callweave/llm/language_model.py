@@ -19,6 +19,8 @@ from callweave.session import written
 ORDER = 4
 BITS = 6
 SYMBOLS = 1 << BITS
+#: Bytes of a stretch.
+STRETCH = 24
 START = 29  # the class of line ends, which also stands before a text
 
 
@@ -151,23 +153,36 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     return Model(order, seen, backoff)
 
 
+def worst(sums: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Greatest mean over STRETCH neighbouring values, or over all of a text that has fewer, of each text [at[r], at[r + 1]), from running sums; 0 for an empty one."""
+    n = np.diff(at)
+    out = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1)
+    long = np.flatnonzero(n > STRETCH)
+    if len(long):
+        means = np.append((sums[STRETCH:] - sums[:-STRETCH]) / STRETCH, 0.0)  # a last end may lie one past them
+        ends = np.stack([at[long], at[long + 1] - STRETCH + 1], axis=1).ravel()
+        out[long] = np.maximum.reduceat(means, ends)[::2]
+    return out
+
+
 def _scored(batches, shared):
     cost, order = shared.value.dense(), shared.value.order  # for this task only: a worker that kept it would hold it in later steps
     for b in batches:
-        means = []
+        means, worsts = [], []
         for _, data, at in text_chunks(b.column("text")):
             sums = np.concatenate([[0.0], np.cumsum(cost[grams(data, at, order)], dtype=np.float64)])
             n = np.diff(at)
             means.append((sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1))
-        mean = np.concatenate([*means, np.zeros(0)])
+            worsts.append(worst(sums, at))
+        new = {"nll": np.concatenate([*means, np.zeros(0)]), "worst": np.concatenate([*worsts, np.zeros(0)])}
         size = np.diff(words.buffers(b.column("text"))[1])
         names = b.schema.names
-        yield pa.RecordBatch.from_arrays([pa.array(mean, mask=size == 0) if c == "nll" else b.column(c) for c in names], names)
+        yield pa.RecordBatch.from_arrays([pa.array(new[c], mask=size == 0) if c in new else b.column(c) for c in names], names)
 
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:
-    """rows (text not null, ...) -> with nll: the mean negative logarithm of a byte's probability; its exponential is the perplexity. Null for empty texts."""
+    """rows (text not null, ...) -> with nll: the mean negative logarithm of a byte's probability; its exponential is the perplexity; and worst: the same of the worst stretch. Null for empty texts."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    rows = rows.withColumn("nll", F.lit(None).cast("double"))
+    rows = rows.withColumn("nll", F.lit(None).cast("double")).withColumn("worst", F.lit(None).cast("double"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return workers.mapped(rows, lambda bs: _scored(bs, shared), kinds)

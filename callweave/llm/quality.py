@@ -44,17 +44,21 @@ def excess(middle: Column) -> Column:
 
 
 def limits(held: DataFrame, q: float = QUANTILE, least: int = LEAST_HELD) -> DataFrame:
-    """held (lang, nll, n_bytes) -> lang, middle, most: one row for each language with `least` documents, and one, lang null, for all."""
-    both = written(held.where("nll IS NOT NULL").select(F.explode(F.array_distinct(F.array("lang", F.lit(None)))).alias("key"), "nll", "n_bytes"))
+    """held (lang, nll, n_bytes, worst) -> lang, middle, most, stretch: one row for each language with `least` documents, and one, lang null, for all."""
+    both = written(held.where("nll IS NOT NULL").select(F.explode(F.array_distinct(F.array("lang", F.lit(None)))).alias("key"), "nll", "n_bytes", "worst"))
     middles = quantile(both, F.col("nll"), 0.5, 0.001).select("key", "n", F.col("value").alias("middle")).where((F.col("n") >= least) | F.col("key").isNull())
     middles = written(middles)
     at = small(middles).select(F.col("key").alias("of"), "middle")
     most = quantile(both.join(at, F.col("key").eqNullSafe(F.col("of"))), excess(F.col("middle")), q, 0.01)
-    return written(middles.select(F.col("key").alias("lang"), "middle").join(most.select("key", F.col("value").alias("most")), F.col("lang").eqNullSafe(F.col("key"))).drop("key"))
+    stretch = quantile(both, F.col("worst"), q, 0.01).select("key", F.col("value").alias("stretch"))
+    out = middles.select(F.col("key").alias("lang"), "middle")
+    for limit in (most.select("key", F.col("value").alias("most")), stretch):
+        out = out.join(limit, F.col("lang").eqNullSafe(F.col("key"))).drop("key")
+    return written(out)
 
 
 def judged(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", order: int = language_model.ORDER, q: float = QUANTILE) -> tuple[DataFrame, list[str]]:
-    """docs' columns as c0, c1, ... (the text as text, not null) with n_bytes, nll, middle, most, kept, and docs' names (see frames). Texts are read three times and never shuffled, unless trusted ids are too many to broadcast."""
+    """docs' columns as c0, c1, ... (the text as text, not null) with n_bytes, nll, worst, middle, most, stretch, kept, and docs' names (see frames). Texts are read three times and never shuffled, unless trusted ids are too many to broadcast."""
     rows, names = frames.plain(docs, text_col, id=id_col, lang=lang_col)
     rows = rows.drop(f"c{names.index(text_col)}")  # `text` is the same but for nulls; twice is too much to send to Python
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("lang", F.col("lang").cast("string"))
@@ -63,24 +67,27 @@ def judged(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: s
     model = language_model.train(own.where("NOT held").select("text"), order)
     limit = limits(language_model.scored(own.where("held").select("lang", "n_bytes", "text"), model), q)
     every = limit.where("lang IS NULL").first()
-    at = small(limit.where("lang IS NOT NULL")).select(F.col("lang").alias("of"), F.col("middle").alias("m"), F.col("most").alias("t"))
+    at = small(limit.where("lang IS NOT NULL")).select(F.col("lang").alias("of"), F.col("middle").alias("m"), F.col("most").alias("t"), F.col("stretch").alias("s"))
     d = language_model.scored(rows, model).join(at, F.col("lang") == F.col("of"), "left")
     d = d.withColumn("middle", F.coalesce("m", F.lit(every and every.middle).cast("double"))).withColumn("most", F.coalesce("t", F.lit(every and every.most).cast("double")))
-    kept = F.when(F.col("nll").isNull(), False).otherwise(F.coalesce(excess(F.col("middle")) <= F.col("most"), F.lit(True)))
+    d = d.withColumn("stretch", F.coalesce("s", F.lit(every and every.stretch).cast("double")))
+    kept = F.when(F.col("nll").isNull(), False).otherwise(F.coalesce((excess(F.col("middle")) <= F.col("most")) & (F.col("worst") <= F.col("stretch")), F.lit(True)))
     return d.withColumn("kept", kept), names
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (of a byte), limit, kept: one row for each row of docs.
 
-    limit: the perplexity up to which a document of this language and length is kept. The model is an interpolated modified
-    Kneser-Ney one, trained on four fifths of all documents that labels trust; the limit is a quantile over the last fifth,
+    limit: the perplexity up to which a document of this language and length is kept; 0 where its worst stretch of 24 bytes
+    rules it out, whatever the perplexity of the whole. The model is an interpolated modified
+    Kneser-Ney one, trained on four fifths of all documents that labels trust; the limits are quantiles over the last fifth,
     by language, or over all languages where one has too few or is null. Empty and null texts have no perplexity and are not
     kept. Without trusted documents every document with text is kept. Rows without an id are never trusted, but judged; repeated
     rows are judged alike; labels that repeat an id must all agree; extra columns are not read; an empty table gives an empty one.
     """
     d, _ = judged(docs, labels, **options)
     limit = F.exp(F.col("middle") + F.col("most") / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1))))
+    limit = F.when(F.col("worst") > F.col("stretch"), 0.0).otherwise(limit)
     return d.select(F.col("id").alias("doc_id"), "lang", "n_bytes", F.exp("nll").alias("perplexity"), limit.alias("limit"), "kept")
 
 

@@ -74,3 +74,24 @@ def test_cases(spark, sf):
     assert kept.columns == both.columns and kept.where("doc_id < 0").count() == 0 and kept.count() > d.count() / 2
     assert quality(d.limit(0), lab).count() == 0
     assert quality(both, lab.limit(0)).where("kept").count() == d.count() + 2
+
+
+def test_worst_stretch():
+    rng = np.random.default_rng(5)
+    sizes = [0, 3, lm.STRETCH, lm.STRETCH + 1, 200, 0, 90, lm.STRETCH - 1, 0]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    x = rng.random(at[-1])
+    got = lm.worst(np.concatenate([[0.0], np.cumsum(x)]), at)
+    for lo, hi, g in zip(at[:-1], at[1:], got, strict=True):
+        n = min(lm.STRETCH, hi - lo)
+        assert abs(g - max((x[i : i + n].mean() for i in range(lo, hi - n + 1) if n), default=0)) < 1e-9
+
+
+def test_kept_by_label(spark):
+    """Whole labels, where limits go by language."""
+    sf = "/root/testdata/sf0.1"
+    out = op8_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    kept = {k: [r.kept for r in out if (r.quality, r.toxic) == k] for k in ((1, 0), (1, 1), (0, 0), (0, 1))}
+    share = {k: sum(v) / len(v) for k, v in kept.items()}
+    print({k: (sum(v), len(v)) for k, v in kept.items()})
+    assert share[1, 0] > 0.98 and share[1, 1] < 0.4 and share[0, 0] < 0.05 and share[0, 1] < 0.05
