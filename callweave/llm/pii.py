@@ -28,8 +28,8 @@ PATTERNS = {
     "number": r"(?<![0-9.])[0-9](?:[\x20./-]?[0-9]){8,18}+(?![0-9])",
     "handle": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++",
 }
-#: What a text must hold before its pattern is tried at all.
-NEEDS = {"email": "@", "phone": "+", "handle": "at"}
+#: One of what a text must hold before its pattern is tried at all.
+NEEDS = {"email": ("@",), "phone": ("+",), "handle": ("at", "AT")}
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
 CONTEXT = 24
@@ -45,7 +45,10 @@ ISSUERS = "[3-6]"
 
 def hits(text: Column, kind: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    return F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast("array<string>")) if kind in NEEDS else found
+    if kind not in NEEDS:
+        return found
+    needed = [F.contains(text, F.lit(x)) for x in NEEDS[kind]]
+    return F.when(F.greatest(*needed) if len(needed) > 1 else needed[0], found).otherwise(F.array().cast("array<string>"))
 
 
 def placed(kind: str) -> str:

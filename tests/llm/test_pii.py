@@ -105,3 +105,10 @@ def test_cases(spark):
     d = spark.createDataFrame([(None, "a@b.cd", 1), (1, "a@b.cd", 2), (1, "a@b.cd", 2)], "doc_id long, text string, spans int")
     assert [r.spans for r in personal_data(d).collect()] == ["email:0:6"] * 3
     assert personal_data(d.limit(0)).count() == 0
+
+
+def test_handles_in_capitals(spark):
+    texts = ["JOE [AT] ACME [DOT] COM", "joe (at) acme (dot) com", "JOE (AT) ACME.COM", "JOE [AND] ACME"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: [x.m for x in r.extra] for r in pii.spans(d).collect()}
+    assert got == {0: texts[:1], 1: texts[1:2], 2: texts[2:3], 3: []}
