@@ -1,4 +1,4 @@
-"""A training corpus from raw documents: STAGES, one after the other, each written and read again by whoever runs them.
+"""A training corpus from raw documents: STAGES, one after the other, each but the last written and read again, by run() or by whoever runs them.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of
 documents.
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from callweave.llm import decontamination, mixing, near_dups, packing, quality
-from callweave.session import table
+from callweave.session import table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +53,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -94,3 +94,15 @@ def test_empty_and_odd(spark, sf, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             stage(spark, docs, sf).write.parquet(str(tmp_path / f"{k}{name}"))
             docs = spark.read.parquet(str(tmp_path / f"{k}{name}"))
+
+
+def test_run_writes_each_stage_but_the_last(spark, sf, monkeypatch):
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(set(docs.inputFiles()))
+        return docs.limit(5)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, stage) for n in "abc"])
+    assert corpus_pipeline.run(spark, sf).count() == 5
+    assert len(seen) == 3 and not (seen[0] & seen[1] or seen[1] & seen[2] or seen[0] & seen[2])
