@@ -1,188 +1,203 @@
-"""Interpolated modified Kneser-Ney n-grams over 64 classes of characters: counts from shards of text, joined order by order.
+"""Interpolated modified Kneser-Ney n-grams of code points: counts and costs by joins on the n-grams.
 
-Bytes of UTF-8 fall into 64 classes (each of a-z and of the ASCII marks its own). That bounds the joined table at 64^order
-cells, however large the corpus is, so that scoring looks it up beside the texts and moves none of them.
+Documents are dealt to shards of some megabytes. Each shard asks once for every n-gram it has; all shards' n-grams are counted
+and given their costs in Spark, order by order, and the answers go back to their shards, where texts are scored. The tables
+grow with the corpus and its alphabet, and are never gathered in one place; texts move once, compressed.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callweave.llm import words, workers
 from callweave.session import written
 
 ORDER = 4
-BITS = 6
-SYMBOLS = 1 << BITS
-#: Bytes of a stretch.
-STRETCH = 24
-START = 29  # the class of line ends, which also stands before a text
-
-
-def classes() -> np.ndarray:
-    """Class of each byte: a-z, any A-Z, any digit, blank, line end, 32 ASCII marks, first and later bytes of other characters."""
-    out = np.full(256, 28, np.uint8)
-    marks = [b for b in range(33, 127) if not chr(b).isalnum()]
-    out[97:123] = np.arange(26)
-    out[65:91] = 26
-    out[48:58] = 27
-    out[[10, 13]] = START
-    out[marks] = 30 + np.arange(len(marks))
-    out[0xC0:] = 62
-    out[0x80:0xC0] = 63
-    return out
+#: Code points there can be: what a model without any count spreads evenly over.
+ALPHABET = 0x110000
+#: Line ends stand before a text.
+START = 10
+#: Code points of a stretch.
+STRETCH = 8
+#: Bytes of text from which a shard is closed. A text is never parted; a longer one is a shard alone.
+SHARD_BYTES = 8 << 20
+#: 64 bits stand for an n-gram inside a shard: two of a million are taken for one another once in 40 million shards.
+PLACE = words.constants(16, 41)
+#: Shards are wide rows: row groups are closed by their bytes, not after a hundred rows.
+WIDE_ROWS = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def text_chunks(texts: pa.Array):
+    """(first row, bytes, where each text begins) of some rows at a time, whole texts."""
+    data, at = words.buffers(texts)
+    low = 0
+    while low < len(at) - 1:
+        high = max(low + 1, int(np.searchsorted(at, at[low] + words.CHUNK, "right")) - 1)
+        yield low, data[at[low] : at[high]], at[low : high + 1] - at[low]
+        low = high
 
 
-CLASS = classes()
+def spelled(texts: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, where each text's code points begin, code points with line ends before each text, place of each code point in them)."""
+    for first, data, at in text_chunks(texts):
+        codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
+        n, pad = len(at) - 1, order - 1
+        put = np.arange(len(codes)) + np.repeat(pad * np.arange(1, n + 1), np.diff(at))
+        wide = np.full(len(codes) + pad * (n + 1), START, np.uint32)
+        wide[put] = codes
+        yield first, at, wide, put
 
 
-def grams(data: np.ndarray, at: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each byte of the texts data[at[r]:at[r + 1]], as a number; before a text stand line ends."""
-    pad = order - 1
-    n = len(at) - 1
-    put = np.arange(len(data)) + np.repeat(pad * np.arange(1, n + 1), np.diff(at))
-    wide = np.full(len(data) + pad * (n + 1), START, np.uint8)
-    wide[put] = CLASS[data]
-    out = np.zeros(len(data), np.int32)
+def keys(wide: np.ndarray, put: np.ndarray, order: int) -> np.ndarray:
+    """64 bits for the n-gram that ends at each place."""
+    out = np.zeros(len(put), np.uint64)
     for j in range(order):
-        out = (out << BITS) | wide[put - (pad - j)]
+        out += wide[put - j] * PLACE[j]
     return out
 
 
-def _counted(batches, order):
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def whole():
-        g = np.concatenate([x for x, _ in held])
-        c = np.concatenate([x for _, x in held])
-        keys, where = np.unique(g, return_inverse=True)
-        return keys, np.bincount(where, c).astype(np.int64)
+def strings(points: np.ndarray) -> pa.Array:
+    """Rows of code points as strings."""
+    size = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).sum(axis=1)
+    data = points.astype("<u4").tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(points), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data))
+
+
+def numbered(texts: pa.Array, order: int) -> tuple[list[tuple], list[np.ndarray]]:
+    """What spelled() gives, and for each of its parts the number of the n-gram at each place; n-grams are numbered as they first come."""
+    parts = list(spelled(texts, order))
+    found = pa.array(np.concatenate([*(keys(wide, put, order) for _, _, wide, put in parts), np.zeros(0, np.uint64)])).dictionary_encode().indices.to_numpy()
+    return parts, np.split(found, np.cumsum([len(put) for *_, put in parts])[:-1])
+
+
+def grams(texts: pa.Array, trained: np.ndarray, order: int) -> tuple[pa.Array, np.ndarray]:
+    """The different n-grams of the texts, by their numbers, and how often each occurs in trained texts."""
+    points, counts, known = [], [], 0
+    for (first, at, wide, put), numbers in zip(*numbered(texts, order), strict=True):
+        most = np.maximum.accumulate(numbers)
+        new = np.flatnonzero(np.diff(most, prepend=known - 1))
+        points.append(wide[put[new][:, None] - np.arange(order - 1, -1, -1)])
+        known += len(new)
+        counts.append(np.bincount(numbers[np.repeat(trained[first : first + len(at) - 1], np.diff(at))], minlength=known))
+    total = np.zeros(known, np.int64)
+    for c in counts:
+        total[: len(c)] += c
+    return strings(np.concatenate([*points, np.zeros((0, order), np.uint32)])), total
+
+
+def _sharded(batches, order, size):
+    task, done, rows, held = TaskContext.get().partitionId(), 0, [], 0
+
+    def shard():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for r in rows:
+                out.write_batch(r)
+        t = pa.Table.from_batches(rows).combine_chunks()
+        g, c = grams(t["text"].chunk(0), t["trained"].to_numpy(), order)
+        ends = pa.array([0, len(g)], pa.int32())
+        cols = [pa.array([(task << 32) + done], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.ListArray.from_arrays(ends, g), pa.ListArray.from_arrays(ends, pa.array(c))]
+        return pa.RecordBatch.from_arrays(cols, ["shard", "docs", "grams", "counts"])
 
     for b in batches:
         for first, data, at in text_chunks(b.column("text")):
-            held.append(np.unique(grams(data, at, order), return_counts=True))
-            if len(held) == 32:
-                held = [whole()]
-    if held:
-        g, c = whole()
-        for k in range(0, len(g), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(g[k : k + 50_000]), pa.array(c[k : k + 50_000])], ["g", "c"])
-
-
-def text_chunks(texts: pa.Array):
-    """(first row, bytes, where each text begins) of some rows at a time, whole texts."""
-    data, at = words.buffers(texts)
-    low = 0
-    while low < len(at) - 1:
-        high = max(low + 1, int(np.searchsorted(at, at[low] + words.CHUNK, "right")) - 1)
-        yield low, data[at[low] : at[high]], at[low : high + 1] - at[low]
-        low = high
+            rows.append(b.slice(first, len(at) - 1))
+            held += len(data)
+            if held >= size:
+                yield shard()
+                rows, held, done = [], 0, done + 1
+    if rows:
+        yield shard()
 
 
-def counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """texts (text not null) -> g, c: how often each n-gram occurs. Each task sends one sum for each n-gram it has."""
-    part = workers.mapped(texts.select("text"), lambda bs: _counted(bs, order), "g int, c long")
-    return part.groupBy("g").agg(F.sum("c").alias("c"))
+def sharded(rows: DataFrame, order: int = ORDER, size: int = SHARD_BYTES) -> DataFrame:
+    """rows (text string not null, trained boolean not null, ...) -> shard, docs (its rows), grams (its different n-grams), counts (of each, in its trained texts): a written table, so that shards stay as they are when executors are lost."""
+    out = workers.mapped(rows, lambda bs: _sharded(bs, order, size), "shard long, docs binary, grams array<string>, counts array<long>")
+    return written(out, **WIDE_ROWS)
 
 
 def discounts(c: Column) -> list[Column]:
     """Of counts 1, 2, 3 and more, from how many n-grams have counts 1 to 4; 0.5, 1 and 1.5 where too few have them."""
     n = [F.count_if(c == k).cast("double") for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1])
+    y = F.try_divide(n[0], n[0] + 2 * n[1])
     fits = (n[0] > 0) & (n[1] > 0) & (n[2] > 0)
-    return [F.when(fits, F.greatest(F.lit(0.0), F.least(F.lit(float(k)), k - (k + 1) * y * n[k] / F.when(n[k - 1] > 0, n[k - 1])))).otherwise(F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)]
-
-
-def joined(order: int, table: DataFrame, lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(g, p) of the n-grams seen and (context, gamma): counts joined with their contexts' sums, the discounts and the next lower order."""
-    d = table.agg(*discounts(F.col("c")))
-    t = table.crossJoin(F.broadcast(d)).withColumn("context", F.shiftright("g", BITS))  # one row of discounts
-    off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    t = t.withColumn("off", F.least(off, F.col("c").cast("double")))
-    sums = t.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("gamma"))
-    t = t.join(sums, "context").withColumn("suffix", F.col("g").bitwiseAND((1 << BITS * (order - 1)) - 1))
-    below = F.lit(1.0 / SYMBOLS)
-    if lower is not None:
-        t, below = t.join(lower.select(F.col("g").alias("suffix"), F.col("p").alias("below")), "suffix"), F.col("below")
-    return t.select("g", ((F.col("c") - F.col("off")) / F.col("total") + F.col("gamma") * below).alias("p")), sums.select(F.col("context").alias("g"), "gamma")
-
-
-@dataclass
-class Model:
-    """Arrays of each order: n-grams with their probabilities, contexts with their weights of the lower order. 64^order n-grams of 12 bytes at the most."""
-
-    order: int
-    seen: list[tuple[np.ndarray, np.ndarray]]
-    backoff: list[tuple[np.ndarray, np.ndarray]]
-
-    def dense(self) -> np.ndarray:
-        """Negative natural logarithms of the probabilities of all 64^order n-grams."""
-        p = np.full(1, 1.0 / SYMBOLS, np.float32)
-        for k in range(1, self.order + 1):
-            gamma = np.ones(SYMBOLS ** (k - 1), np.float32)
-            g, w = self.backoff[k - 1]
-            gamma[g] = w
-            low = p.reshape(-1, SYMBOLS) if k > 1 else np.full((1, SYMBOLS), p[0], np.float32)
-            full = np.tile(low, (len(gamma) // len(low), 1))
-            full *= gamma[:, None]
-            p = full.reshape(-1)
-            g, q = self.seen[k - 1]
-            p[g] = q
-        np.log(p, out=p)
-        return np.negative(p, out=p)
-
-
-def train(texts: DataFrame, order: int = ORDER) -> Model:
-    """A model of the texts (column text, not null). Lower orders count the different n-grams of the next one that end in them."""
-    tables = [written(counts(texts, order))]
+    return [F.when(fits, F.greatest(F.lit(0.0), F.least(F.lit(float(k)), k - (k + 1) * y * F.try_divide(n[k], n[k - 1])))).otherwise(F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)]
+
+
+def tail(g: str, k: int) -> Column:
+    return F.right(F.col(g), F.lit(k))
+
+
+def costs(asked: DataFrame, order: int = ORDER) -> DataFrame:
+    """asked (g, c: different n-grams with their counts in trained text, 0 for none) -> g, p: the probability of each one's last code point after the others.
+
+    Lower orders count the different n-grams of the next one that end in them. An order's probability is the discounted count
+    over the context's sum, and for the discounts' share that of the next lower order. An n-gram without a count has that share
+    alone; after a context without counts the lower order's probability stands as it is.
+    """
+    seen, wanted = {order: asked.where("c > 0").select("g", "c")}, {order: asked.select("g")}
     for k in range(order - 1, 0, -1):
-        tail = F.col("g").bitwiseAND((1 << BITS * k) - 1)
-        tables.insert(0, written(tables[0].groupBy(tail.alias("g")).agg(F.count("*").alias("c"))))
-    seen, backoff, lower = [], [], None
-    for k, t in enumerate(tables, 1):
-        p, gamma = joined(k, t, lower)
-        lower = written(p)
-        arrays = [df.toPandas() for df in (lower, gamma)]
-        seen.append((arrays[0]["g"].to_numpy(np.int32), arrays[0]["p"].to_numpy(np.float32)))
-        backoff.append((arrays[1]["g"].to_numpy(np.int32), arrays[1]["gamma"].to_numpy(np.float32)))
-    return Model(order, seen, backoff)
-
-
-def worst(sums: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Greatest mean over STRETCH neighbouring values, or over all of a text that has fewer, of each text [at[r], at[r + 1]), from running sums; 0 for an empty one."""
+        seen[k] = written(seen[k + 1].groupBy(tail("g", k).alias("g")).agg(F.count("*").alias("c")))
+        wanted[k] = wanted[k + 1].select(tail("g", k).alias("g")).distinct()
+    p = None
+    for k in range(1, order + 1):
+        d = F.broadcast(seen[k].agg(*discounts(F.col("c"))))  # one row
+        head = F.left(F.col("g"), F.lit(k - 1)).alias("head")
+        sums = seen[k].groupBy(head).agg(F.sum("c").alias("total"), *[F.count_if(F.col("c") == j).alias(f"n{j}") for j in (1, 2)], F.count_if(F.col("c") > 2).alias("n3"))
+        t = wanted[k].join(seen[k], "g", "left").select("g", "c", head).join(sums, "head", "left").crossJoin(d)
+        below = F.lit(1.0 / ALPHABET)
+        if k > 1:
+            t, below = t.withColumn("tail", tail("g", k - 1)).join(p.select(F.col("g").alias("tail"), F.col("p").alias("below")), "tail"), F.col("below")
+        off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        share = F.coalesce((F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total"), F.lit(1.0))
+        p = written(t.select("g", (F.coalesce((F.col("c") - off) / F.col("total"), F.lit(0.0)) + share * below).alias("p")))
+    return p
+
+
+def worst(sums: np.ndarray, at: np.ndarray, size: int = STRETCH) -> np.ndarray:
+    """Greatest mean over `size` neighbouring values, or over all of a text that has fewer, of each text [at[r], at[r + 1]), from running sums; 0 for an empty one."""
     n = np.diff(at)
     out = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1)
-    long = np.flatnonzero(n > STRETCH)
+    long = np.flatnonzero(n > size)
     if len(long):
-        means = np.append((sums[STRETCH:] - sums[:-STRETCH]) / STRETCH, 0.0)  # a last end may lie one past them
-        ends = np.stack([at[long], at[long + 1] - STRETCH + 1], axis=1).ravel()
+        means = np.append((sums[size:] - sums[:-size]) / size, 0.0)  # a last end may lie one past them
+        ends = np.stack([at[long], at[long + 1] - size + 1], axis=1).ravel()
         out[long] = np.maximum.reduceat(means, ends)[::2]
     return out
 
 
-def _scored(batches, shared):
-    cost, order = shared.value.dense(), shared.value.order  # for this task only: a worker that kept it would hold it in later steps
-    for b in batches:
-        means, worsts = [], []
-        for _, data, at in text_chunks(b.column("text")):
-            sums = np.concatenate([[0.0], np.cumsum(cost[grams(data, at, order)], dtype=np.float64)])
-            n = np.diff(at)
-            means.append((sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1))
-            worsts.append(worst(sums, at))
-        new = {"nll": np.concatenate([*means, np.zeros(0)]), "worst": np.concatenate([*worsts, np.zeros(0)])}
-        size = np.diff(words.buffers(b.column("text"))[1])
-        names = b.schema.names
-        yield pa.RecordBatch.from_arrays([pa.array(new[c], mask=size == 0) if c in new else b.column(c) for c in names], names)
-
-
-def scored(rows: DataFrame, model: Model) -> DataFrame:
-    """rows (text not null, ...) -> with nll: the mean negative logarithm of a byte's probability; its exponential is the perplexity; and worst: the same of the worst stretch. Null for empty texts."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    rows = rows.withColumn("nll", F.lit(None).cast("double")).withColumn("worst", F.lit(None).cast("double"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return workers.mapped(rows, lambda bs: _scored(bs, shared), kinds)
+def _scored(shard: pa.Table, answers: pa.Table, order: int, names: list[str]) -> pa.Table:
+    """One shard's rows, from the cost of each of its n-grams."""
+    t = pa.ipc.open_stream(shard["docs"][0].as_buffer()).read_all().combine_chunks()
+    text = t["text"].chunk(0)
+    cost = answers["cost"].to_numpy()[np.argsort(answers["slot"].to_numpy())].astype(np.float64)
+    sizes, means, worsts = [], [], []
+    for (_, at, _, _), numbers in zip(*numbered(text, order), strict=True):
+        sums = np.concatenate([[0.0], np.cumsum(cost[numbers])])
+        n = np.diff(at)
+        sizes.append(n)
+        means.append((sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1))
+        worsts.append(worst(sums, at))
+    n = np.concatenate(sizes)
+    new = {"n_chars": pa.array(n, pa.int64()), "nll": pa.array(np.concatenate(means), mask=n == 0), "worst": pa.array(np.concatenate(worsts), mask=n == 0)}
+    workers.given_back()
+    return pa.table({c: new[c] if c in new else t[c] for c in names})
+
+
+def scored(rows: DataFrame, order: int = ORDER, keep_text: bool = True, size: int = SHARD_BYTES) -> DataFrame:
+    """rows (text string not null, trained boolean not null, ...) -> with n_chars, nll: the mean negative logarithm of a code point's probability under a model of the trained rows' texts; its exponential is the perplexity; and worst: the same of the worst stretch. Null for empty texts. Without text, unless that is kept."""
+    shards = sharded(rows, order, size)
+    asked = written(shards.select(F.inline(F.arrays_zip("grams", "counts"))).toDF("g", "c").groupBy("g").agg(F.sum("c").alias("c")))
+    cost = costs(asked, order).select("g", (-F.ln("p")).cast("float").alias("cost"))
+    answers = shards.select("shard", F.posexplode("grams").alias("slot", "g")).join(cost, "g").select(F.col("shard").alias("of"), "slot", "cost")
+    kinds = [f for f in rows.schema.fields if keep_text or f.name != "text"] + [T.StructField("n_chars", T.LongType()), T.StructField("nll", T.DoubleType()), T.StructField("worst", T.DoubleType())]
+    names = [f.name for f in kinds]
+    return shards.select("shard", "docs").groupBy("shard").cogroup(answers.groupBy("of")).applyInArrow(lambda s, a: _scored(s, a, order, names), T.StructType(kinds))

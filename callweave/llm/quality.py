@@ -13,8 +13,8 @@ from callweave.session import table, written
 FOLDS = 5
 #: Share of held-out trusted documents within the limit.
 QUANTILE = 0.995
-#: A language with fewer held-out documents takes the limit of all languages together.
-LEAST_HELD = 100
+#: Of n held-out documents the limit lies 1 + WIDER / n times as far from the middle as the quantile does: few don't show how far good ones reach.
+WIDER = 3.0
 #: Ids, or limits, up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -40,55 +40,56 @@ def quantile(rows: DataFrame, value: Column, q: float, step: float) -> DataFrame
 
 def excess(middle: Column) -> Column:
     """How far a document's mean lies above its language's middle, in units that don't depend on its length: means of short texts scatter more."""
-    return (F.col("nll") - middle) * F.sqrt("n_bytes")
+    return (F.col("nll") - middle) * F.sqrt("n_chars")
 
 
-def limits(held: DataFrame, q: float = QUANTILE, least: int = LEAST_HELD) -> DataFrame:
-    """held (lang, nll, n_bytes, worst) -> lang, middle, most, stretch: one row for each language with `least` documents, and one, lang null, for all."""
-    both = written(held.where("nll IS NOT NULL").select(F.explode(F.array_distinct(F.array("lang", F.lit(None)))).alias("key"), "nll", "n_bytes", "worst"))
-    middles = quantile(both, F.col("nll"), 0.5, 0.001).select("key", "n", F.col("value").alias("middle")).where((F.col("n") >= least) | F.col("key").isNull())
-    middles = written(middles)
-    at = small(middles).select(F.col("key").alias("of"), "middle")
-    most = quantile(both.join(at, F.col("key").eqNullSafe(F.col("of"))), excess(F.col("middle")), q, 0.01)
-    stretch = quantile(both, F.col("worst"), q, 0.01).select("key", F.col("value").alias("stretch"))
-    out = middles.select(F.col("key").alias("lang"), "middle")
-    for limit in (most.select("key", F.col("value").alias("most")), stretch):
-        out = out.join(limit, F.col("lang").eqNullSafe(F.col("key"))).drop("key")
-    return written(out)
+def limits(held: DataFrame, q: float = QUANTILE, wider: float = WIDER) -> DataFrame:
+    """held (lang, nll, n_chars, worst) -> lang, middle, most, stretch: one row for each language, and one, lang null, for all documents together."""
+    both = written(held.where("nll IS NOT NULL").select(F.explode(F.array_distinct(F.array("lang", F.lit(None)))).alias("key"), "nll", "n_chars", "worst"))
+    middles = written(quantile(both, F.col("nll"), 0.5, 0.001).select(F.col("key").alias("of"), "n", F.col("value").alias("middle")))
+    far = quantile(both.join(small(middles), F.col("key").eqNullSafe(F.col("of"))), excess(F.col("middle")), q, 0.01).select("key", F.col("value").alias("far"))
+    usual = quantile(both, F.col("worst"), 0.5, 0.01).select("key", F.col("value").alias("usual"))
+    least = quantile(both, F.col("worst"), q, 0.01).select("key", F.col("value").alias("least"))
+    out = middles
+    for part in (far, usual, least):
+        out = out.join(part, F.col("of").eqNullSafe(F.col("key"))).drop("key")
+    factor = 1 + F.lit(wider) / F.col("n")
+    return written(out.select(F.col("of").alias("lang"), "middle", (F.col("far") * factor).alias("most"), (F.col("usual") + (F.col("least") - F.col("usual")) * factor).alias("stretch")))
 
 
-def judged(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", order: int = language_model.ORDER, q: float = QUANTILE) -> tuple[DataFrame, list[str]]:
-    """docs' columns as c0, c1, ... (the text as text, not null) with n_bytes, nll, worst, middle, most, stretch, kept, and docs' names (see frames). Texts are read three times and never shuffled, unless trusted ids are too many to broadcast."""
+def judged(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", order: int = language_model.ORDER, q: float = QUANTILE, whole: bool = True) -> tuple[DataFrame, list[str]]:
+    """docs' columns as c0, c1, ... (the text as text, not null) with n_chars, nll, worst, middle, most, stretch, kept, and docs' names (see frames); only id and lang of them unless whole. Texts are read once, and moved to trusted ids only if those are too many to broadcast."""
     rows, names = frames.plain(docs, text_col, id=id_col, lang=lang_col)
-    rows = rows.drop(f"c{names.index(text_col)}")  # `text` is the same but for nulls; twice is too much to send to Python
-    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("lang", F.col("lang").cast("string"))
-    ids = small(written(trusted(labels)))
-    own = rows.where("id IS NOT NULL").join(ids, "id")
-    model = language_model.train(own.where("NOT held").select("text"), order)
-    limit = limits(language_model.scored(own.where("held").select("lang", "n_bytes", "text"), model), q)
+    rows = rows.drop(f"c{names.index(text_col)}") if whole else rows.select("id", "lang", "text")  # `text` is the same but for nulls
+    ids = small(written(trusted(labels))).withColumnRenamed("id", "own")
+    rows = rows.withColumn("lang", F.col("lang").cast("string")).join(ids, F.col("id") == F.col("own"), "left").drop("own")
+    rows = rows.withColumn("trained", F.coalesce(~F.col("held"), F.lit(False))).withColumn("held", F.coalesce("held", F.lit(False)))
+    d = written(language_model.scored(rows, order, keep_text=whole))
+    limit = limits(d.where("held"), q)
     every = limit.where("lang IS NULL").first()
-    at = small(limit.where("lang IS NOT NULL")).select(F.col("lang").alias("of"), F.col("middle").alias("m"), F.col("most").alias("t"), F.col("stretch").alias("s"))
-    d = language_model.scored(rows, model).join(at, F.col("lang") == F.col("of"), "left")
-    d = d.withColumn("middle", F.coalesce("m", F.lit(every and every.middle).cast("double"))).withColumn("most", F.coalesce("t", F.lit(every and every.most).cast("double")))
-    d = d.withColumn("stretch", F.coalesce("s", F.lit(every and every.stretch).cast("double")))
+    at = small(limit.where("lang IS NOT NULL")).toDF("of", "m", "t", "s")
+    d = d.join(at, F.col("lang") == F.col("of"), "left")
+    for own, name in (("m", "middle"), ("t", "most"), ("s", "stretch")):
+        d = d.withColumn(name, F.coalesce(own, F.lit(every and every[name]).cast("double")))
     kept = F.when(F.col("nll").isNull(), False).otherwise(F.coalesce((excess(F.col("middle")) <= F.col("most")) & (F.col("worst") <= F.col("stretch")), F.lit(True)))
     return d.withColumn("kept", kept), names
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (of a byte), limit, kept: one row for each row of docs.
-
-    limit: the perplexity up to which a document of this language and length is kept; 0 where its worst stretch of 24 bytes
-    rules it out, whatever the perplexity of the whole. The model is an interpolated modified
-    Kneser-Ney one, trained on four fifths of all documents that labels trust; the limits are quantiles over the last fifth,
-    by language, or over all languages where one has too few or is null. Empty and null texts have no perplexity and are not
-    kept. Without trusted documents every document with text is kept. Rows without an id are never trusted, but judged; repeated
-    rows are judged alike; labels that repeat an id must all agree; extra columns are not read; an empty table gives an empty one.
+    """doc_id, lang, n_chars, perplexity (of a code point), limit, kept: one row for each row of docs.
+
+    limit: the perplexity up to which a document of this language and length is kept; 0 where its worst stretch of 8 code
+    points rules it out, whatever the perplexity of the whole. The model is an interpolated modified Kneser-Ney one of code
+    points, trained on four fifths of all documents that labels trust; the limits are quantiles over the last fifth, by
+    language, a little wider where a language has few; a language without any, or null, takes those of all languages. Empty and
+    null texts have no perplexity and are not kept. Without trusted documents every document with text is kept. Rows without an
+    id are never trusted, but judged; repeated rows are judged alike; labels that repeat an id must all agree; extra columns are
+    not read; an empty table gives an empty one.
     """
-    d, _ = judged(docs, labels, **options)
-    limit = F.exp(F.col("middle") + F.col("most") / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1))))
+    d, _ = judged(docs, labels, whole=False, **options)
+    limit = F.exp(F.col("middle") + F.col("most") / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1))))
     limit = F.when(F.col("worst") > F.col("stretch"), 0.0).otherwise(limit)
-    return d.select(F.col("id").alias("doc_id"), "lang", "n_bytes", F.exp("nll").alias("perplexity"), limit.alias("limit"), "kept")
+    return d.select(F.col("id").alias("doc_id"), "lang", "n_chars", F.exp("nll").alias("perplexity"), limit.alias("limit"), "kept")
 
 
 def good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
