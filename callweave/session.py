@@ -26,10 +26,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a compressed table in the shared folder: for wide rows, of which later steps read few columns."""
+def written(df: DataFrame, **options) -> DataFrame:
+    """df as a compressed table in the shared folder, with options of the writer: for wide rows, of which later steps read few columns."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/callweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
