@@ -82,8 +82,7 @@ def grams(texts: pa.Array, trained: np.ndarray, order: int) -> tuple[pa.Array, n
     """The different n-grams of the texts, by their numbers, and how often each occurs in trained texts."""
     points, counts, known = [], [], 0
     for (first, at, wide, put), numbers in zip(*numbered(texts, order), strict=True):
-        most = np.maximum.accumulate(numbers)
-        new = np.flatnonzero(np.diff(most, prepend=known - 1))
+        new = np.flatnonzero(np.diff(np.maximum.accumulate(np.concatenate([[known - 1], numbers]))))
         points.append(wide[put[new][:, None] - np.arange(order - 1, -1, -1)])
         known += len(new)
         counts.append(np.bincount(numbers[np.repeat(trained[first : first + len(at) - 1], np.diff(at))], minlength=known))

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from callweave.llm import language_model as lm
 from callweave.llm import quality as q
@@ -129,6 +130,21 @@ def test_cases(spark, sf):
     assert quality(both, lab.limit(0)).where("kept").count() == d.count() + 2
 
 
+def test_grams_over_many_chunks(monkeypatch):
+    monkeypatch.setattr(lm.words, "CHUNK", 40)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abé中") for _ in range(rng.randrange(30))) for _ in range(50)]
+    trained = np.array([rng.random() < 0.5 for _ in texts])
+    every, own = Counter(), Counter()
+    for t, use in zip(texts, trained, strict=True):
+        for i in range(len(t)):
+            g = ("\n\n" + t)[i : i + 3]
+            every[g] += 1
+            own[g] += use
+    g, c = lm.grams(pa.array(texts), trained, 3)
+    assert len(g) == len(every) and dict(zip(g.to_pylist(), c.tolist(), strict=True)) == dict(own)
+
+
 def test_worst_stretch():
     rng = np.random.default_rng(5)
     sizes = [0, 3, lm.STRETCH, lm.STRETCH + 1, 200, 0, 90, lm.STRETCH - 1, 0]
