@@ -141,8 +141,12 @@ def test_grams_over_many_chunks(monkeypatch):
             g = ("\n\n" + t)[i : i + 3]
             every[g] += 1
             own[g] += use
-    g, c = lm.grams(pa.array(texts), trained, 3)
-    assert len(g) == len(every) and dict(zip(g.to_pylist(), c.tolist(), strict=True)) == dict(own)
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(trained)], ["text", "trained"])
+    shard = lm.Shard(rows.schema, 3)
+    for k in range(0, 50, 20):
+        shard.add(rows.slice(k, 20))
+    out = shard.closed(7).to_pylist()[0]
+    assert len(out["grams"]) == len(every) and dict(zip(out["grams"], out["counts"], strict=True)) == dict(own)
 
 
 def test_worst_stretch():
