@@ -294,7 +294,7 @@ def _blocks_alike(batches, least):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
 
-def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, block_bytes: int = near_dups.BLOCK_BYTES) -> DataFrame:
     """doc_id, n_signatures, component_id, kept: one row for each row of docs.
 
     Linked are documents whose sets of signatures have a Jaccard likeness of `least` or more, wherever their ids are;
@@ -306,7 +306,7 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     are one partition below to that as well; two alike ones share one of their rarest signatures (all but least * size - 1 of
     them, in one order for all sets), so a bucket is a partition and such a signature. In each bucket all members are held for
     some rounds against one that is drawn; then every pair whose ends are still in different groups is held against each other,
-    in buckets of hot signatures block by block.
+    block by block.
     """
     if not 0 < least <= 1:
         raise ValueError("least is above 0 and at most 1")
@@ -327,25 +327,21 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     tested = None
     for k in range(ROUNDS + 1):
         left = written(near_dups.spread(met, groups, "bucket", "id", "n"))
-        x, apart = left.alias("x"), "x.component <> y.component"
         if k < ROUNDS:
             drawn = left.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("id", F.lit(k)).alias("draw"), *left.columns)).alias("m")).select("m.*")
-            pairs = x.join(drawn.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where(apart)
+            pairs = left.alias("x").join(drawn.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where("x.component <> y.component")
+            pairs = pairs.where(F.least("x.n", "y.n") / F.greatest("x.n", "y.n") >= least)
+            pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+            pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            tested = pairs if tested is None else tested.union(pairs)
+            both = pairs.join(a, "a").join(b, "b").select("a", "b", "sigs_a", "sigs_b")
+            more = workers.mapped(both, lambda bs: _alike(bs, least), "a long, b long")
         else:
-            few, blocks = near_dups.parted(left)
-            pairs = few.alias("x").join(few.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where(apart).where("x.id < y.id")
-        pairs = pairs.where(F.least("x.n", "y.n") / F.greatest("x.n", "y.n") >= least)
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.union(pairs)
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "sigs_a", "sigs_b")
-        more = workers.mapped(both, lambda bs: _alike(bs, least), "a long, b long")
-        if k == ROUNDS:
-            whole = blocks.join(sets, "id")
+            whole = near_dups.parted(left.withColumn("size", 4 * F.col("n")), block_bytes).join(sets, "id")
             row = F.struct("id", "component", "sigs")
             members = whole.groupBy("bucket", "block").agg(F.collect_list(row).alias("y"))
             asking = whole.where("asks IS NOT NULL").groupBy("bucket", "asks").agg(F.collect_list(row).alias("x"))
-            more = more.union(workers.mapped(asking.join(members, "bucket").select("x", "y"), lambda bs: _blocks_alike(bs, least), "a long, b long"))
+            more = workers.mapped(asking.join(members, "bucket").select("x", "y"), lambda bs: _blocks_alike(bs, least), "a long, b long")
         more = checkpointed(more)
         if not more.isEmpty():
             groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))

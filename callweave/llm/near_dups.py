@@ -20,12 +20,8 @@ STEP = words.constants(SLOTS, 17)
 BAND = words.constants(SLOTS, 29)
 #: Rounds in which all of a bucket are held against one member that is drawn, before all that are left are held against each other.
 ROUNDS = 2
-#: Members of a bucket above which they are compared in blocks of BLOCK, without a row for each pair.
-LARGE, BLOCK = 48, 32
-#: Longs of a sketch, 4 bits for each slot; links differ in at most so many slots of it: 4.75 standard deviations from what is expected at the threshold.
-SKETCH = SLOTS // 16
-_SAME = PERCENT / 100 + (1 - PERCENT / 100) / 16
-DIFFERENT = int(SLOTS * (1 - _SAME) + 4.75 * (SLOTS * _SAME * (1 - _SAME)) ** 0.5)
+#: Bytes of text in a block of a bucket. A longer text is a block of its own.
+BLOCK_BYTES = 1 << 17
 
 
 def super_minhash(elements: np.ndarray, ptr: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -74,9 +70,6 @@ def swap(places: np.ndarray, step: int, at: np.ndarray) -> np.ndarray:
     return got
 
 
-SKETCHES = [f"s{k}" for k in range(SKETCH)]
-
-
 def _signed(batches):
     for b in batches:
         for w in words.chunks(b.column("text")):
@@ -88,19 +81,17 @@ def _signed(batches):
             for k in range(per):
                 band += sig[:, k::per] * BAND[k]
             band = words.mix(band + BAND[-BANDS:])
-            bits = (words.mix(sig) >> np.uint64(60)).reshape(-1, SKETCH, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-            sketch = np.bitwise_or.reduce(bits, axis=2).view(np.int64)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(words.mix(e ^ BAND[c]))]) for c in (10, 11)]
             digest = [s[ptr[1:]] - s[ptr[:-1]] for s in sums]
             filled = np.where(size > 0, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled)]), pa.int32()), pa.array(band[size > 0].ravel().view(np.int64)))
             ids = b.column("id").slice(w.first, len(size))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), *(pa.array(d.view(np.int64)) for d in digest), lists, *(pa.array(sketch[:, k]) for k in range(SKETCH))], ["id", "n", "d1", "d2", "bands", *SKETCHES])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(np.diff(w.text), pa.int64()), *(pa.array(d.view(np.int64)) for d in digest), lists], ["id", "n", "size", "d1", "d2", "bands"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """docs (id long, text string not null) -> id, n (distinct shingles), d1, d2 (of the whole set), bands, s0, s1, ... (4 bits of each slot)."""
-    return workers.mapped(docs, _signed, "id long, n long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCHES))
+    """docs (id long, text string not null) -> id, n (distinct shingles), size (bytes of text), d1, d2 (of the whole set), bands."""
+    return workers.mapped(docs, _signed, "id long, n long, size long, d1 long, d2 long, bands array<long>")
 
 
 def _verified(batches):
@@ -134,18 +125,6 @@ def fits(a, b):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def close(a: str, b: str):
-    """The sketches of a and b differ in few enough slots."""
-    low = F.lit(0x1111111111111111)
-    total = F.lit(0)
-    for c in SKETCHES:
-        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
-        for shift in (1, 2):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(low))
-    return total <= DIFFERENT
-
-
 def spread(met: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
     """Rows of met in buckets whose members are not all in one group, with their component."""
     placed = met.join(groups, "id", "left").select(*columns, F.coalesce("component", "id").alias("component"))
@@ -153,18 +132,16 @@ def spread(met: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
     return placed.join(mixed, "bucket").select(*columns, "component")
 
 
-def parted(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of buckets of up to LARGE members, and (bucket, block, asks, id, component) of the others: blocks of some BLOCK members.
+def parted(left: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """left (bucket, id, component, size in bytes) -> bucket, block, asks, id, component: the members of a bucket in blocks of some block_bytes.
 
     asks: block of members outside the bucket's largest group. Those are to meet all blocks, others only those.
     """
-    groups = left.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    size = groups.groupBy("bucket").agg(F.sum("c").alias("members"), F.max(F.struct("c", "component")).alias("most"))
-    sized = written(left.join(size, "bucket"))
-    large = sized.where(F.col("members") > LARGE)
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.ceil(n / BLOCK))
-    asks = F.when(F.col("component") != F.col("most.component"), deal(F.col("members") - F.col("most.c")))
-    return sized.where(F.col("members") <= LARGE).select(*left.columns), large.select("bucket", deal(F.col("members")).alias("block"), asks.alias("asks"), "id", "component")
+    groups = left.groupBy("bucket", "component").agg(F.sum("size").alias("c"))
+    size = groups.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("most"))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.ceil(n / block_bytes), F.lit(1)))
+    asks = F.when(F.col("component") != F.col("most.component"), deal(F.col("all") - F.col("most.c")))
+    return written(left.join(size, "bucket").select("bucket", deal(F.col("all")).alias("block"), asks.alias("asks"), "id", "component"))
 
 
 def blocks_verified(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -217,6 +194,13 @@ def _blocks_verified(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
 
+def same_document(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the representatives of classes (d1, d2, rep) that rows of one id (id, d1, d2) are in."""
+    twice = some.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("low"), F.max(F.struct("d1", "d2")).alias("high")).where("low <> high")
+    of = written(some.join(twice.select("id"), "id", "left_semi").join(classes, ["d1", "d2"]).select("id", "rep"))
+    return of.join(of.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
@@ -227,17 +211,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read; an empty table gives an empty one.
 
     Documents with equal sets fold into one representative first. Representatives that agree in one of 32 bands of 4 slots
-    are candidates (a pair at the threshold is missed once in 200,000). In each bucket all members are held against its most
-    central member, the one whose buckets are largest; then, for some rounds, those not in its group against a member that is
-    drawn; then every pair of the bucket whose ends are still in different groups is held against each other, in large buckets block by block. After the first
-    time a pair is looked at only if its sketches agree in as many slots as a link's do (but for 1 in 500,000). No bucket is
-    capped, and no pair inside a group that is already joined is made.
+    are candidates (a pair at the threshold is missed once in 200,000), and every candidate is looked at on its full sets, or
+    joined to its group already. In each bucket all members are held against its most central member, the one whose buckets
+    are largest; then, for some rounds, those not in its group against a member that is drawn; then every pair of the bucket
+    whose ends are still in different groups is held against each other, block by block. Blocks are bounded by their bytes; no
+    bucket is capped, and all are treated alike.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     signed = written(signatures(rows))
     some = signed.where("id IS NOT NULL AND n > 0")
     classes = written(some.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
-    banded = some.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi").select("id", "n", F.explode("bands").alias("bucket")).distinct()
+    banded = some.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi").select("id", "n", "size", F.explode("bands").alias("bucket"))
+    banded = banded.groupBy("id", "n", "bucket").agg(F.max("size").alias("size"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     met = written(banded.join(shared, "bucket"))
     central = met.groupBy("id").agg(F.sum("members").alias("weight"))
@@ -247,28 +232,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = checkpointed(met.join(pivots, "bucket").where(F.col("id") != F.col("pivot")).where(fits(F.col("n"), F.col("pivot_n"))).select(*pair("id", "pivot")).distinct())
     texts = written(rows.join(met.select("id").distinct(), "id", "left_semi"))
-    links = verified(first, texts)
-    groups = components(links)
-    rest = spread(met, groups, "bucket", "id", "n")
-    rest = written(rest.drop("component").join(signed.select("id", *SKETCHES).dropDuplicates(["id"]), "id"))
-    tested = first
-    ends = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    apart = fits(F.col("x.n"), F.col("y.n")) & close("x", "y")
+    groups = components(verified(first, texts).union(same_document(some, classes)))
+    tested, rest = first, met.select("bucket", "id", "n", "size")
     for k in range(ROUNDS + 1):
-        left = written(spread(rest, groups, *rest.columns))
+        rest = written(spread(rest, groups, "bucket", "id", "n", "size"))
         if k < ROUNDS:
-            drawn = left.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("id", F.lit(k)).alias("draw"), *left.columns)).alias("m")).select("m.*")
-            pairs = left.alias("x").join(drawn.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where("x.component <> y.component").where(apart)
+            drawn = rest.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("id", F.lit(k)).alias("draw"), *rest.columns)).alias("m")).select("m.*")
+            pairs = rest.alias("x").join(drawn.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where("x.component <> y.component").where(fits(F.col("x.n"), F.col("y.n")))
+            pairs = checkpointed(pairs.select(*pair("x.id", "y.id")).distinct().join(tested, ["a", "b"], "left_anti"))
+            tested, more = tested.union(pairs), verified(pairs, texts)
         else:
-            left, blocks = parted(left)
-            pairs = left.alias("x").join(left.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where("x.id < y.id AND x.component <> y.component").where(apart)
-        pairs = checkpointed(pairs.select(*ends(F.col("x.id"), F.col("y.id"))).distinct().join(tested, ["a", "b"], "left_anti"))
-        more = verified(pairs, texts)
-        if k == ROUNDS:
-            more = more.union(blocks_verified(blocks, texts))
+            more = blocks_verified(parted(rest), texts)
         if not more.isEmpty():
-            tested = tested.union(pairs)
             groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+        rest = rest.drop("component")
     home = classes.join(groups, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     linked = signed.where("id IS NOT NULL AND n > 0").join(home, ["d1", "d2"]).select("id", "n", "component_id")
     alone = signed.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))

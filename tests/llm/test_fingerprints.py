@@ -3,7 +3,6 @@ import re
 
 import pytest
 
-from callweave.llm import near_dups
 from callweave.llm.fingerprints import ANCHORS, CHAIN, alike, fingerprints, lengths, likeness, op7_alike, op7_fingerprints, shortest, signatures
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -84,16 +83,14 @@ def test_alike_query(spark, sf):
     assert got == grouped(docs, 0.75) and len(set(got.values())) < len(docs)
 
 
-@pytest.mark.parametrize("least, large", [(0.75, 48), (0.75, 4), (0.4, 48), (1.0, 48)])
-def test_alike_far_apart(spark, monkeypatch, least, large):
-    monkeypatch.setattr(near_dups, "LARGE", large)
-    monkeypatch.setattr(near_dups, "BLOCK", 3)
+@pytest.mark.parametrize("least, block", [(0.75, 1 << 17), (0.75, 60), (0.4, 200), (1.0, 60)])
+def test_alike_far_apart(spark, least, block):
     say = lambda words: " ".join(f"the {w} x{w}" for w in words)
     docs = {1000 * (i % 7) + i: say(range(5 * (i % 5), 5 * (i % 5) + 6 + i)) for i in range(30)}
     docs |= {20_000 + 13 * i: say(["hot", *(f"{i}u{j}" for j in range(i % 3 + 1))]) for i in range(25)}
     docs |= {50_000: docs[1001], 50_001: "", 50_002: "solo"}
     d = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.component_id for r in alike(d, least=least).collect()}
+    got = {r.doc_id: r.component_id for r in alike(d, least=least, block_bytes=block).collect()}
     assert got == grouped(docs, least)
 
 

@@ -1,5 +1,7 @@
 import random
 import re
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 
@@ -135,3 +137,44 @@ def test_large_bucket_of_single_documents(spark):
                 p, q = sorted((find(a), find(b)))
                 low[q] = p
     assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(d).collect()} == {i: find(i) for i in texts}
+
+
+def test_equals_all_pairs_of_a_larger_table(spark):
+    """Every pair that shares a shingle, at sf0.01."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    sets, having = {}, {}
+    for i, t in docs.items():
+        w = WORD.findall(lower(t))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+        for s in sets[i]:
+            having.setdefault(s, []).append(i)
+    both = Counter((a, b) for ids in having.values() for a, b in combinations(sorted(ids), 2))
+    low = {i: i for i in docs}
+
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for (a, b), n in both.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            p, q = sorted((find(a), find(b)))
+            low[q] = p
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op6_near_duplicates(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: (len(sets[i]), find(i)) for i in docs}
+
+
+def test_one_group_of_many(spark):
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[: i % 120], f"x{i}", *base[i % 120 + 1 :]])) for i in range(20_000)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert out.where("component_id = 0").count() == 20_000 and out.where("kept").count() == 1
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """The rows of an id are one document, whatever partition they come from."""
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one), (2, one), (2, two), (3, two), (3, two + " c")]
+    for n in (1, 3):
+        out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n))
+        assert {(r.doc_id, r.component_id) for r in out.collect()} == {(1, 1), (2, 1), (3, 1)}
