@@ -212,7 +212,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit:
     none = [F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words")]
     rows = docs.select("*", *none)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    for k, block in enumerate(item_blocks(benchmark, limit=limit) if benchmark.limit(1).count() else [[]]):
+    blocks = item_blocks(benchmark, limit=limit)
+    for k, block in enumerate(itertools.chain([next(blocks, [])], blocks)):  # words are counted even without items
         shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
         rows = written(rows) if k else rows
         rows = workers.mapped(rows, lambda bs, key=key, shared=shared: _pass(bs, key, shared, window), kinds, holds=True)

@@ -26,10 +26,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+",
     "number": r"(?<![0-9.])[0-9](?:[\x20./-]?[0-9]){8,18}+(?![0-9])",
-    "handle": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++",
+    "handle": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(][Aa][Tt][\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(][Dd][Oo][Tt][\])])\x20?[A-Za-z0-9-]++)++",
 }
 #: One of what a text must hold before its pattern is tried at all.
-NEEDS = {"email": ("@",), "phone": ("+",), "handle": ("at", "AT")}
+NEEDS = {"email": ("@",), "phone": ("+",), "handle": ("[", "(")}
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
 CONTEXT = 24
@@ -37,12 +37,17 @@ ROUNDS = 20
 ACCEPT = 0.5
 
 #: Cue words before a span, words that speak against it, top-level domains, leading digits of card issuers.
-CUES = "mail|contact|kontakt|correo|courriel|tel|phone|call|fon|card|carte|karte|tarjeta|visa|konto|account|iban|host|server|token|secret|passw|api|key|ssn|passport"
-AGAINST = "version|isbn|issn|doi|page|seite|figure|table|order|invoice|build|release|commit|sha|md5|hash"
+CUES = "mail|email|mailto|contact|kontakt|correo|courriel|tel|telefon|telefono|telephone|phone|mobile|call|fon|card|carte|karte|tarjeta|visa|konto|account|iban|host|server|token|secret|password|passwort|passwd|api|apikey|key|ssn|passport"
+AGAINST = "version|isbn|issn|doi|page|seite|figure|table|order|invoice|build|release|commit|sha|sha1|sha256|md5|hash"
 DOMAINS = "com|net|org|edu|gov|info|io|de|fr|es|it|eu|uk|ch|at"
 ISSUERS = "[3-6]"
 
 
+def word(one_of: str) -> str:
+    """A pattern for one of the words, whole: monkey is no key."""
+    return f"(?<![a-z])({one_of})(?![a-z])"
+
+
 def hits(text: Column, kind: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     if kind not in NEEDS:
@@ -108,10 +113,10 @@ def seen(name: str) -> str:
         # regex: the exact forms, and how long keys and numbers look that are drawn at random
         f"CASE WHEN x.k < {len(BASE)} THEN 1 WHEN x.k = 4 THEN int(x.m RLIKE '^([0-9a-f]{{32}}|[0-9a-f]{{40}}|[0-9a-f]{{64}}|[A-Za-z]{{2,4}}[_-][A-Za-z0-9_-]+)$') WHEN x.k = 5 THEN int(x.m RLIKE '^([0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}|[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}})$') ELSE 1 END",
         # gazetteers: known domains, issuers, private networks
-        f"CASE WHEN x.k IN (0, 6) THEN CASE WHEN lower(x.m) RLIKE '({DOMAINS})$' THEN 1 ELSE 0 END WHEN x.k IN (2, 5) THEN CASE WHEN x.m RLIKE '^{ISSUERS}' THEN 1 ELSE 0 END WHEN x.k = 1 THEN CASE WHEN x.m RLIKE '^(0|127|255)[.]' THEN 0 ELSE 1 END ELSE 2 END",
+        f"CASE WHEN x.k IN (0, 6) THEN CASE WHEN lower(x.m) RLIKE '(?<![a-z0-9-])({DOMAINS})$' THEN 1 ELSE 0 END WHEN x.k IN (2, 5) THEN CASE WHEN x.m RLIKE '^{ISSUERS}' THEN 1 ELSE 0 END WHEN x.k = 1 THEN CASE WHEN x.m RLIKE '^(0|127|255)[.]' THEN 0 ELSE 1 END ELSE 2 END",
         # context: cue words before the span, words against it, and assignment
-        f"CASE WHEN {left} RLIKE '({CUES})' THEN 1 ELSE 2 END",
-        f"CASE WHEN {left} RLIKE '({AGAINST})' THEN 0 ELSE 2 END",
+        f"CASE WHEN {left} RLIKE '{word(CUES)}' THEN 1 ELSE 2 END",
+        f"CASE WHEN {left} RLIKE '{word(AGAINST)}' THEN 0 ELSE 2 END",
         f"CASE WHEN {left} RLIKE '[=:] ?\"?$' THEN 1 WHEN {left} RLIKE '[#/._-]$' THEN 0 ELSE 2 END",
     ]
     features = [
@@ -120,7 +125,7 @@ def seen(name: str) -> str:
         "CASE WHEN x.m RLIKE '[A-Z]' AND x.m RLIKE '[a-z]' THEN 2 WHEN x.m RLIKE '[A-Z]' THEN 1 ELSE 0 END",
         f"CASE WHEN {near} = '' THEN 0 WHEN {near} RLIKE '[ \\\\n\\\\t]' THEN 1 WHEN {near} RLIKE '[(<\"=:]' THEN 2 ELSE 3 END",
         f"CASE WHEN {right} = '' THEN 0 WHEN {right} RLIKE '[ \\\\n\\\\t]' THEN 1 WHEN {right} RLIKE '[)>\".,;]' THEN 2 ELSE 3 END",
-        f"int({left} RLIKE '({CUES})')",
+        f"int({left} RLIKE '{word(CUES)}')",
     ]
     return f"transform({name}, x -> named_struct('x', x, 'v', array({', '.join(f'int({v})' for v in votes)}), 'f', array({', '.join(f'int({f})' for f in features)})))"
 

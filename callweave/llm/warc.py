@@ -64,13 +64,15 @@ FIELDS = ("record_id", "warc_type", "warc_date", "target_uri", "refers_to", "ref
 KINDS = ", ".join(f"{c} {'long' if c == 'content_length' else 'string'}" for c in FIELDS)
 
 
+SOURCE = ("record_id", "target_uri", "warc_date", "http_head", "payload", "source_block_digest", "source_payload_digest")
+
+
 def _derived(batches):
     for b in batches:
-        cols = {c: b.column(c).to_pylist() for c in ("record_id", "target_uri", "warc_date", "http_head", "payload")}
         rows = []
-        for source, uri, date, head, page in zip(*cols.values(), strict=True):
-            data = page.encode()
-            of = (source, date, digest(f"{head}\r\n\r\n".encode() + data), digest(data))
+        for source, uri, date, head, data, block_digest, payload_digest in zip(*(b.column(c).to_pylist() for c in SOURCE), strict=True):
+            page = data.decode("utf-8", "replace")
+            of = (source, date, block_digest or digest(f"{head}\r\n\r\n".encode() + data), payload_digest or digest(data))
             for kind, mime, block in (("metadata", "application/warc-fields", metadata_block(head, page)), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
                 raw = block.encode()
                 rows.append((derived_id(source, kind), kind, date, uri, *of, mime, len(raw), digest(raw), block))
@@ -78,18 +80,26 @@ def _derived(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(FIELDS), kinds, strict=True)], list(FIELDS))
 
 
-def derivatives(responses: DataFrame) -> DataFrame:
-    """Two rows, warc_type metadata and conversion, for each row of responses (record_id, target_uri, warc_date, http_head, payload: strings).
+def header(name: str) -> Column:
+    """A header value on one line: what holds line ends could pass for further headers."""
+    return F.trim(F.regexp_replace(F.col(name).cast("string"), r"\s+", " "))
 
-    refers_to and refers_to_date name the response, source_block_digest and source_payload_digest are its digests, and the
-    metadata's block repeats its header lines. Null heads and payloads count as empty; a null record_id refers to an id made from
-    address, date and payload; null addresses and dates stay null. Repeated rows give repeated records, with the same ids. Extra
-    columns are not read; an empty table gives an empty one. No shuffle.
+
+def derivatives(responses: DataFrame) -> DataFrame:
+    """Two rows, warc_type metadata and conversion, for each row of responses (record_id, target_uri, warc_date, http_head, payload; perhaps source_block_digest, source_payload_digest).
+
+    refers_to and refers_to_date name the response; source_block_digest and source_payload_digest are those it came with, or
+    computed from its bytes where it has none; the metadata's block repeats its header lines. payload is a string or binary, of
+    which bytes that are no UTF-8 are replaced in texts, not in digests. Header values go on one line. Null heads and payloads
+    count as empty; a null record_id refers to an id made from address, date and payload; null addresses and dates stay null.
+    Repeated rows give repeated records, with the same ids. Extra columns are not read; an empty table gives an empty one. No
+    shuffle.
     """
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    own = F.coalesce(F.col("record_id").cast("string"), record_id(F.col("target_uri"), F.col("warc_date"), F.col("payload")))
-    rows = responses.select(own.alias("record_id"), F.col("target_uri").cast("string").alias("target_uri"), F.col("warc_date").cast("string").alias("warc_date"), text("http_head").alias("http_head"), text("payload").alias("payload"))
-    return workers.mapped(rows, _derived, KINDS)
+    own = F.coalesce(header("record_id"), record_id(F.col("target_uri"), F.col("warc_date"), F.col("payload")))
+    head = F.coalesce(F.col("http_head").cast("string"), F.lit(""))
+    came = lambda c: header(c) if c in responses.columns else F.lit(None).cast("string")
+    cols = (own, header("target_uri"), header("warc_date"), head, F.coalesce(F.col("payload").cast("binary"), F.lit(b"")), came(SOURCE[5]), came(SOURCE[6]))
+    return workers.mapped(responses.select(*[c.alias(n) for c, n in zip(cols, SOURCE, strict=True)]), _derived, KINDS)
 
 
 def record_id(*parts: Column) -> Column:

@@ -88,3 +88,15 @@ def test_automaton_tracks_the_longest_match():
     a = Automaton([("0", "a b a b c"), ("1", "b c")], window=2)
     w = next(words.chunks(pa.array(["a b c a x b c"]), words.ALNUM))
     assert a.hits(w) == {0: ([(0, 3), (5, 7)], {0, 1})}
+
+
+def test_null_items_and_odd_rows(spark):
+    """Words are counted whatever the items are; null ids, repeated rows and long texts stay."""
+    docs = [(1, "one two three"), (None, "one two three"), (2, None), (2, None), (3, "w " * 300_000 + "a b c d e f g h i j")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    item = "A b c d e f g h i j"
+    for texts in ([], [None], [None, None, ""], [None, item]):
+        b = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "item_id long, text string")
+        got = sorted(map(str, map(tuple, contamination(d, b).collect())))
+        assert got == sorted(str((i, *expect("" if t is None else t[-40:], list(enumerate(texts))))) if i != 3 else str((3, 300_010, *expect(item, list(enumerate(texts)))[1:])) for i, t in docs)
+        assert decontaminated(d, b).count() == 5

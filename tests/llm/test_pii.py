@@ -108,7 +108,17 @@ def test_cases(spark):
 
 
 def test_handles_in_capitals(spark):
-    texts = ["JOE [AT] ACME [DOT] COM", "joe (at) acme (dot) com", "JOE (AT) ACME.COM", "JOE [AND] ACME"]
+    texts = ["JOE [AT] ACME [DOT] COM", "joe (at) acme (dot) com", "JOE (AT) ACME.COM", "JOE [AND] ACME", "Bob [At] Example [Dot] com"]
     d = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     got = {r.i: [x.m for x in r.extra] for r in pii.spans(d).collect()}
-    assert got == {0: texts[:1], 1: texts[1:2], 2: texts[2:3], 3: []}
+    assert got == {0: texts[:1], 1: texts[1:2], 2: texts[2:3], 3: [], 4: texts[4:]}
+
+
+def test_labelers_take_whole_words(spark):
+    """A hotel is no telephone, a monkey no key; telecom is no domain."""
+    texts = ["hotel a1@b.com", "tel a1@b.com", "monkey a1@x.telecom", "api_key a1@x.de", "the conversion a1@b.com", "version: a1@b.com"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    votes = {r.i: r.seen[0].v for r in pii.spans(d).select("i", F.expr(pii.seen("base")).alias("seen")).collect()}
+    assert [votes[i][1] for i in range(6)] == [1, 1, 0, 1, 1, 1]
+    assert [votes[i][2] for i in range(6)] == [2, 1, 2, 1, 2, 2]
+    assert [votes[i][3] for i in range(6)] == [2, 2, 2, 2, 2, 0]

@@ -78,3 +78,21 @@ def test_cases(spark):
     assert len(out) == 6 and len({r.record_id for r in out}) == 4
     assert {r.block for r in out} == {"", "hi", "source-header: H: 1\r\n"}
     assert derivatives(d.limit(0)).count() == 0
+
+
+def test_header_values_stay_on_one_line(spark):
+    d = spark.createDataFrame([("<x>", "http://a/\r\nWARC-Type: response\r\nX: 1", "t", "H: 1", "<p>hi")], "record_id string, target_uri string, warc_date string, http_head string, payload string")
+    fields = [f for f, _ in parsed(b"".join(bytes(r.record) for r in serialized(derivatives(d)).collect()))]
+    assert [f["WARC-Type"] for f in fields] == ["metadata", "conversion"]
+    assert all(f["WARC-Target-URI"] == "http://a/ WARC-Type: response X: 1" for f in fields)
+
+
+def test_bytes_and_given_digests(spark):
+    raw = b"<p>caf\xe9 " + "é".encode() + b"</p>" * 3 + b"<p>long " + b"x" * 2_000_000
+    rows = [("<a>", "u", "t", "H", raw, "sha1:GIVEN", None), ("<b>", "u", "t", "H", None, None, "md5:OTHER")]
+    d = spark.createDataFrame(rows, "record_id string, target_uri string, warc_date string, http_head string, payload binary, source_block_digest string, source_payload_digest string")
+    out = {(r.refers_to, r.warc_type): r for r in derivatives(d).collect()}
+    one, two = out["<a>", "conversion"], out["<b>", "metadata"]
+    assert (one.source_block_digest, one.source_payload_digest) == ("sha1:GIVEN", sha(raw))
+    assert one.block.startswith("caf\ufffd é\nlong x") and len(one.block) > 2_000_000
+    assert (two.source_block_digest, two.source_payload_digest) == (sha(b"H\r\n\r\n"), "md5:OTHER")
