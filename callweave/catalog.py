@@ -1,20 +1,21 @@
 """Queries over the supplied tables, one for each operator, with the SQL that gives the same rows.
 
-The tables hold no programs, so that each plays a part: within an order the parts of large lines call one another; parts are
-functions, their brands modules, their types packages, the words of their names properties; events of a user are a run's
-calls (click), entries (view), clearings (error) and loads (purchase); regions, nations and suppliers are a dependency tree.
+The tables hold no programs, so that each plays a part: within an order the parts of its lines call one another; parts are
+functions, those of size 1 the entry points, their brands modules, their types packages, the words of their names properties;
+events of a user are a run's calls (click), entries (view), clearings (error) and loads (purchase); regions, nations, suppliers
+and customers are a dependency tree; customers load orders, and these parts. Every table takes part whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callweave.functions import text
-from callweave.operators import events, graph, lookups, matching, solver
+from callweave.operators import events, graph, lookups, matching, scan, solver
 from callweave.plans.fixpoint import reached
 from callweave.session import table
 from callweave.streaming import live
@@ -36,19 +37,31 @@ def query(sql: str) -> Callable[[Query], Query]:
 # ---- the parts that tables play
 
 
-def part_edges(spark: SparkSession, sf: str, big: bool | None = True) -> DataFrame:
-    """Of large lines, of small ones, or (None) of all."""
+def part_edges(spark: SparkSession, sf: str, which: str = "true") -> DataFrame:
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    d = table(spark, sf, "lineitem").where("true" if big is None else "l_quantity >= 44" if big else "l_quantity <= 3")
+    d = table(spark, sf, "lineitem").where(which)
     return d.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst IS NOT NULL").distinct()
 
 
-def seeds(spark: SparkSession, sf: str, every: int = 100) -> DataFrame:
-    return part_edges(spark, sf).where(F.col("src") % every == 0).select(F.col("src").alias("node")).distinct()
+def parts(spark: SparkSession, sf: str, which: str = "true") -> DataFrame:
+    return table(spark, sf, "part").where(which).select(F.col("p_partkey").alias("node"))
 
 
 def reach(spark: SparkSession, sf: str) -> DataFrame:
-    return reached(part_edges(spark, sf), seeds(spark, sf)).select("node")
+    return reached(part_edges(spark, sf), parts(spark, sf, "p_size = 1")).select("node")
+
+
+def named(kind: str, column: str) -> Column:
+    return F.concat(F.lit(kind), F.col(column).cast("string"))
+
+
+def load_edges(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select(named("c", "o_custkey").alias("src"), named("o", "o_orderkey").alias("dst"))
+    return orders.union(table(spark, sf, "lineitem").select(named("o", "l_orderkey"), named("p", "l_partkey"))).distinct()
+
+
+def loaders(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(named("c", "c_custkey").alias("node"))
 
 
 def words_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,8 +81,10 @@ def runs(rows: DataFrame) -> DataFrame:
 
 
 EDGE = """edge AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
-  FROM lineitem WHERE l_quantity >= 44) WHERE dst IS NOT NULL)"""
-REACH = "reach AS (SELECT src AS node FROM edge WHERE src % 100 = 0 UNION SELECT dst FROM reach JOIN edge ON node = src)"
+  FROM lineitem) WHERE dst IS NOT NULL)"""
+REACH = "reach AS (SELECT p_partkey AS node FROM part WHERE p_size = 1 UNION SELECT dst FROM reach JOIN edge ON node = src)"
+LOAD = "load AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem)"
+LOADED = "walk AS (SELECT 'c' || c_custkey AS node, 0 AS depth FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT dst, depth + 1 FROM walk JOIN load ON node = src)"
 WORDS = "word AS (SELECT *, unnest(string_split(p_name, ' ')) AS prop FROM part)"
 TREE = "tree AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier)"
 RUNS = """run AS (SELECT user_id AS stream, ts, event_id, event_id AS key, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, event_type = 'signup' AS start,
@@ -90,19 +105,20 @@ def op_reach_edges(spark, sf):
     return graph.induced(part_edges(spark, sf), reach(spark, sf))
 
 
-@query(f"WITH RECURSIVE {EDGE}, {REACH.replace('% 100', '% 10')} SELECT node FROM reach")
+@query(f"WITH RECURSIVE {EDGE}, {REACH.replace('p_size = 1', 'p_size <= 5')} SELECT node FROM reach")
 def op_reach_all_usages(spark, sf):
-    return reached(part_edges(spark, sf), seeds(spark, sf, 10)).select("node")
+    return reached(part_edges(spark, sf), parts(spark, sf, "p_size <= 5")).select("node")
 
 
-@query(f"WITH RECURSIVE {EDGE}, walk AS (SELECT src AS node, 0 AS depth FROM edge WHERE src % 100 = 0 UNION SELECT dst, depth + 1 FROM walk JOIN edge ON node = src WHERE depth < 40) SELECT node, min(depth) AS depth FROM walk GROUP BY node")
+@query(f"WITH RECURSIVE {LOAD}, {LOADED} SELECT node, min(depth) AS depth FROM walk GROUP BY node")
 def op_transitive_load(spark, sf):
-    return reached(part_edges(spark, sf), seeds(spark, sf))
+    return reached(load_edges(spark, sf), loaders(spark, sf))
 
 
-@query(f"WITH RECURSIVE {EDGE}, {REACH} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT node FROM reach)")
+@query(f"WITH RECURSIVE {LOAD}, {LOADED} SELECT node FROM (SELECT 'o' || o_orderkey AS node FROM orders UNION SELECT 'p' || p_partkey FROM part) WHERE node NOT IN (SELECT node FROM walk)")
 def op_redundant(spark, sf):
-    return graph.unreached(table(spark, sf, "part").select(F.col("p_partkey").alias("node")), part_edges(spark, sf), seeds(spark, sf))
+    nodes = table(spark, sf, "orders").select(named("o", "o_orderkey").alias("node")).union(table(spark, sf, "part").select(named("p", "p_partkey")))
+    return graph.unreached(nodes.distinct(), load_edges(spark, sf), loaders(spark, sf))
 
 
 @query(f"WITH RECURSIVE {TREE}, c AS (SELECT src AS module, src AS member FROM tree UNION SELECT dst, dst FROM tree UNION SELECT module, dst FROM c JOIN tree ON member = src) SELECT module, member FROM c")
@@ -115,22 +131,24 @@ def op_distance1(spark, sf):
     return graph.neighbours(tree(spark, sf))
 
 
-@query(f"WITH RECURSIVE {EDGE}, rho AS (SELECT p_partkey AS node, p_partkey AS target FROM part WHERE p_partkey % 50 = 0 UNION SELECT src, target FROM edge JOIN rho ON dst = node) SELECT node, target FROM rho")
+@query(f"""WITH RECURSIVE {TREE}, below AS (SELECT src, dst FROM tree UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+fn AS (SELECT 's' || s_suppkey AS node FROM supplier UNION SELECT 'c' || c_custkey FROM customer),
+rho AS (SELECT node, node AS target FROM fn UNION SELECT src, target FROM below JOIN rho ON dst = node) SELECT node, target FROM rho""")
 def op_points_to(spark, sf):
-    resolved = table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("node"))
-    return solver.targets(part_edges(spark, sf).toDF("node", "below"), resolved)
+    customers = table(spark, sf, "customer").select(named("n", "c_nationkey"), named("c", "c_custkey").alias("node"))
+    resolved = table(spark, sf, "supplier").select(named("s", "s_suppkey").alias("node")).union(customers.select("node"))
+    return solver.targets(tree(spark, sf).union(customers).toDF("node", "below"), resolved)
 
 
-@query(f"""WITH RECURSIVE {EDGE}, pred AS (SELECT dst, min(src) AS src FROM edge GROUP BY dst),
-t AS (SELECT p_partkey AS target, 0 AS step, p_partkey AS node FROM part WHERE p_partkey % 200 = 7 UNION ALL SELECT target, step + 1, src FROM t JOIN pred ON node = dst WHERE step < 10) SELECT target, step, node FROM t""")
+@query(f"""WITH {EDGE}, pred AS (SELECT dst, min(src) AS src FROM edge GROUP BY dst), s0 AS (SELECT p_partkey AS target, 0 AS step, p_partkey AS node FROM part),
+{", ".join(f"s{k} AS (SELECT target, {k} AS step, src AS node FROM s{k - 1} JOIN pred ON node = dst)" for k in range(1, 11))} {" UNION ALL ".join(f"SELECT target, step, node FROM s{k}" for k in range(11))}""")
 def op_stack_trace(spark, sf):
-    targets = table(spark, sf, "part").where("p_partkey % 200 = 7").select(F.col("p_partkey").alias("node"))
-    return graph.traces(part_edges(spark, sf).withColumn("ord", F.col("src")), targets)
+    return graph.traces(part_edges(spark, sf).withColumn("ord", F.col("src")), parts(spark, sf))
 
 
-@query(f"WITH {EDGE}, {EDGE.replace('edge AS', 'small AS').replace('>= 44', '<= 3')} SELECT src, dst FROM edge UNION SELECT src, dst FROM small")
+@query(f"WITH {EDGE.replace('FROM lineitem)', "FROM lineitem WHERE l_linestatus = 'O')")}, {EDGE.replace('edge AS', 'other AS').replace('FROM lineitem)', "FROM lineitem WHERE l_linestatus <> 'O')")} SELECT src, dst FROM edge UNION SELECT src, dst FROM other")
 def op_merge_graph(spark, sf):
-    return graph.merged(part_edges(spark, sf), part_edges(spark, sf, big=False))
+    return graph.merged(part_edges(spark, sf, "l_linestatus = 'O'"), part_edges(spark, sf, "l_linestatus <> 'O'"))
 
 
 @query("""WITH l AS (SELECT l_partkey AS key, min(l_suppkey) AS value FROM lineitem GROUP BY 1), r AS (SELECT l_partkey AS key, max(l_suppkey) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
@@ -180,18 +198,18 @@ def op_edge_variants(spark, sf):
 # ---- reads and writes
 
 
-@query(f"WITH {WORDS} SELECT DISTINCT r.p_partkey AS read, w.p_partkey AS ap FROM word r JOIN word w ON r.p_brand = w.p_brand AND r.prop = w.prop WHERE w.p_partkey % 20 = 0")
+@query(f"WITH {WORDS} SELECT DISTINCT r.p_partkey AS read, w.p_partkey AS ap FROM word r JOIN word w ON r.p_brand = w.p_brand AND r.prop = w.prop")
 def op_field_exact(spark, sf):
-    d = words_of(spark, sf)
-    return lookups.fields(d.select(F.col("p_partkey").alias("read"), F.col("p_brand").alias("module"), "prop"), d.where("p_partkey % 20 = 0").select(F.col("p_brand").alias("module"), "prop", F.col("p_partkey").alias("ap")))
+    d = words_of(spark, sf).select(F.col("p_partkey").alias("read"), F.col("p_brand").alias("module"), "prop").distinct()
+    return lookups.fields(d, d.withColumnRenamed("read", "ap"))
 
 
-@query(f"""WITH {WORDS}, pat AS (SELECT DISTINCT 'prefix' AS kind, prop[1:2] AS t, p_type AS ap FROM word WHERE p_partkey % 20 = 0 UNION SELECT DISTINCT 'suffix', prop[-2:], p_type FROM word WHERE p_partkey % 20 = 1)
+@query(f"""WITH {WORDS}, pat AS (SELECT DISTINCT 'prefix' AS kind, prop[1:2] AS t, p_type AS ap FROM word UNION SELECT DISTINCT 'suffix', prop[-2:], p_type FROM word)
 SELECT DISTINCT p_brand || '.' || prop AS read, ap FROM word JOIN pat ON (kind = 'prefix' AND starts_with(prop, t)) OR (kind = 'suffix' AND suffix(prop, t))""")
 def op_field_wild(spark, sf):
     d = words_of(spark, sf)
     reads = d.select(F.concat_ws(".", "p_brand", "prop").alias("read"), "prop").distinct()
-    kinds = [d.where(f"p_partkey % 20 = {k}").select(F.lit(kind).alias("kind"), cut.alias("text"), F.col("p_type").alias("ap")) for k, kind, cut in ((0, "prefix", F.substring("prop", 1, 2)), (1, "suffix", F.right("prop", F.lit(2))))]
+    kinds = [d.select(F.lit(kind).alias("kind"), cut.alias("text"), F.col("p_type").alias("ap")) for kind, cut in (("prefix", F.substring("prop", 1, 2)), ("suffix", F.right("prop", F.lit(2))))]
     return lookups.wild_fields(reads, kinds[0].union(kinds[1]).distinct())
 
 
@@ -202,29 +220,29 @@ def op_field_scope(spark, sf):
     return lookups.scoped(writes, graph.neighbours(tree(spark, sf)))
 
 
-@query(f"WITH {WORDS} SELECT DISTINCT r.p_type AS read, w.p_partkey AS ap FROM word r JOIN word w USING (prop) WHERE w.p_partkey % 9 = 0")
+@query(f"WITH {WORDS} SELECT DISTINCT r.p_type AS read, w.p_partkey AS ap FROM word r JOIN word w USING (prop)")
 def op_getter(spark, sf):
     d, one = words_of(spark, sf), F.lit(0).alias("module")
-    return lookups.fields(d.select(F.col("p_type").alias("read"), one, "prop").distinct(), d.where("p_partkey % 9 = 0").select(one, "prop", F.col("p_partkey").alias("ap")))
+    return lookups.fields(d.select(F.col("p_type").alias("read"), one, "prop").distinct(), d.select(one, "prop", F.col("p_partkey").alias("ap")).distinct())
 
 
-NAMES = "(SELECT DISTINCT {id} AS id, CASE p_size % 3 WHEN 0 THEN 'literal' WHEN 1 THEN 'prefix' ELSE 'suffix' END AS kind, CASE p_size % 3 WHEN 0 THEN prop WHEN 1 THEN prop[1:1 + p_size % 2] ELSE prop[-1 - p_size % 2:] END AS t FROM word WHERE p_partkey % 4 = {k})"
+NAMES = "(SELECT DISTINCT {id} AS id, CASE p_size % 3 WHEN 0 THEN 'literal' WHEN 1 THEN 'prefix' ELSE 'suffix' END AS kind, CASE p_size % 3 WHEN 0 THEN prop WHEN 1 THEN prop[1:1 + p_size % 2] ELSE prop[-1 - p_size % 2:] END AS t FROM word)"
 
 
-def event_names(spark: SparkSession, sf: str, k: int | None, column: str, name: str) -> DataFrame:
+def event_names(spark: SparkSession, sf: str, column: str, name: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("literal"), F.lit("prefix"), F.lit("suffix")), F.col("p_size") % 3 + 1)
     n = F.lit(1) + F.col("p_size") % 2
     part = F.when(kind == "literal", F.col("prop")).when(kind == "prefix", F.left("prop", n)).otherwise(F.right("prop", n))
-    return words_of(spark, sf).where("true" if k is None else f"p_partkey % 4 = {k}").select(F.col(column).alias(name), kind.alias("kind"), part.alias("text")).distinct()
+    return words_of(spark, sf).select(F.col(column).alias(name), kind.alias("kind"), part.alias("text")).distinct()
 
 
-@query(f"""WITH {WORDS}, e AS {NAMES.format(id='p_brand', k=0)}, o AS {NAMES.format(id='p_partkey', k=1)}
+@query(f"""WITH {WORDS}, e AS {NAMES.format(id='p_brand')}, o AS {NAMES.format(id='p_partkey')}
 SELECT DISTINCT e.id AS emit, o.id AS callback FROM e JOIN o ON CASE
   WHEN e.kind = 'literal' AND o.kind = 'literal' THEN e.t = o.t WHEN e.kind = 'literal' AND o.kind = 'prefix' THEN starts_with(e.t, o.t) WHEN e.kind = 'literal' THEN suffix(e.t, o.t)
   WHEN e.kind = 'prefix' AND o.kind = 'literal' THEN starts_with(o.t, e.t) WHEN e.kind = 'prefix' AND o.kind = 'prefix' THEN starts_with(e.t, o.t) OR starts_with(o.t, e.t) WHEN e.kind = 'prefix' THEN false
   WHEN o.kind = 'literal' THEN suffix(o.t, e.t) WHEN o.kind = 'suffix' THEN suffix(o.t, e.t) OR suffix(e.t, o.t) ELSE false END""")
 def op_listener(spark, sf):
-    return lookups.listeners(event_names(spark, sf, 0, "p_brand", "emit"), event_names(spark, sf, 1, "p_partkey", "callback"))
+    return lookups.listeners(event_names(spark, sf, "p_brand", "emit"), event_names(spark, sf, "p_partkey", "callback"))
 
 
 BUILTIN = "b(prop, place) AS (VALUES " + ", ".join(f"('{p}', {k})" for p, k in lookups.BUILTIN_CALLBACKS) + ")"
@@ -238,9 +256,9 @@ def op_builtin_cb(spark, sf):
     return lookups.builtin_callbacks(calls)
 
 
-@query("SELECT DISTINCT l_orderkey AS edge, l_suppkey AS ap FROM lineitem WHERE l_partkey % 50 = 0 AND l_linenumber = 1")
+@query("SELECT DISTINCT l_orderkey AS edge, l_suppkey AS ap FROM lineitem WHERE l_linenumber = 1")
 def op_promise(spark, sf):
-    return table(spark, sf, "lineitem").where("l_partkey % 50 = 0 AND l_linenumber = 1").select(F.col("l_orderkey").alias("edge"), F.col("l_suppkey").alias("ap")).distinct()
+    return table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("edge"), F.col("l_suppkey").alias("ap")).distinct()
 
 
 @query("SELECT DISTINCT l_orderkey AS call, coalesce(CASE WHEN p_size < 25 THEN p_partkey END, -l_suppkey) AS callee FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
@@ -253,31 +271,53 @@ def op_export_lookup(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {EDGE}, {REACH}, {WORDS},
-dep AS (SELECT DISTINCT p_type AS library, [p_size, CAST(p_partkey % 10 AS INTEGER), 0] AS version FROM part WHERE p_partkey % 7 = 0),
-adv AS (SELECT CASE WHEN p_partkey % 500 = 3 THEN NULL ELSE p_partkey END AS id, p_type AS library, [p_size - 1, 0, 0] AS low, [p_size + 1, 9, 0] AS high, string_split(p_name, ' ') AS props FROM part WHERE p_partkey % 50 = 3),
+dep AS (SELECT DISTINCT p_type AS library, [p_size, CAST(p_partkey % 10 AS INTEGER), 0] AS version FROM part),
+adv AS (SELECT p_partkey AS id, p_type AS library, [p_size - 1, 0, 0] AS low, [p_size + 1, 9, 0] AS high, string_split(p_name, ' ') AS props FROM part),
 hit AS (SELECT id, library, unnest(props) AS prop FROM adv WHERE EXISTS (SELECT 1 FROM dep WHERE dep.library = adv.library AND dep.version BETWEEN low AND high))
 SELECT id, count(DISTINCT p_partkey) AS functions FROM hit JOIN word ON library = p_type AND hit.prop = word.prop WHERE p_partkey IN (SELECT node FROM reach) GROUP BY id""")
 def op_scan_alarms(spark, sf):
     p = table(spark, sf, "part").withColumn("library", F.col("p_type"))
-    dep = p.where("p_partkey % 7 = 0").select("library", F.array("p_size", (F.col("p_partkey") % 10).cast("int"), F.lit(0)).alias("version"))
+    dep = p.select("library", F.array("p_size", (F.col("p_partkey") % 10).cast("int"), F.lit(0)).alias("version"))
     bound = lambda d, m: F.array(F.col("p_size") + d, F.lit(m), F.lit(0))
-    adv = p.where("p_partkey % 50 = 3").select(F.when(F.col("p_partkey") % 500 != 3, F.col("p_partkey")).alias("id"), "library", bound(-1, 0).alias("low"), bound(1, 9).alias("high"), F.split("p_name", " ").alias("props"))
+    adv = p.select(F.col("p_partkey").alias("id"), "library", bound(-1, 0).alias("low"), bound(1, 9).alias("high"), F.split("p_name", " ").alias("props"))
     defs = words_of(spark, sf).select(F.col("p_type").alias("library"), "prop", F.col("p_partkey").alias("fn"))
     return matching.alarms(adv, dep, defs, reach(spark, sf))
 
 
-@query(f"WITH RECURSIVE {EDGE}, {REACH} SELECT p_brand AS module FROM part WHERE p_partkey IN (SELECT node FROM reach) UNION SELECT p_brand FROM part WHERE p_partkey % 100 = 0")
+PATTERN = """CASE p_size % 3 WHEN 0 THEN concat('call <', p_type, '>') WHEN 1 THEN concat('{call <', p_type, '>.{', array_join(split(p_name, ' '), ','), '} [1, 9], call <', p_type, '>.none}')
+  ELSE concat('call <', p_type, '>()') END"""
+
+
+@query(f"""WITH RECURSIVE {EDGE}, {REACH}, {WORDS},
+dep AS (SELECT DISTINCT p_type AS library, [p_size, CAST(p_partkey % 10 AS INTEGER), 0] AS version FROM part WHERE p_brand NOT LIKE '%1'),
+adv AS (SELECT p_partkey AS id, p_type AS library, p_size % 3 AS form, string_split(p_name, ' ') AS props FROM part WHERE EXISTS (SELECT 1 FROM dep WHERE library = p_type AND version BETWEEN [p_size - 1, 0, 0] AND [p_size + 1, 9, 9])),
+own AS (SELECT p_type AS library, p_partkey AS fn FROM part WHERE p_size < 25), given AS (SELECT src AS fn, min(dst) AS returned FROM edge GROUP BY src),
+hit AS (SELECT id, fn FROM adv JOIN own USING (library) WHERE form = 0 UNION SELECT id, p_partkey FROM (SELECT id, library, unnest(props) AS prop FROM adv WHERE form = 1) a JOIN word ON library = p_type AND a.prop = word.prop
+  UNION SELECT id, returned FROM adv JOIN own USING (library) JOIN given USING (fn) WHERE form = 2)
+SELECT id, count(DISTINCT fn) AS functions FROM hit WHERE fn IN (SELECT node FROM reach) GROUP BY id""")
+def op_scan_patterns(spark, sf):
+    p, number = table(spark, sf, "part"), lambda *c: F.concat_ws(".", *c)
+    adv = p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("library"), number(F.col("p_size") - 1, F.lit("0.0")).alias("low"), number(F.col("p_size") + 1, F.lit("9.9")).alias("high"), F.expr(PATTERN).alias("pattern"))
+    early = F.when(F.col("p_brand").endswith("1"), "-rc.1").otherwise("")
+    dep = p.select(F.col("p_type").alias("library"), F.concat(number("p_size", F.col("p_partkey") % 10, F.lit("0")), early).alias("version"))
+    exported = p.where("p_size < 25").select(F.col("p_type").alias("library"), F.lit(None).cast("string").alias("prop"), F.col("p_partkey").alias("fn"))
+    members = words_of(spark, sf).select(F.col("p_type").alias("library"), "prop", F.col("p_partkey").alias("fn"))
+    returns = part_edges(spark, sf).groupBy(F.col("src").alias("fn")).agg(F.min("dst").alias("returned"))
+    return scan.alarms(adv, dep, exported.union(members), returns, reach(spark, sf))
+
+
+@query(f"WITH RECURSIVE {EDGE}, {REACH} SELECT p_brand AS module FROM part WHERE p_partkey IN (SELECT node FROM reach) UNION SELECT p_brand FROM part WHERE p_size = 2")
 def op_used_modules(spark, sf):
     p = table(spark, sf, "part")
     used = p.join(reach(spark, sf), F.col("p_partkey") == F.col("node"), "left_semi")
-    return graph.merged(used.select(F.col("p_brand").alias("module")), p.where("p_partkey % 100 = 0").select(F.col("p_brand").alias("module")))
+    return graph.merged(used.select(F.col("p_brand").alias("module")), p.where("p_size = 2").select(F.col("p_brand").alias("module")))
 
 
-@query(f"WITH RECURSIVE {EDGE}, {REACH} SELECT DISTINCT l_partkey AS module FROM lineitem WHERE l_linenumber = 1 AND l_partkey NOT IN (SELECT src FROM edge) AND l_partkey IN (SELECT node FROM reach)")
+@query(f"WITH RECURSIVE {LOAD}, {LOADED} SELECT DISTINCT node AS module FROM walk WHERE node LIKE 'o%' AND node NOT IN (SELECT 'o' || l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def op_side_effect(spark, sf):
-    loaded = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("module")).distinct()
-    kept = loaded.join(part_edges(spark, sf), F.col("module") == F.col("src"), "left_anti")
-    return kept.join(reach(spark, sf), F.col("module") == F.col("node"), "left_semi")
+    stored = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(named("o", "l_orderkey").alias("node"))
+    loaded = reached(load_edges(spark, sf), loaders(spark, sf)).where("node LIKE 'o%'")
+    return loaded.join(stored, "node", "left_anti").select(F.col("node").alias("module"))
 
 
 @query("""WITH dyn AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target FROM lineitem), st AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target FROM lineitem WHERE l_returnflag <> 'R'),
@@ -289,77 +329,6 @@ def op_soundness(spark, sf):
     return matching.classified(pairs, every.where("l_returnflag <> 'R'").select("source", "target"), pairs.where("target % 97 = 0"))
 
 
-# ---- the same operators over whole tables: every row takes part on every side; what is reached starts from parts of size 1
-
-EVERY_EDGE = EDGE.replace("\n  FROM lineitem WHERE l_quantity >= 44", " FROM lineitem")
-EVERY_REACH = "reach AS (SELECT p_partkey AS node FROM part WHERE p_size = 1 UNION SELECT dst FROM reach JOIN edge ON node = src)"
-EVERY_NAMES = NAMES.replace(" WHERE p_partkey % 4 = {k}", "")
-
-
-def parts(spark: SparkSession, sf: str, which: str = "true") -> DataFrame:
-    return table(spark, sf, "part").where(which).select(F.col("p_partkey").alias("node"))
-
-
-def whole_walk(spark: SparkSession, sf: str) -> DataFrame:
-    return reached(part_edges(spark, sf, None), parts(spark, sf, "p_size = 1"))
-
-
-@query(f"WITH RECURSIVE {EVERY_EDGE}, {EVERY_REACH} SELECT node FROM reach")
-def op_reach_whole(spark, sf):
-    return whole_walk(spark, sf).select("node")
-
-
-@query(f"""WITH {EVERY_EDGE}, pred AS (SELECT dst, min(src) AS src FROM edge GROUP BY dst), s0 AS (SELECT p_partkey AS target, 0 AS step, p_partkey AS node FROM part),
-{", ".join(f"s{k} AS (SELECT target, {k} AS step, src AS node FROM s{k - 1} JOIN pred ON node = dst)" for k in range(1, 11))} {" UNION ALL ".join(f"SELECT target, step, node FROM s{k}" for k in range(11))}""")
-def op_stack_trace_whole(spark, sf):
-    return graph.traces(part_edges(spark, sf, None).withColumn("ord", F.col("src")), parts(spark, sf))
-
-
-@query(f"WITH {WORDS} SELECT DISTINCT r.p_partkey AS read, w.p_partkey AS ap FROM word r JOIN word w ON r.p_brand = w.p_brand AND r.prop = w.prop")
-def op_field_exact_whole(spark, sf):
-    d = words_of(spark, sf).select(F.col("p_partkey").alias("read"), F.col("p_brand").alias("module"), "prop").distinct()
-    return lookups.fields(d, d.withColumnRenamed("read", "ap"))
-
-
-@query(f"""WITH {WORDS}, pat AS (SELECT DISTINCT 'prefix' AS kind, prop[1:2] AS t, p_type AS ap FROM word UNION SELECT DISTINCT 'suffix', prop[-2:], p_type FROM word)
-SELECT DISTINCT p_brand || '.' || prop AS read, ap FROM word JOIN pat ON (kind = 'prefix' AND starts_with(prop, t)) OR (kind = 'suffix' AND suffix(prop, t))""")
-def op_field_wild_whole(spark, sf):
-    d = words_of(spark, sf)
-    reads = d.select(F.concat_ws(".", "p_brand", "prop").alias("read"), "prop").distinct()
-    kinds = [d.select(F.lit(kind).alias("kind"), cut.alias("text"), F.col("p_type").alias("ap")) for kind, cut in (("prefix", F.substring("prop", 1, 2)), ("suffix", F.right("prop", F.lit(2))))]
-    return lookups.wild_fields(reads, kinds[0].union(kinds[1]).distinct())
-
-
-@query(f"WITH {WORDS} SELECT DISTINCT r.p_type AS read, w.p_partkey AS ap FROM word r JOIN word w USING (prop)")
-def op_getter_whole(spark, sf):
-    d, one = words_of(spark, sf), F.lit(0).alias("module")
-    return lookups.fields(d.select(F.col("p_type").alias("read"), one, "prop").distinct(), d.select(one, "prop", F.col("p_partkey").alias("ap")).distinct())
-
-
-@query(f"{ORACLE_SQL['op_listener'].split(', e AS ')[0]}, e AS {EVERY_NAMES.format(id='p_brand')}, o AS {EVERY_NAMES.format(id='p_partkey')}\nSELECT DISTINCT e.id{ORACLE_SQL['op_listener'].split('SELECT DISTINCT e.id')[1]}")
-def op_listener_whole(spark, sf):
-    return lookups.listeners(event_names(spark, sf, None, "p_brand", "emit"), event_names(spark, sf, None, "p_partkey", "callback"))
-
-
-@query("SELECT DISTINCT l_orderkey AS edge, l_suppkey AS ap FROM lineitem WHERE l_linenumber = 1")
-def op_promise_whole(spark, sf):
-    return table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("edge"), F.col("l_suppkey").alias("ap")).distinct()
-
-
-@query(f"""WITH RECURSIVE {EVERY_EDGE}, {EVERY_REACH}, {WORDS},
-dep AS (SELECT DISTINCT p_type AS library, [p_size, CAST(p_partkey % 10 AS INTEGER), 0] AS version FROM part),
-adv AS (SELECT p_partkey AS id, p_type AS library, [p_size - 1, 0, 0] AS low, [p_size + 1, 9, 0] AS high, string_split(p_name, ' ') AS props FROM part),
-hit AS (SELECT id, library, unnest(props) AS prop FROM adv WHERE EXISTS (SELECT 1 FROM dep WHERE dep.library = adv.library AND dep.version BETWEEN low AND high))
-SELECT id, count(DISTINCT p_partkey) AS functions FROM hit JOIN word ON library = p_type AND hit.prop = word.prop WHERE p_partkey IN (SELECT node FROM reach) GROUP BY id""")
-def op_scan_alarms_whole(spark, sf):
-    p = table(spark, sf, "part").withColumn("library", F.col("p_type"))
-    dep = p.select("library", F.array("p_size", (F.col("p_partkey") % 10).cast("int"), F.lit(0)).alias("version"))
-    bound = lambda d, m: F.array(F.col("p_size") + d, F.lit(m), F.lit(0))
-    adv = p.select(F.col("p_partkey").alias("id"), "library", bound(-1, 0).alias("low"), bound(1, 9).alias("high"), F.split("p_name", " ").alias("props"))
-    defs = words_of(spark, sf).select(F.col("p_type").alias("library"), "prop", F.col("p_partkey").alias("fn"))
-    return matching.alarms(adv, dep, defs, whole_walk(spark, sf).select("node"))
-
-
 # ---- events
 
 

@@ -28,9 +28,9 @@ def test_equals_sql(spark, name):
 def test_every_row_takes_part(spark):
     read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
     parts = {r.p_partkey for r in read("part").collect()}
-    assert {r.ap for r in QUERIES["op_field_exact_whole"](spark, SF).select("ap").distinct().collect()} == parts
-    assert {r.ap for r in QUERIES["op_getter_whole"](spark, SF).select("ap").distinct().collect()} == parts
-    assert {r.target for r in QUERIES["op_stack_trace_whole"](spark, SF).select("target").distinct().collect()} == parts
+    assert {r.ap for r in QUERIES["op_field_exact"](spark, SF).select("ap").distinct().collect()} == parts
+    assert {r.ap for r in QUERIES["op_getter"](spark, SF).select("ap").distinct().collect()} == parts
+    assert {r.target for r in QUERIES["op_stack_trace"](spark, SF).select("target").distinct().collect()} == parts
     firsts = read("lineitem").where("l_linenumber = 1").select("l_orderkey").distinct().count()
-    assert QUERIES["op_promise_whole"](spark, SF).select("edge").distinct().count() == firsts
-    assert {r.callback for r in QUERIES["op_listener_whole"](spark, SF).select("callback").distinct().collect()} == parts
+    assert QUERIES["op_promise"](spark, SF).select("edge").distinct().count() == firsts
+    assert {r.callback for r in QUERIES["op_listener"](spark, SF).select("callback").distinct().collect()} == parts
