@@ -60,7 +60,7 @@ def test_ranges(spark):
     inside = [("1.5.0", "1.0.0", "2.0.0"), ("1.0.0", "1.0.0", "2.0.0"), ("2.0.0", "1.0.0", "2.0.0"), ("2.9.9", "1", "2"), ("1.2.9", "1.0.0", "1.2"), ("v1.5.0+b7", "1.0.0", "2.0.0"), ("1.0.0-rc.2", "1.0.0-rc.1", "2.0.0"), ("2.0.0-rc.1", "1.0.0", "2.0.0-rc.1"), ("1.0.0-rc.10", "1.0.0-rc.9", "2.0.0"), ("1.0.0-alpha.b", "1.0.0-alpha.9", "1.0.0")]
     outside = [("1.5.0-rc.1", "1.0.0", "2.0.0"), ("2.0.1", "1.0.0", "2.0.0"), ("3.0.0", "1", "2"), ("1.3.0", "1.0.0", "1.2"), ("1.0.0-rc.1", "1.0.0-rc.2", "2.0.0"), ("2.0.0-rc.2", "1.0.0", "2.0.0-rc.1"), ("1.1.0-rc.2", "1.0.0-rc.1", "2.0.0"), ("next", "1.0.0", "2.0.0"), (None, "1.0.0", "2.0.0"), ("1.0.0", None, "2.0.0"), ("1.0.0-a", "1.0.0-a.b", "1.0.0")]
     d = spark.createDataFrame([(*x, True) for x in inside] + [(*x, False) for x in outside], "v string, low string, high string, want boolean")
-    assert d.where(versions.within(F.col("v"), F.col("low"), F.col("high")) != F.col("want")).collect() == []
+    assert d.where(versions.within(*[versions.version(F.col(c)) for c in ("v", "low", "high")]) != F.col("want")).collect() == []
 
 
 def test_scan(spark):
