@@ -1,7 +1,9 @@
 """A training corpus from raw documents: STAGES, one after the other, each but the last written and read again, by run() or by whoever runs them.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of
-documents.
+documents. In every stage columns may be null and an empty table gives an empty one. Null and empty texts go in the first stage;
+rows without an id are judged by their text, fold with nothing and mix as one id; of rows that repeat an id the second stage
+keeps one; ties are decided by the smallest id, or by a hash of it in the mix.
 """
 
 from __future__ import annotations
@@ -52,6 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of token ids from the table documents: every stage but the last written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
