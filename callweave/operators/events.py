@@ -47,6 +47,35 @@ def bracketed(on: Column, off: Column, *seq: str) -> Column:
     return F.coalesce(last.over(in_order(*seq).rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(False))
 
 
-def illegal_loads(events: DataFrame, allowed: DataFrame, start: Column, *seq: str) -> DataFrame:
-    """Loads, from the first start on, of keys that allowed (key) does not have."""
-    return events.withColumn("__on", started(start, *seq)).where(F.col("__on") & (F.col("kind") == LOAD)).drop("__on").join(allowed, "key", "left_anti")
+def hooked(hooks: DataFrame, skipped: str = "graceful-fs") -> DataFrame:
+    """hooks (stream, seq columns, hook, place, takes_function) -> the same with kind and key, as events have them.
+
+    hook: invoke, builtin, function or require. A call sets the caller unless it stands in a file with `skipped` in its name; a
+    built-in function uses it up unless it is given a function; entering a function of such a file does nothing, entering one
+    of the run time, whose place begins with (*, uses the caller up without an edge; a load is an edge to a file.
+    """
+    skip, internal = F.col("place").contains(skipped), F.col("place").startswith("(*")
+    kind = (
+        F.when((F.col("hook") == "invoke") & ~skip, CALL).when((F.col("hook") == "builtin") & ~F.col("takes_function"), CLEAR)
+        .when((F.col("hook") == "function") & ~skip, F.when(internal, CLEAR).otherwise(ENTER)).when(F.col("hook") == "require", LOAD)
+    )
+    return hooks.withColumn("kind", F.coalesce(kind, F.lit("none"))).withColumn("key", F.col("place"))
+
+
+def recorded_edges(hooks: DataFrame, *seq: str) -> DataFrame:
+    """(stream, source, target, is_load): the edges that hooks, as in hooked(), give, once for each stream; calls by the run time itself make none, but loads do."""
+    d = with_caller(hooked(hooks), *seq).where(F.col("kind").isin(ENTER, LOAD) & F.col("caller").isNotNull())
+    is_load = F.col("kind") == LOAD
+    return d.where(is_load | ~F.col("caller").startswith("(*")).select("stream", F.col("caller").alias("source"), F.col("key").alias("target"), is_load.alias("is_load")).distinct()
+
+
+def combined(edges: DataFrame, strict: bool = False) -> DataFrame:
+    """Edges of many inputs (input, seq, source_file, source_lines, target_file, target_lines, ...), the first of those that have the same lines on both sides; strict: and the same files."""
+    keys = ["source_lines", "target_lines"] + (["source_file", "target_file"] if strict else [])
+    return first_wins(edges, keys, "input", "seq")
+
+
+def illegal_loads(events: DataFrame, allowed: DataFrame, start: Column, *seq: str, builtin: Column | None = None) -> DataFrame:
+    """Loads, from the first start on, of keys that allowed (key) does not have; nor those for which builtin holds."""
+    on = events.withColumn("__on", started(start, *seq)).where(F.col("__on") & (F.col("kind") == LOAD)).drop("__on")
+    return (on if builtin is None else on.where(~builtin)).join(allowed, "key", "left_anti")

@@ -42,6 +42,18 @@ def traces(edges: DataFrame, targets: DataFrame, depth: int = 10) -> DataFrame:
     return out
 
 
+def joined_graphs(*graphs: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The relations of all graphs, by name, each with the rows that any graph has in it."""
+    return {k: merged(*[g[k] for g in graphs if k in g]) for k in sorted(set().union(*graphs))}
+
+
+def graph_counts(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row: nodes, edges and different pairs of source and target, of nodes (node) and targets (edge, source, target)."""
+    n = nodes.select("node").distinct().agg(F.count("*").alias("nodes"))
+    e = targets.agg(F.count_distinct("edge").alias("edges"), F.count_distinct("source", "target").alias("pairs"))
+    return n.crossJoin(e)  # one row by one row
+
+
 def merged(*graphs: DataFrame) -> DataFrame:
     """The rows of all graphs, once each."""
     out = graphs[0]
@@ -68,6 +80,23 @@ def metrics(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count_distinct("node").alias("functions"), F.count_distinct("module").alias("modules"), (F.count_distinct("package") - 1).alias("packages"))
 
 
+def modules_reached(nodes: DataFrame, prefix: str = "") -> DataFrame:
+    """nodes (node, module): one row with how many modules begin with prefix."""
+    return nodes.where(F.col("module").startswith(prefix)).agg(F.count_distinct("module").alias("modules"))
+
+
+def dependency_counts(edges: DataFrame) -> DataFrame:
+    """(run, dependencies): how many lines stand below the first in each listing, edges (run, parent, child) with one row for each line."""
+    return edges.groupBy("run").agg(F.count("*").alias("dependencies"))
+
+
+def no_functions(loaded: DataFrame, models: DataFrame) -> DataFrame:
+    """(module): loaded modules (module) whose model (module, main), main as JSON, is neither a place nor an object: something else than a function or a plain object was exported. Modules without a model, or without an entry in it, are left out."""
+    main = F.trim("main")
+    known = models.where(main.isNotNull() & ~main.isin("", "null", "false", "0", '""', '"object"') & ~main.startswith("{") & ~main.startswith("["))
+    return loaded.select("module").distinct().join(known, "module", "left_semi")
+
+
 def without_arguments(edges: DataFrame, first_only: bool = False) -> DataFrame:
     """Edges (edge_id, args, ...) as their variants without any, or without the first, argument; ids tell them from the edges themselves."""
     args = F.slice("args", F.lit(2), F.greatest(F.size("args") - 1, F.lit(0))) if first_only else F.slice("args", 1, 0)

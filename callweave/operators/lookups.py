@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.functions.names import BUILT_IN
+
 #: Built-in methods that call an argument, and its position; -1 for every argument.
 BUILTIN_CALLBACKS = [("forEach", 0), ("filter", 0), ("map", 0), ("reduce", 0), ("some", 0), ("every", 0), ("catch", 0), ("then", 0), ("sort", 0), ("find", 0), ("readFile", 1), ("replace", 1), ("call", -1)]
 
@@ -45,6 +47,12 @@ def wild_fields(reads: DataFrame, patterns: DataFrame) -> DataFrame:
     return keys.join(patterns.select(own_key(F.col("kind"), F.col("text")).alias("key"), "ap"), "key").select("read", "ap").distinct()
 
 
+def read_by_pattern(reads: DataFrame, writes: DataFrame) -> DataFrame:
+    """reads (read, kind, text) of properties known by prefix or suffix only, with the values written to exact names: writes (prop, ap). Properties written by pattern are not asked."""
+    keys = writes.select("ap", F.explode(covered_keys(F.lit("literal"), F.col("prop"))).alias("key"))
+    return keys.join(reads.where("kind <> 'literal'").select("read", own_key(F.col("kind"), F.col("text")).alias("key")), "key").select("read", "ap").distinct()
+
+
 def listeners(emits: DataFrame, on: DataFrame) -> DataFrame:
     """(emit, callback): emits (emit, kind, text) and listeners on (kind, text, callback) whose event names can be equal; kind literal, prefix or suffix. A prefix and a suffix never match."""
     key = own_key(F.col("kind"), F.col("text")).alias("key")
@@ -60,6 +68,24 @@ def builtin_callbacks(calls: DataFrame) -> DataFrame:
     return calls.join(known, "prop").where("at = pos OR at = -1").select("edge", "ap").distinct()
 
 
+def constructed(calls: DataFrame, constructor: str = "Promise") -> DataFrame:
+    """calls (edge, module, name, pos, ap) of built-in modules, module BUILT_IN, by name: the first argument of a constructor that calls it at once."""
+    return calls.where((F.col("module") == BUILT_IN) & (F.col("name") == constructor) & (F.col("pos") == 0)).select("edge", "ap").distinct()
+
+
+def usages(calls: DataFrame, keys: DataFrame) -> DataFrame:
+    """(package, key, usage): for each export of a package, keys (package, key, file, line, column), every path that its code calls, calls (package, file, path, is_require) but for loads, and where the export is, if in a file that is not that of the calls."""
+    paths = calls.where(~F.col("is_require")).select("package", F.col("path").alias("usage")).distinct()
+    own = calls.select("package", F.col("file").alias("code")).distinct()
+    foreign = keys.join(own, "package").where("file <> code").select("package", "key", F.concat_ws(":", "file", F.col("line").cast("string"), F.col("column").cast("string")).alias("usage"))
+    return keys.select("package", "key").distinct().join(paths, "package").unionByName(foreign).distinct()
+
+
+def usage_summary(usage: DataFrame) -> DataFrame:
+    """(key, usages): what usage (key, usage) has of each key, in order, as a JSON list."""
+    return usage.groupBy("key").agg(F.to_json(F.array_sort(F.collect_set("usage"))).alias("usages"))
+
+
 def exports(calls: DataFrame, exported: DataFrame) -> DataFrame:
     """calls (call, file, path, fallback) with the function exported (file, path, fn) there, or else the fallback."""
     return calls.join(exported, ["file", "path"], "left").select("call", F.coalesce("fn", "fallback").alias("callee")).distinct()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callweave.functions.text import dot_line
+from callweave.functions.text import dot_edge, dot_line, dot_node
 
 ADVISORY = "library string, versionMin string, versionMax string, pattern string, id int, comment string"
 PLACE = "struct<source:string,start:struct<line:int,column:int>,end:struct<line:int,column:int>>"
@@ -47,6 +51,58 @@ def files(spark: SparkSession, path: str, names: str = "*", outside: str | None
     return d.select("path", F.sha1("content").alias("sha1"), "content")
 
 
+def _flat(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        rows = []
+        for path, text in zip(pdf["path"], pdf["value"], strict=True):
+            open_ = [json.loads(text).get("dependencies") or {}]
+            while open_:
+                for name, of in open_.pop().items():
+                    rows.append((path, name, of.get("version")))
+                    open_.append(of.get("dependencies") or {})
+        yield pd.DataFrame(rows, columns=["path", "library", "version"])
+
+
+def dependencies(spark: SparkSession, path: str) -> DataFrame:
+    """(path, library, version): every entry of recorded dependency listings, one JSON object a file, however deep; repeats are kept. A file that is no JSON is an error; one without dependencies gives nothing."""
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
+    return texts.mapInPandas(_flat, "path string, library string, version string")
+
+
+def clients(spark: SparkSession, path: str) -> DataFrame:
+    """(name, version): the programs that a list names."""
+    d = spark.read.schema("packageName string, packageVersion string").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return d.toDF("name", "version")
+
+
+def allowed_modules(spark: SparkSession, path: str) -> DataFrame:
+    """(key): the names of a file that holds one JSON list of them."""
+    texts = spark.read.text(path, wholetext=True)
+    return texts.select(F.explode(F.from_json("value", "array<string>", {"mode": "FAILFAST"})).alias("key")).distinct()
+
+
+def package_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, object): JSON objects of whatever form, one a file, as variants."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.parse_json("value").alias("object"))
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A result as JSON lines: modules, observed edges, illegal loads."""
+    rows.write.json(path)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """nodes (node, node_kind) and edges (source, target, label) as the lines of a directed graph, nodes first, each line once."""
+    lines = graph_lines(nodes, edges)
+    lines.orderBy("part", "line").select(F.col("line").alias("value")).write.text(path)
+
+
+def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, line): 0 for the lines of nodes, 1 for those of edges."""
+    n = nodes.select(F.lit(0).alias("part"), dot_node(F.col("node"), F.col("node_kind")).alias("line"))
+    return n.union(edges.select(F.lit(1), dot_edge(F.col("source"), F.col("target"), F.col("label")))).distinct()
+
+
 def write_dot(edges: DataFrame, path: str) -> None:
     """Edges (source, target) as the lines of a directed graph; its parts, in order of names, are one file's."""
     lines = edges.select(F.concat(dot_line(F.col("source"), F.col("target"))).alias("value")).distinct().orderBy("value")

@@ -3,7 +3,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-from callweave.catalog import ORACLE_SQL, QUERIES
+from callweave.catalog import ORACLE_SQL
+from callweave.catalog_facts import QUERIES
 
 SF = "/root/testdata/sf0.001"
 

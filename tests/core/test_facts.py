@@ -1,0 +1,156 @@
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from callweave.functions import names, text
+from callweave.operators import events, graph, lookups, paths
+from callweave.operators.solver import solve, solve_by_package
+from callweave.sources import files
+
+KINDS = {
+    "resolved": "node string", "callee_of": "ap string, node string", "returns": "fn string, ap string", "edge_arg": "edge string, pos int, ap string", "call_node": "node string, callee string",
+    "param_node": "node string, fn string, pos int", "value_node": "node string, ap string", "pending": "edge string, node string", "edge_target": "edge string, target string",
+    "builtin_node": "node string, place int", "edge_callee": "edge string, node string",
+}
+
+
+def frames(spark, facts):
+    return {k: spark.createDataFrame(sorted(facts.get(k, ())), kinds) for k, kinds in KINDS.items()}
+
+
+def naive(f):
+    """Every rule over all that is known, again and again until nothing is added."""
+    res = {n for (n,) in f["resolved"]}
+    rho = {(n, n) for n in res} | {(n, t) for e, n in f["edge_callee"] for e2, t in f["edge_target"] if e == e2}
+    sub, pending, ends = set(), set(f["pending"]), set(f["edge_target"])
+    while True:
+        dep = set(f["value_node"])
+        dep |= {(n, ap) for n, c in f["call_node"] for a, fn in rho if a == c for g, ap in f["returns"] if g == fn}
+        dep |= {(n, ap) for n, fn, i in f["param_node"] for e, t in ends if t == fn for e2, p, ap in f["edge_arg"] if (e, i) == (e2, p)}
+        call = {(e + "-0", n) for e, t in pending for b, at in f["builtin_node"] if b == t for e2, p, ap in f["edge_arg"] if e2 == e and at in (p, -1) for a, n in f["callee_of"] if a == ap}
+        new_rho = rho | {(n, t) for n, ap in dep for a, t in f["callee_of"] if a == ap and t in res} | {(n, t) for n, b in sub for c, t in rho if b == c}
+        new_sub = sub | {(n, t) for n, ap in dep for a, t in f["callee_of"] if a == ap and t not in res}
+        new_pending = pending | {(e, b) for e, n in pending for m, b in sub if m == n} | {(e, n) for e, n in call if n not in res}
+        new_ends = ends | {(e, t) for e, n in pending for m, t in rho if m == n} | {(e, n) for e, n in call if n in res}
+        if (new_rho, new_sub, new_pending, new_ends) == (rho, sub, pending, ends):
+            return {"rho": rho, "sub": sub, "pending": pending, "edge_target": ends}
+        rho, sub, pending, ends = new_rho, new_sub, new_pending, new_ends
+
+
+def some_facts(seed):
+    rng = random.Random(seed)
+    fns, nodes, edges = [f"f{k}" for k in range(6)], [f"n{k}" for k in range(10)] + ["forEach"], [f"e{k}" for k in range(12)]
+    pick = lambda n, *of: {tuple(rng.choice(x) for x in of) for _ in range(n)}
+    aps = fns + nodes
+    return {
+        "resolved": {(x,) for x in fns}, "callee_of": {(x, x) for x in aps} | pick(3, aps, fns + nodes), "returns": pick(5, fns, aps), "edge_arg": pick(12, edges, [0, 1], aps),
+        "call_node": pick(4, nodes[:5], aps), "param_node": pick(4, nodes[5:10], fns, [0, 1]), "value_node": pick(4, nodes, aps), "pending": pick(8, edges[:8], nodes), "edge_target": pick(4, edges[8:], fns),
+        "builtin_node": {("forEach", rng.choice([0, -1]))}, "edge_callee": pick(2, edges[8:], nodes),
+    }
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_solver_against_naive_rounds(spark, seed):
+    f = some_facts(seed)
+    got = solve(frames(spark, f))
+    assert {k: {tuple(r) for r in got[k].collect()} for k in got} == naive(f)
+
+
+def test_solved_by_package(spark):
+    one, two, main = some_facts(11), some_facts(12), some_facts(13)
+    tag = lambda f, t: {k: {tuple(x + t if isinstance(x, str) and x != "forEach" else x for x in r) for r in rows} for k, rows in f.items()}
+    one, two = tag(one, "a"), tag(two, "b")
+    link = {"callee_of": {("n1", "f1a"), ("n2", "n3b")}, "returns": {("f1a", "n1")}}
+    main = {k: rows | link.get(k, set()) for k, rows in main.items()}
+    # what is open in a package must be open in the whole
+    every = {k: one[k] | two[k] | main[k] for k in KINDS}
+    got = solve_by_package([frames(spark, one), frames(spark, two)], frames(spark, main))
+    assert {k: {tuple(r) for r in got[k].collect()} for k in got} == naive(every)
+    alone = solve_by_package([], frames(spark, main))
+    assert {tuple(r) for r in alone["rho"].collect()} == naive(main)["rho"]
+
+
+def test_paths_of_names(spark):
+    d = spark.createDataFrame([("/a/./b//../c/",), ("../x/../..",), ("",), ("/..",), ("a",), (None,)], "p string")
+    p = F.col("p")
+    out = d.select(names.normalized(p).alias("n"), names.dirname(p).alias("d"), names.basename(p).alias("b"), names.resolved(F.lit("/r/s"), p).alias("r")).collect()
+    assert [r.n for r in out] == ["/a/c/", "../..", ".", "/", "a", None]
+    assert [r.d for r in out][:1] + [r.d for r in out][3:5] == ["/a/./b//..", "/", "."]
+    assert [r.r for r in out] == ["/a/c", "/", "/r/s", "/", "/r/s/a", None]
+    pairs = spark.createDataFrame([("/a/b", "/a/c/d"), ("/", "/x"), ("/a", "/a")], "a string, b string")
+    assert [r[0] for r in pairs.select(names.relative(F.col("a"), F.col("b"))).collect()] == ["../c/d", "x", ""]
+
+
+def test_packages_and_values(spark):
+    d = spark.createDataFrame([("@s/n@1.0.0",), ("n@1@2",), (None,)], "t string").select(names.package(F.col("t")).alias("p"))
+    got = d.select("p.name", "p.version", names.packed_name(F.col("p.name")).alias("packed")).collect()
+    assert [tuple(r) for r in got] == [("@s/n", "1.0.0", "s-n"), ("n", "1@2", "n"), (None, None, None)]
+    values = spark.createDataFrame([('"x"',), ("1.5",), ("true",), ("null",), ("[1]",), ("{}",), (None,)], "v string")
+    assert [r[0] for r in values.select(names.value_type(F.col("v"))).collect()] == ["string", "number", "boolean", "object", "object", "object", "undefined"]
+    loads = spark.createDataFrame([("fs",), ("node:fs/promises",), ("nodejs_x",), ("lodash",), (None,)], "m string")
+    assert [r[0] for r in loads.select(names.is_builtin_module(F.col("m"))).collect()] == [True, True, True, False, False]
+    assert len(set(names.GLOBALS)) == len(names.GLOBALS)
+
+
+def test_access_paths(spark):
+    place = "struct<sl:int,sc:int,el:int,ec:int>"
+    rows = [
+        ("i", "import", None, "lib", "/m/a.js", "/m/node_modules/lib/x.js", (1, 0, 1, 5)), ("i.a", "prop", "i", "a", "/m/a.js", None, None), ("i.a.b", "prop", "i.a", "b", "/m/a.js", None, None),
+        ("i.a()", "call", "i.a", None, "/m/a.js", None, None), ("i.a().c", "prop", "i.a()", "c", "/m/a.js", None, None), ("P", "import", None, "Promise", "/m/a.js", names.BUILT_IN, (2, 0, 2, 1)),
+        ("P.then", "prop", "P", "then", "/m/a.js", None, None), ("f", "function", None, None, "/m/a.js", None, (3, 1, 4, 0)), ("f()", "call", "f", None, None, None, None), ("arg", "parameter", None, "2", "/m/a.js", None, (3, 1, 4, 0)),
+        ("t", "this", None, None, None, None, None), ("args", "arguments", None, None, "/m/a.js", None, (3, 1, 4, 0)), ("ring", "call", "ring", None, None, None, None), ("lost", "prop", "gone", "x", "/m/a.js", None, None),
+    ]
+    d = spark.createDataFrame(rows, f"ap string, kind string, on string, name string, file string, target string, place {place}")
+    got = {r.ap: r for r in paths.rooted(d, paths.FROM_LIBRARY).collect()}
+    assert {k: r.node_key for k, r in got.items()} == {
+        "i": "</m/node_modules/lib/x.js>", "i.a": "PROP<a.js:/m/node_modules/lib...a>", "i.a.b": "PROP<a.js:/m/node_modules/lib...b>", "i.a()": "PROP<a.js:/m/node_modules/lib...a>()", "i.a().c": "PROP<a.js:c>",
+        "P": "<Promise>", "P.then": "PROP<a.js:then>", "f": "FunctionCreation:/m/a.js:3:1", "f()": "FunctionCreation:/m/a.js:3:1()", "arg": "FunctionCreation:/m/a.js:3:1:arg2", "t": "this", "args": "",
+    }
+    assert got["i.a.b"].exported == "a.b" and got["i.a().c"].exported == "" and not got["i.a().c"].chain and got["i.a().c"].root == "import"
+    plain = {r.ap: r.node_key for r in paths.rooted(d).collect()}
+    assert plain["i.a.b"] == "PROP<a.js:b>" and paths.rooted(d.limit(0)).count() == 0
+    kinds = spark.createDataFrame([("✖",), ("x",)], "s string").select(paths.import_kind(F.col("s")))
+    assert [r[0] for r in kinds.collect()] == ["unknown", "import"]
+
+
+def test_hooks(spark):
+    rows = [(1, "invoke", "(a.js:1)", False), (2, "builtin", "x", True), (3, "function", "(graceful-fs.js:1)", False), (4, "function", "(b.js:2)", False), (5, "invoke", "(a.js:9)", False), (6, "builtin", "x", False), (7, "function", "(b.js:3)", False), (8, "invoke", "(*x)", False), (9, "function", "(b.js:4)", False), (10, "invoke", "(a.js:7)", False), (11, "function", "(*y)", False), (12, "function", "(b.js:5)", False), (13, "invoke", "(a.js:8)", False), (14, "require", "m.js", False)]
+    d = spark.createDataFrame([(0, *r) for r in rows], "stream int, seq int, hook string, place string, takes_function boolean")
+    assert {tuple(r)[1:] for r in events.recorded_edges(d, "seq").collect()} == {("(a.js:1)", "(b.js:2)", False), ("(a.js:8)", "m.js", True)}
+    e = spark.createDataFrame([(1, 2, "x", "1:1", "y", "2:2"), (0, 9, "z", "1:1", "y", "2:2")], "input int, seq int, source_file string, source_lines string, target_file string, target_lines string")
+    assert [r.source_file for r in events.combined(e).collect()] == ["z"] and events.combined(e, strict=True).count() == 2
+
+
+def test_more_sources_and_sinks(spark, tmp_path):
+    deep = {"name": "c", "dependencies": {"a": {"version": "1.0.0", "dependencies": {"b": {"version": "2.0.0"}}}, "b": {"version": "2.0.0"}, "unmet": {}}}
+    for name, content in {"ls/one.json": deep, "ls/two.json": {}, "clients.json": [{"packageName": "p", "packageVersion": "1"}], "allowed.json": ["x", "y", "x"], "pkg/package.json": {"name": "q", "main": "m.js"}}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(content, indent=1))
+    at = lambda name: str(tmp_path / name)
+    got = files.dependencies(spark, at("ls")).select("library", "version").collect()
+    assert sorted(map(tuple, got), key=str) == [("a", "1.0.0"), ("b", "2.0.0"), ("b", "2.0.0"), ("unmet", None)]
+    assert [tuple(r) for r in files.clients(spark, at("clients.json")).collect()] == [("p", "1")]
+    assert {r.key for r in files.allowed_modules(spark, at("allowed.json")).collect()} == {"x", "y"}
+    assert files.package_files(spark, at("pkg")).select(F.expr("object:main::string")).first()[0] == "m.js"
+    nodes = spark.createDataFrame([("f", "resolved"), ('u"', "unresolved")], "node string, node_kind string")
+    edges = spark.createDataFrame([("f", "f", "l")], "source string, target string, label string")
+    files.write_graph(nodes, edges, at("graph"))
+    want = ['  "f";', '  "u\\"" [ color = "lightblue", style = "filled" ];', '  "f" -> "f" [ label = "l" ];']
+    assert sorted(r.value for r in spark.read.text(at("graph")).collect()) == sorted(want)
+    files.write_json(nodes, at("nodes"))
+    assert spark.read.json(at("nodes")).count() == 2
+
+
+def test_shapes_and_nulls(spark):
+    loaded = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "module string")
+    models = spark.createDataFrame([("a", '"string"'), ("b", '{"file": 1}'), ("c", '"object"'), ("d", None)], "module string, main string")
+    assert [r.module for r in graph.no_functions(loaded, models).collect()] == ["a"]
+    calls = spark.createDataFrame([("p", "a.js", "x.y", False), ("p", "a.js", "req", True)], "package string, file string, path string, is_require boolean")
+    keys = spark.createDataFrame([("p", "k", "a.js", 1, 2), ("p", "m", "b.js", 3, 4)], "package string, key string, file string, line int, column int")
+    usage = lookups.usages(calls, keys)
+    assert {tuple(r) for r in usage.collect()} == {("p", "k", "x.y"), ("p", "m", "x.y"), ("p", "m", "b.js:3:4")}
+    assert {r.key: r.usages for r in lookups.usage_summary(usage).collect()} == {"k": '["x.y"]', "m": '["b.js:3:4","x.y"]'}
+    at = spark.createDataFrame([("(f:1:62:1:70)",), ("(f:1:61:1:70)",), ("(f:2:62:2:70)",), ("x",)], "t string").select(text.instrumented_location(F.col("t")).alias("l"))
+    assert [(r.l and (r.l.sc, r.l.ec)) for r in at.collect()] == [(0, 8), (60, 69), (61, 69), None]
