@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callweave.catalog import EDGE, LOAD, QUERIES, REACH, RUNS, SEQ, TREE, WORDS, load_edges, part_edges, query, reach, run, tree, words_of
+from callweave.catalog import EDGE, LOAD, QUERIES, REACH, RUNS, SEQ, TREE, WORDS, load_edges, part_edges, query, reach, run, streamed, tree, words_of
 from callweave.functions import names, text
 from callweave.operators import events, graph, lookups, paths, solver, soundness
 from callweave.session import table
 from callweave.sources.files import graph_lines
+from callweave.streaming import live
 
 __all__ = ["QUERIES"]
 
@@ -295,6 +296,25 @@ def op_combined_edges(spark, sf):
     return events.combined(d).select("source_file", "target_file", names.dynamic_edge(F.col("source_lines"), F.col("target_lines")).alias("edge"))
 
 
+SHAPES = f"""{RUNS}, h AS (SELECT *, bool_or(start) OVER (PARTITION BY stream ORDER BY ts, event_id) AS is_on FROM run),
+g AS (SELECT *, last_value(CASE WHEN kind = 'call' AND is_on THEN true WHEN kind = 'clear' THEN false END IGNORE NULLS) OVER (PARTITION BY stream ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS entering,
+  bool_or(kind = 'enter' AND k % 3 = 0 AND is_on) OVER (PARTITION BY stream, k ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM h),
+a AS (SELECT stream, ts, event_id, 'MAIN_MODULE' AS path, 'object' AS value FROM g WHERE start UNION ALL SELECT stream, ts, event_id, 'x' || k, CASE k % 3 WHEN 1 THEN 'number' ELSE 'string' END FROM g WHERE kind = 'enter' AND is_on AND k % 3 <> 0
+  UNION ALL SELECT stream, ts, event_id, 'x' || k, '(g' || k || '.js)' FROM g WHERE kind = 'clear' AND entering AND known)"""
+
+
+@query(f"WITH {SHAPES} SELECT stream, path, arg_max(value, {{'ts': ts, 'id': event_id}}) AS value FROM a GROUP BY stream, path")
+def op_api_shape(spark, sf):
+    """Signups load the library, views read a property, clicks call into it, errors enter a function."""
+    d = streamed(spark, sf)
+    hook = F.when(F.col("start"), "loaded").when(F.col("kind") == "enter", "read").when(F.col("kind") == "call", "invoke").when(F.col("kind") == "clear", "function").otherwise("none")
+    kind = F.when(F.col("start"), "object").otherwise(F.element_at(F.array(F.lit("function"), F.lit("number"), F.lit("string")), (F.col("k") % 3 + 1).cast("int")))
+    what = F.when(F.col("start"), "module").when(F.col("kind") != "call", of("g", "k"))
+    name, place = F.when(~F.col("start"), of("x", "k")), F.concat(F.lit("(g"), F.col("k").cast("string"), F.lit(".js)"))
+    hooks = d.select("stream", "ts", "event_id", hook.alias("hook"), F.lit(True).alias("client"), F.lit("module").alias("base"), what.alias("object"), name.alias("name"), kind.alias("type"), place.alias("place"))
+    return live.package_model(live.drained(live.shapes(hooks)))
+
+
 # ---- names
 
 

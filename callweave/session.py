@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where none is named (tests)."""
+    """The folder named in spark.checkpoint.dir; where none is named, a temporary one if all runs on one machine (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="callweave-")
         spark.conf.set("spark.checkpoint.dir", named)
     sc = spark.sparkContext

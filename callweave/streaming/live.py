@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -49,6 +50,86 @@ def illegal_loads(events: DataFrame, allowed: DataFrame) -> DataFrame:
     return loads.join(allowed.withColumn("ok", F.lit(True)), "key", "left_outer").where("ok IS NULL").select("stream", "event_id", "key")
 
 
+#: The entry of a package's model that describes the module itself.
+MAIN = "MAIN_MODULE"
+HOOKS = "stream long, ts timestamp, event_id long, hook string, client boolean, base string, object string, name string, type string, place string"
+SHAPE = "stream long, ts timestamp, event_id long, path string, value string"
+
+
+class _Seen:
+    """What a run has shown of its library so far: objects by path, functions by name, bound functions, the module, and whether a call into it is under way."""
+
+    def __init__(self, text: str | None) -> None:
+        self.paths, self.names, self.bound, self.module, self.entering = json.loads(text) if text else ({}, {}, {}, None, False)
+
+    def __str__(self) -> str:
+        return json.dumps([self.paths, self.names, self.bound, self.module, self.entering])
+
+    def is_module(self, fn: str) -> bool:
+        return self.module is not None and (fn == self.module or self.bound.get(self.module) == fn)
+
+    def of(self, base: str, name: str) -> str:
+        at = self.paths.get(base, "undefined")
+        return name if at == "" else f"{at}.{name}"
+
+    def take(self, e) -> tuple[str, str] | None:
+        """What an event adds to the model, if anything."""
+        if e.hook == "loaded":
+            self.paths[e.object], self.module = "", e.object
+            return (MAIN, e.name or e.type) if e.type != "function" or e.name else None
+        if e.hook == "read" and e.client and e.base in self.paths:
+            if e.type == "function":
+                self.names[e.object] = e.name
+                return None
+            path = self.of(e.base, e.name)
+            if e.type == "object":
+                self.paths[e.object] = path
+            return path, e.type
+        if e.hook == "invoke" and ((e.client and e.base in self.paths) or (self.module is not None and e.object == self.module)):
+            self.entering = True
+        elif e.hook == "bound":
+            self.bound[e.object] = e.base
+        elif e.hook == "builtin" and self.entering:
+            own = self.is_module(e.object)
+            known = own or e.object in self.names
+            self.entering = not known and e.name == "Promise"
+            return (MAIN if own else self.names[e.object], e.name) if known else None
+        elif e.hook == "function" and self.entering and not e.place.startswith("(*"):
+            self.entering = False
+            if self.is_module(e.object):
+                return MAIN, e.place
+            if e.object in self.names:
+                return self.of(e.base, self.names[e.object]), e.place
+        return None
+
+
+def _shapes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    seen = _Seen(state.get[0] if state.exists else None)
+    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    rows = rows.astype({c: object for c in ("base", "object", "name", "type", "place")}).where(rows.notna(), None)
+    out = [(key[0], e.ts, e.event_id, *added) for e in rows.itertuples(index=False) if (added := seen.take(e))]
+    state.update((str(seen),))
+    yield pd.DataFrame(out, columns=["stream", "ts", "event_id", "path", "value"]).astype({"stream": "int64", "event_id": "int64", "ts": "datetime64[ns]"})
+
+
+def shapes(hooks: DataFrame) -> DataFrame:
+    """Streamed hooks (columns as in HOOKS) -> (stream, ts, event_id, path, value): what each adds to the model of the library that its run uses.
+
+    loaded: the library's module is `object`, of a type, or a built-in of a name; read: client code reads property `name` of
+    base and gets `object`, of a type; invoke: a call of `object` on base; builtin, function: a built-in function of a name, or
+    one at a place, is entered, `object` on base; bound: `object` is base, bound. A property that is no function is described by
+    its type, at its path of names from the module; a function by the place, or the built-in name, that is entered when
+    client code calls into the library. Entered on a receiver that no read gave, a function is under `undefined`. State
+    is one text a run, as large as what its client code has read.
+    """
+    return hooks.groupBy("stream").applyInPandasWithState(_shapes, SHAPE, "seen string", "append", GroupStateTimeout.NoTimeout)
+
+
+def package_model(shape: DataFrame) -> DataFrame:
+    """(stream, path, value): the last value that shapes() gives each path."""
+    return shape.groupBy("stream", "path").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
 def drained(stream: DataFrame) -> DataFrame:
     """Everything that the stream gives from what its source has now, as a table in the shared folder."""
     spark = stream.sparkSession

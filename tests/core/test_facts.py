@@ -8,6 +8,7 @@ from callweave.functions import names, text
 from callweave.operators import events, graph, lookups, paths
 from callweave.operators.solver import solve, solve_by_package
 from callweave.sources import files
+from callweave.streaming import live
 
 KINDS = {
     "resolved": "node string", "callee_of": "ap string, node string", "returns": "fn string, ap string", "edge_arg": "edge string, pos int, ap string", "call_node": "node string, callee string",
@@ -154,3 +155,43 @@ def test_shapes_and_nulls(spark):
     assert {r.key: r.usages for r in lookups.usage_summary(usage).collect()} == {"k": '["x.y"]', "m": '["b.js:3:4","x.y"]'}
     at = spark.createDataFrame([("(f:1:62:1:70)",), ("(f:1:61:1:70)",), ("(f:2:62:2:70)",), ("x",)], "t string").select(text.instrumented_location(F.col("t")).alias("l"))
     assert [(r.l and (r.l.sc, r.l.ec)) for r in at.collect()] == [(0, 8), (60, 69), (61, 69), None]
+
+
+def stream_of(spark, at, batches, kinds):
+    """One file a batch, read one at a time."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{at}/{k:03}")
+    return spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{at}/*")
+
+
+def test_state_goes_on_over_batches(spark, tmp_path):
+    from datetime import datetime as D
+
+    rng, kinds = random.Random(5), "stream long, ts timestamp, event_id long, kind string, key long, start boolean"
+    rows = [(rng.randrange(3), D(2024, 1, 1, 0, k), k, rng.choice([events.CALL, events.ENTER, events.CLEAR, events.LOAD, "none"]), rng.randrange(9), rng.random() < 0.05) for k in range(60)]
+    d = stream_of(spark, tmp_path / "in", [rows[k : k + 12] for k in range(0, 60, 12)], kinds)
+    batch = spark.createDataFrame(rows, kinds)
+    want = events.call_edges(batch, "ts", "event_id").select("stream", F.col("caller").alias("source"), F.col("key").alias("target"))
+    assert sorted(live.drained(live.call_edges(d)).collect()) == sorted(want.collect()) != []
+    allowed = spark.range(4).toDF("key")
+    want = events.illegal_loads(batch, allowed, F.col("start"), "ts", "event_id").select("stream", "event_id", "key")
+    assert sorted(live.drained(live.illegal_loads(d, allowed)).select("stream", "event_id", "key").collect()) == sorted(want.collect())
+
+
+def test_api_shapes(spark, tmp_path):
+    from datetime import datetime as D
+
+    steps = [  # hook, client, base, object, name, type, place
+        ("read", True, "m", "x", "early", "number", None), ("loaded", True, None, "m", None, "object", None), ("read", True, "m", "sub", "a", "object", None), ("read", True, "sub", "n", "b", "number", None),
+        ("read", True, "sub", "f", "go", "function", None), ("read", False, "m", "q", "inner", "string", None), ("invoke", True, "sub", "f", None, None, None), ("function", True, "sub", "f", None, None, "(*internal)"),
+        ("function", True, "sub", "f", None, None, "(a.js:1)"), ("function", True, "sub", "f", None, None, "(late.js:1)"), ("read", True, "m", "k", "keys", "function", None), ("invoke", True, "m", "k", None, None, None),
+        ("builtin", True, None, "z", "Promise", None, None), ("builtin", True, None, "k", "Object.keys", None, None), ("read", True, "m", "x", "v", "string", None), ("read", True, "m", "x", "v", "boolean", None),
+    ]
+    rows = [(s, D(2024, 1, 1, 0, k), k, *e) for s in (1, 2) for k, e in enumerate(steps)]
+    fn = [("loaded", True, None, "m", None, "function", None), ("invoke", False, None, "m", None, None, None), ("function", False, None, "m", None, None, "(m.js:1)")]
+    rows += [(3, D(2024, 1, 1, 0, k), k, *e) for k, e in enumerate(fn)]
+    rows.sort(key=lambda r: r[1])
+    d = stream_of(spark, tmp_path / "in", [rows[:11], rows[11:20], rows[20:]], live.HOOKS)
+    got = {tuple(r) for r in live.package_model(live.drained(live.shapes(d))).collect()}
+    one = {(live.MAIN, "object"), ("a", "object"), ("a.b", "number"), ("a.go", "(a.js:1)"), ("keys", "Object.keys"), ("v", "boolean")}
+    assert got == {(s, *x) for s in (1, 2) for x in one} | {(3, live.MAIN, "(m.js:1)")}
