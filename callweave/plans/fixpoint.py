@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,12 @@ Relations = dict[str, DataFrame]
 COMPACT = 8
 
 
+def _fresh(derived: DataFrame, known: DataFrame) -> DataFrame | None:
+    """The rows that are not known yet, held in the shared folder, or None."""
+    out = checkpointed(derived.select(known.columns).distinct().join(known, known.columns, "left_anti"))
+    return None if out.isEmpty() else out
+
+
 def fixpoint(base: Relations, step: Callable[[Relations, Relations], Relations], max_rounds: int | None = None) -> Relations:
     """All facts that follow from base. step(all, delta) derives, from all facts and those new in the last round, facts of the same relations.
 
@@ -24,11 +31,10 @@ def fixpoint(base: Relations, step: Callable[[Relations, Relations], Relations],
     delta, rounds = dict(every), 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
-        found = {}
-        for k, df in step(every, delta).items():
-            fresh = checkpointed(df.select(every[k].columns).distinct().join(every[k], every[k].columns, "left_anti"))
-            if not fresh.isEmpty():
-                found[k] = fresh
+        derived = step(every, delta)
+        with ThreadPoolExecutor(len(derived)) as pool:  # relations are independent within a round
+            found = dict(zip(derived, pool.map(lambda kd: _fresh(kd[1], every[kd[0]]), derived.items()), strict=True))
+        found = {k: df for k, df in found.items() if df is not None}
         if not found:
             break
         every = {k: every[k].union(found[k]) if k in found else df for k, df in every.items()}
