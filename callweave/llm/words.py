@@ -22,6 +22,9 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x41, 0x5B), *range(0x80,
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
+PLACE = np.uint64(0x2545F4914F6CDD1D)
+#: The first 0 ... 8 bytes of 8.
+TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,16 +39,22 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE) + np.uint64(seed)) | np.uint64(1)
 
 
-class Powers:
-    """BASE and its inverse modulo 2^64, to the powers 0, 1, ..."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def to(cls, n: int) -> None:
-        if len(cls.up) < n:
-            inverse = pow(BASE, -1, 1 << 64)
-            cls.up, cls.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, b, np.uint64))]) for b in (BASE, inverse))
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each run of bytes. Runs of up to 8 bytes and one length have one each; of a longer one, each 8 bytes are mixed with a key of
+    their place before they are summed, so that no arithmetic between places makes different words alike."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    h = mix((eight[start] & TAIL[np.minimum(size, 8)]) ^ PLACE)
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        count = (size[more] - 1) // 8
+        place = ragged(count) + 1
+        at = np.repeat(start[more], count) + 8 * place
+        left = np.minimum(np.repeat(end[more], count) - at, 8)
+        parts = mix((eight[at] & TAIL[left]) ^ mix(place.astype(np.uint64) * np.uint64(BASE) + PLACE))
+        h[more] += np.add.reduceat(parts, np.concatenate([[0], np.cumsum(count)[:-1]]))
+    return mix(h + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 @dataclass
@@ -83,12 +92,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def chunks(texts: pa.Array, kind: np.ndarray = UNBLANK) -> Iterator[Words]:
+def chunks(texts: pa.Array, kind: np.ndarray = UNBLANK, size: int = CHUNK) -> Iterator[Words]:
     """The words of the texts, some rows at a time; every row comes in exactly one chunk, whole."""
     data, at = buffers(texts)
     low, n = 0, len(at) - 1
     while low < n:
-        high = max(low + 1, int(np.searchsorted(at, at[low] + CHUNK, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(at, at[low] + size, "right")) - 1)
         yield split(low, data[at[low] : at[high]], at[low : high + 1] - at[low], kind)
         low = high
 
@@ -107,12 +116,7 @@ def split(first: int, data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> Wor
     after[:-1] = inside[1:]
     after[at[1:][at[1:] > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    Powers.to(size + 1)
-    sums = np.zeros(size + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * Powers.up[:size], out=sums[1:])
-    h = (sums[end] - sums[start]) * Powers.down[start]
-    h = mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Words(first, data, at, np.searchsorted(start, at), start, end, h)
+    return Words(first, data, at, np.searchsorted(start, at), start, end, word_hash(data, start, end))
 
 
 SHINGLE = constants(64, 5)
