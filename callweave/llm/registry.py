@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import collocations, decontamination, fingerprints, mixing, near_dups, packing, pii, quality, token_counts, url_lists, warc
+from callweave.llm import collocations, decontamination, fingerprints, lexical, mixing, near_dups, packing, pii, quality, token_counts, url_lists, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -20,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_personal_data": pii.op10_personal_data,
+    "op11_lexical_search": lexical.op11_lexical_search,
     "op13_collocations": collocations.op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_url_lists": url_lists.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op11_lexical_search": lexical.OP11_SQL,
     "op13_collocations": collocations.OP13_SQL,
 }
