@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import collocations, decontamination, fingerprints, lexical, mixing, near_dups, packing, pii, quality, token_counts, url_lists, warc
+from callweave.llm import collocations, decontamination, fingerprints, lexical, mixing, near_dups, neighbours, packing, pii, quality, token_counts, url_lists, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_personal_data": pii.op10_personal_data,
     "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_nearest_neighbours": neighbours.op12_nearest_neighbours,
     "op13_collocations": collocations.op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
