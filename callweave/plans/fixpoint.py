@@ -8,17 +8,42 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.session import checkpointed
+from callweave.session import added, checkpointed, new_folder
 
 Relations = dict[str, DataFrame]
 #: After so many rounds the pieces of a relation are put together again.
 COMPACT = 8
 
 
-def _fresh(derived: DataFrame, known: DataFrame) -> DataFrame | None:
-    """The rows that are not known yet, held in the shared folder, or None."""
-    out = checkpointed(derived.select(known.columns).distinct().join(known, known.columns, "left_anti"))
-    return None if out.isEmpty() else out
+class Known:
+    """A relation in the shared folder, a file set for each round: `every` reads them all, `new` those of the last round.
+
+    Scans pack small files together, so that the number of partitions follows the rows and not the rounds.
+    """
+
+    def __init__(self, base: DataFrame):
+        self.spark, self.schema, self.parts = base.sparkSession, base.schema, []
+        self.keep(base.distinct())
+
+    def keep(self, rows: DataFrame) -> bool:
+        """Takes rows in, if there are any."""
+        folder = new_folder(self.spark)
+        held = added(rows, folder) > 0
+        if held or not self.parts:
+            self.parts.append(folder)
+        self.new = self._read([folder]) if held else None
+        return held
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*folders)
+
+    @property
+    def every(self) -> DataFrame:
+        return self._read(self.parts)
+
+    def fresh(self, derived: DataFrame) -> DataFrame:
+        columns = self.schema.names
+        return derived.select(columns).distinct().join(self.every, columns, "left_anti")
 
 
 def fixpoint(base: Relations, step: Callable[[Relations, Relations], Relations], max_rounds: int | None = None) -> Relations:
@@ -27,21 +52,18 @@ def fixpoint(base: Relations, step: Callable[[Relations, Relations], Relations],
     A round keeps what no round had before: rows are sets, without nulls. Each round's new rows go to the shared folder, so that
     neither lineage nor work grows with the number of rounds. It ends when a round adds nothing, or after max_rounds.
     """
-    every = {k: checkpointed(df.distinct()) for k, df in base.items()}
-    delta, rounds = dict(every), 0
+    known, rounds = {k: Known(df) for k, df in base.items()}, 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
-        derived = step(every, delta)
+        every = {k: r.every for k, r in known.items()}
+        derived = step(every, {k: r.new if r.new is not None else every[k].limit(0) for k, r in known.items()})
         with ThreadPoolExecutor(len(derived)) as pool:  # relations are independent within a round
-            found = dict(zip(derived, pool.map(lambda kd: _fresh(kd[1], every[kd[0]]), derived.items()), strict=True))
-        found = {k: df for k, df in found.items() if df is not None}
-        if not found:
+            held = dict(zip(derived, pool.map(lambda kd: known[kd[0]].keep(known[kd[0]].fresh(kd[1])), derived.items()), strict=True))
+        for k in known.keys() - derived.keys():
+            known[k].new = None
+        if not any(held.values()):
             break
-        every = {k: every[k].union(found[k]) if k in found else df for k, df in every.items()}
-        if rounds % COMPACT == 0:
-            every = {k: checkpointed(df) for k, df in every.items()}
-        delta = {k: found.get(k, df.limit(0)) for k, df in every.items()}
-    return every
+    return {k: r.every for k, r in known.items()}
 
 
 def reached(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +31,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, **options) -> DataFrame:
     """df as a compressed table in the shared folder, with options of the writer: for wide rows, of which later steps read few columns."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/callweave-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/callweave-{uuid.uuid4().hex}"
+
+
+def added(df: DataFrame, folder: str) -> int:
+    """How many rows df has, all of which are now in the folder as well; they are counted as they are written."""
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(folder)
+    return rows.get["n"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
