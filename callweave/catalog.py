@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callweave.functions import text
+from callweave.functions import globs, text
 from callweave.operators import events, graph, lookups, matching, scan, solver
 from callweave.plans.fixpoint import reached
 from callweave.session import table
@@ -284,7 +284,7 @@ def op_scan_alarms(spark, sf):
     return matching.alarms(adv, dep, defs, reach(spark, sf))
 
 
-PATTERN = """CASE p_size % 3 WHEN 0 THEN concat('call <', p_type, '>') WHEN 1 THEN concat('{call <', p_type, '>.{', array_join(split(p_name, ' '), ','), '} [1, 9], call <', p_type, '>.none}')
+PATTERN = """CASE p_size % 3 WHEN 0 THEN concat('call <', p_type, '>') WHEN 1 THEN concat('call {<', p_type, '>.{', array_join(split(p_name, ' '), ','), '},<', p_type, '>.none} [1, 9]')
   ELSE concat('call <', p_type, '>()') END"""
 
 
@@ -408,9 +408,9 @@ def op_load_summary(spark, sf):
 @query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+:/(/[^?#]*)', 1) AS path FROM pages), g(form, re) AS (VALUES ('/**/{en,fr}/*', '^/(.*/)?(en|fr)/[^/]*$'), ('/*.example.com/**/1*', '^/[^/]*\.example\.com/(.*/)?1[^/]*$'), ('/*/de/**/*', '^/[^/]*/de/(.*/)?[^/]*$'))
 SELECT page_id, form FROM p, g WHERE regexp_matches(path, re)""")
 def op_glob(spark, sf):
-    globs = ["/**/{en,fr}/*", "/*.example.com/**/1*", "/*/de/**/*"]
+    forms = ["/**/{en,fr}/*", "/*.example.com/**/1*", "/*/de/**/*"]
     path = F.regexp_extract("url", r"^[a-z]+:/(/[^?#]*)", 1)
-    hit = F.array_compact(F.array(*[F.when(path.rlike(text.glob_regex(g)), F.lit(g)) for g in globs]))
+    hit = F.array_compact(F.array(*[F.when(path.rlike(globs.parse(g).regex()), F.lit(g)) for g in forms]))
     return table(spark, sf, "pages").select("page_id", F.explode(hit).alias("form"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.plans.fixpoint import closure, reached
+from callweave.session import checkpointed
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -33,11 +34,11 @@ def unreached(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame
 
 def traces(edges: DataFrame, targets: DataFrame, depth: int = 10) -> DataFrame:
     """(target, step, node): from each target back over the first edge, by `ord`, that leads to it, and so on for `depth` steps or as long as there is one."""
-    first = edges.groupBy("dst").agg(F.min_by("src", F.struct("ord", "src")).alias("src"))
-    at = targets.select(F.col("node").alias("target"), F.lit(0).alias("step"), "node")
+    first = checkpointed(edges.groupBy("dst").agg(F.min_by("src", F.struct("ord", "src")).alias("src")))
+    at = checkpointed(targets.select(F.col("node").alias("target"), F.lit(0).alias("step"), "node"))
     out = at
     for k in range(1, depth + 1):
-        at = at.join(first, F.col("node") == F.col("dst")).select("target", F.lit(k).alias("step"), F.col("src").alias("node"))
+        at = checkpointed(at.join(first, F.col("node") == F.col("dst")).select("target", F.lit(k).alias("step"), F.col("src").alias("node")))
         out = out.union(at)
     return out
 

@@ -7,8 +7,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from callweave.functions import versions
-from callweave.functions.patterns import alternatives, parse
-from callweave.functions.text import glob_regex
 from callweave.operators import matching, scan, soundness
 from callweave.operators.solver import solve
 from callweave.plans.fixpoint import closure, reached
@@ -65,7 +63,7 @@ def test_ranges(spark):
 
 def test_scan(spark):
     """The cases of the hand-made fixture: reachable or not, in range or just above, each form of a pattern."""
-    adv = [(1, "lib", "0.0.0", "1.2.3", "call <lib>.{a,b} [2, 99]"), (2, "lib", "0.0.0", "1.2.2", "call <lib>.a"), (3, "lib", "0.0.0", "2.0.0", "call <lib>"), (4, "lib", "0.0.0", "2.0.0", "call <lib>()"), (None, "lib", "0.0.0", "2.0.0", "{call <lib>.c, call <lib>.a}"), (6, "other", "0.0.0", "9.0.0", "call <other>.a"), (7, "lib", "0.0.0", "2.0.0", "call <lib>.far"), (8, "lib", "0.0.0", "2.0.0", None)]
+    adv = [(1, "lib", "0.0.0", "1.2.3", "call <lib>.{a,b} [2, 99]"), (2, "lib", "0.0.0", "1.2.2", "call <lib>.a"), (3, "lib", "0.0.0", "2.0.0", "call <lib>"), (4, "lib", "0.0.0", "2.0.0", "call <lib>()"), (None, "lib", "0.0.0", "2.0.0", "call {<lib>.c,<lib>.a}"), (6, "other", "0.0.0", "9.0.0", "call <other>.a"), (7, "lib", "0.0.0", "2.0.0", "call <lib>.far"), (8, "lib", "0.0.0", "2.0.0", None)]
     facts = [
         spark.createDataFrame(adv, "id int, library string, low string, high string, pattern string"),
         spark.createDataFrame([("lib", "1.2.3"), ("lib", "1.2.3"), ("other", "1.0.0-rc.1")], "library string, version string"),
@@ -114,29 +112,6 @@ def test_soundness_tallies(spark):
     assert set(soundness.tallies(o.limit(0), s, rules).first()) == {0}
 
 
-def test_globs():
-    import re
-
-    hit = lambda g, p: bool(re.match(glob_regex(g), p))
-    assert hit("/**/x", "/a/b/x") and hit("/**/x", "/x") and not hit("/*/x", "/a/b/x")
-    assert hit("{a,b}c", "ac") and hit("{a,b}c", "bc") and not hit("{a,b}c", "cc") and hit("a.b", "a.b") and not hit("a.b", "axb")
-
-
-def test_patterns():
-    one, two = parse("{call <lib>.{a,b}()[1,2], read </**/x>.y}")
-    assert (one.kind, one.props, one.arguments, two.imported) == ("call", ("a", "b"), (1, 2), "/**/x")
-    assert alternatives("{a,{b,c}}") == ["a", "{b,c}"]
-
-
-@settings(max_examples=50, deadline=None)
-@given(st.sampled_from("import read call callR".split()), st.lists(st.one_of(st.just(("()",)), st.lists(st.from_regex(r"[a-z]{1,4}", fullmatch=True), min_size=1, max_size=3, unique=True).map(tuple)), max_size=4))
-def test_patterns_round_trip(kind, steps):
-    from callweave.functions.patterns import Pattern
-
-    p = Pattern(kind, "lib", tuple(steps))
-    assert parse(str(p)) == [p]
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "adv.json").write_text(json.dumps([{"library": "l", "versionMin": "1.0.0", "versionMax": "2.0.0", "pattern": "call <l>.a"}]))
     assert files.advisories(spark, str(tmp_path / "adv.json")).first().id is None
