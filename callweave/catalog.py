@@ -1,7 +1,8 @@
 """Queries over the supplied tables, one for each operator, with the SQL that gives the same rows.
 
-The tables hold no programs, so that each plays a part: within an order the parts of its lines call one another; parts are
-functions, those of size 1 the entry points, their brands modules, their types packages, the words of their names properties;
+The tables hold no programs, so that each plays a part: within an order the parts of its lines call one another. Parts are
+functions, the words of their names properties. For what is reached, a part is a function for each quantity it is sold in, those of
+parts of size 1 are entry points, ten quantities of a part a module, half of them a package, brand and type a library.
 events of a user are a run's calls (click), entries (view), clearings (error) and loads (purchase); regions, nations, suppliers
 and customers are a dependency tree; customers load orders, and these parts. Every table takes part whole.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callweave.functions import globs, text
+from callweave.functions.names import BUILT_IN
 from callweave.operators import events, graph, lookups, matching, scan, solver
 from callweave.plans.fixpoint import reached
 from callweave.session import table
@@ -43,12 +45,26 @@ def part_edges(spark: SparkSession, sf: str, which: str = "true") -> DataFrame:
     return d.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst IS NOT NULL").distinct()
 
 
-def parts(spark: SparkSession, sf: str, which: str = "true") -> DataFrame:
-    return table(spark, sf, "part").where(which).select(F.col("p_partkey").alias("node"))
+def fn_id() -> Column:
+    return F.col("l_partkey") * 100 + F.col("l_quantity").cast("long")
 
 
-def reach(spark: SparkSession, sf: str) -> DataFrame:
-    return reached(part_edges(spark, sf), parts(spark, sf, "p_size = 1")).select("node")
+def fns(spark: SparkSession, sf: str, which: str = "true") -> DataFrame:
+    """node, with its part's columns, module, package and library."""
+    q = (F.col("l_quantity") / 10).cast("int").cast("string")
+    half = F.when(F.col("l_quantity") > 25, "b").otherwise("a")
+    d = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).where(which)
+    names = {"node": fn_id(), "module": F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string"), q), "package": F.concat_ws("/", F.col("p_partkey").cast("string"), half), "library": F.concat_ws("-", "p_type", "p_brand")}
+    return d.select(*[c.alias(n) for n, c in names.items()], "p_partkey", "p_size", "p_name").distinct()
+
+
+def fn_edges(spark: SparkSession, sf: str) -> DataFrame:
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return table(spark, sf, "lineitem").select(fn_id().alias("src"), F.lead(fn_id()).over(w).alias("dst")).where("dst IS NOT NULL").distinct()
+
+
+def reach(spark: SparkSession, sf: str, which: str = "p_size = 1") -> DataFrame:
+    return reached(fn_edges(spark, sf), fns(spark, sf, which).select("node")).select("node")
 
 
 def named(kind: str, column: str) -> Column:
@@ -68,6 +84,10 @@ def words_of(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("*", F.explode(F.split("p_name", " ")).alias("prop"))
 
 
+def sized(spark: SparkSession, sf: str) -> DataFrame:
+    return words_of(spark, sf).withColumn("prop", F.concat("prop", F.col("p_size").cast("string")))
+
+
 def tree(spark: SparkSession, sf: str) -> DataFrame:
     name = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
     nations = table(spark, sf, "nation").select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"))
@@ -82,10 +102,17 @@ def runs(rows: DataFrame) -> DataFrame:
 
 EDGE = """edge AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
   FROM lineitem) WHERE dst IS NOT NULL)"""
-REACH = "reach AS (SELECT p_partkey AS node FROM part WHERE p_size = 1 UNION SELECT dst FROM reach JOIN edge ON node = src)"
+FNS = """fn AS (SELECT DISTINCT l_partkey * 100 + CAST(l_quantity AS BIGINT) AS node, p_brand || '/' || p_partkey || '/' || CAST(floor(l_quantity / 10) AS INTEGER) AS module,
+  p_partkey || '/' || CASE WHEN l_quantity > 25 THEN 'b' ELSE 'a' END AS package, p_type || '-' || p_brand AS library, p_partkey, p_size, p_name
+  FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+CALLED = """call AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey * 100 + CAST(l_quantity AS BIGINT) AS src, lead(l_partkey * 100 + CAST(l_quantity AS BIGINT))
+  OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)"""
+REACH = f"{FNS}, {CALLED}, reach AS (SELECT node FROM fn WHERE p_size = 1 UNION SELECT dst FROM reach JOIN call ON node = src)"
 LOAD = "load AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem)"
 LOADED = "walk AS (SELECT 'c' || c_custkey AS node, 0 AS depth FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT dst, depth + 1 FROM walk JOIN load ON node = src)"
 WORDS = "word AS (SELECT *, unnest(string_split(p_name, ' ')) AS prop FROM part)"
+#: Words with the part's size behind them: names of which few are alike.
+SIZED = "word AS (SELECT *, unnest(string_split(p_name, ' ')) || p_size AS prop FROM part)"
 TREE = "tree AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier)"
 RUNS = """run AS (SELECT user_id AS stream, ts, event_id, event_id AS key, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, event_type = 'signup' AS start,
   CASE event_type WHEN 'click' THEN 'call' WHEN 'view' THEN 'enter' WHEN 'error' THEN 'clear' WHEN 'purchase' THEN 'load' ELSE 'none' END AS kind FROM events)"""
@@ -95,19 +122,19 @@ CALLER = """c AS (SELECT *, last_value(CASE WHEN kind = 'call' THEN key WHEN kin
 # ---- graphs
 
 
-@query(f"WITH RECURSIVE {EDGE}, {REACH} SELECT node FROM reach")
+@query(f"WITH RECURSIVE {REACH} SELECT node FROM reach")
 def op_reach(spark, sf):
     return reach(spark, sf)
 
 
-@query(f"WITH RECURSIVE {EDGE}, {REACH} SELECT src, dst FROM edge WHERE src IN (SELECT node FROM reach)")
+@query(f"WITH RECURSIVE {REACH} SELECT src, dst FROM call WHERE src IN (SELECT node FROM reach)")
 def op_reach_edges(spark, sf):
-    return graph.induced(part_edges(spark, sf), reach(spark, sf))
+    return graph.induced(fn_edges(spark, sf), reach(spark, sf))
 
 
-@query(f"WITH RECURSIVE {EDGE}, {REACH.replace('p_size = 1', 'p_size <= 5')} SELECT node FROM reach")
+@query(f"WITH RECURSIVE {REACH.replace('p_size = 1', 'p_size <= 5')} SELECT node FROM reach")
 def op_reach_all_usages(spark, sf):
-    return reached(part_edges(spark, sf), parts(spark, sf, "p_size <= 5")).select("node")
+    return reach(spark, sf, "p_size <= 5")
 
 
 @query(f"WITH RECURSIVE {LOAD}, {LOADED} SELECT node, min(depth) AS depth FROM walk GROUP BY node")
@@ -140,10 +167,10 @@ def op_points_to(spark, sf):
     return solver.targets(tree(spark, sf).union(customers).toDF("node", "below"), resolved)
 
 
-@query(f"""WITH {EDGE}, pred AS (SELECT dst, min(src) AS src FROM edge GROUP BY dst), s0 AS (SELECT p_partkey AS target, 0 AS step, p_partkey AS node FROM part),
+@query(f"""WITH {FNS}, {CALLED}, pred AS (SELECT dst, min(src) AS src FROM call GROUP BY dst), s0 AS (SELECT node AS target, 0 AS step, node FROM fn),
 {", ".join(f"s{k} AS (SELECT target, {k} AS step, src AS node FROM s{k - 1} JOIN pred ON node = dst)" for k in range(1, 11))} {" UNION ALL ".join(f"SELECT target, step, node FROM s{k}" for k in range(11))}""")
 def op_stack_trace(spark, sf):
-    return graph.traces(part_edges(spark, sf).withColumn("ord", F.col("src")), parts(spark, sf))
+    return graph.traces(fn_edges(spark, sf).withColumn("ord", F.col("src")), fns(spark, sf).select("node"))
 
 
 @query(f"WITH {EDGE.replace('FROM lineitem)', "FROM lineitem WHERE l_linestatus = 'O')")}, {EDGE.replace('edge AS', 'other AS').replace('FROM lineitem)', "FROM lineitem WHERE l_linestatus <> 'O')")} SELECT src, dst FROM edge UNION SELECT src, dst FROM other")
@@ -158,15 +185,15 @@ def op_joinmaps(spark, sf):
     return graph.overridden(d.groupBy("key").agg(F.min("l_suppkey").alias("value")), d.where("l_returnflag = 'R'").groupBy("key").agg(F.max("l_suppkey").alias("value")))
 
 
-@query(f"WITH {WORDS}, a AS (SELECT DISTINCT prop, p_brand AS ap FROM word), n AS (SELECT prop, count(*) AS n FROM a GROUP BY prop) SELECT DISTINCT prop, CASE WHEN n > 10 THEN 'Unknown' ELSE ap END AS ap FROM a JOIN n USING (prop)")
+@query("""WITH a AS (SELECT DISTINCT 'c' || o_custkey AS prop, 'o' || o_orderkey AS ap FROM orders), n AS (SELECT prop, count(*) AS n FROM a GROUP BY prop)
+SELECT DISTINCT prop, CASE WHEN n > 10 THEN 'Unknown' ELSE ap END AS ap FROM a JOIN n USING (prop)""")
 def op_alias_cap(spark, sf):
-    return graph.capped(words_of(spark, sf).select("prop", F.col("p_brand").alias("ap")), 10)
+    return graph.capped(table(spark, sf, "orders").select(named("c", "o_custkey").alias("prop"), named("o", "o_orderkey").alias("ap")), 10)
 
 
-@query(f"WITH RECURSIVE {EDGE}, {REACH} SELECT count(DISTINCT p_partkey) AS functions, count(DISTINCT p_brand) AS modules, count(DISTINCT p_type) - 1 AS packages FROM part WHERE p_partkey IN (SELECT node FROM reach)")
+@query(f"WITH RECURSIVE {REACH} SELECT count(DISTINCT node) AS functions, count(DISTINCT module) AS modules, count(DISTINCT package) - 1 AS packages FROM fn WHERE node IN (SELECT node FROM reach)")
 def op_reach_metrics(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("module"), F.col("p_type").alias("package"))
-    return graph.metrics(p.join(reach(spark, sf), "node", "left_semi"))
+    return graph.metrics(fns(spark, sf).join(reach(spark, sf), "node", "left_semi"))
 
 
 @query("SELECT count(*) AS pairs FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)")
@@ -204,12 +231,13 @@ def op_field_exact(spark, sf):
     return lookups.fields(d, d.withColumnRenamed("read", "ap"))
 
 
-@query(f"""WITH {WORDS}, pat AS (SELECT DISTINCT 'prefix' AS kind, prop[1:2] AS t, p_type AS ap FROM word UNION SELECT DISTINCT 'suffix', prop[-2:], p_type FROM word)
+@query(f"""WITH {SIZED}, pat AS (SELECT DISTINCT 'prefix' AS kind, left(prop, length(prop) - 1) AS t, p_type || p_brand AS ap FROM word UNION SELECT DISTINCT 'suffix', right(prop, 3), p_type || p_brand FROM word)
 SELECT DISTINCT p_brand || '.' || prop AS read, ap FROM word JOIN pat ON (kind = 'prefix' AND starts_with(prop, t)) OR (kind = 'suffix' AND suffix(prop, t))""")
 def op_field_wild(spark, sf):
-    d = words_of(spark, sf)
+    d = sized(spark, sf)
     reads = d.select(F.concat_ws(".", "p_brand", "prop").alias("read"), "prop").distinct()
-    kinds = [d.select(F.lit(kind).alias("kind"), cut.alias("text"), F.col("p_type").alias("ap")) for kind, cut in (("prefix", F.substring("prop", 1, 2)), ("suffix", F.right("prop", F.lit(2))))]
+    cuts = (("prefix", F.left("prop", F.length("prop") - 1)), ("suffix", F.right("prop", F.lit(3))))
+    kinds = [d.select(F.lit(kind).alias("kind"), cut.alias("text"), F.concat("p_type", "p_brand").alias("ap")) for kind, cut in cuts]
     return lookups.wild_fields(reads, kinds[0].union(kinds[1]).distinct())
 
 
@@ -220,23 +248,24 @@ def op_field_scope(spark, sf):
     return lookups.scoped(writes, graph.neighbours(tree(spark, sf)))
 
 
-@query(f"WITH {WORDS} SELECT DISTINCT r.p_type AS read, w.p_partkey AS ap FROM word r JOIN word w USING (prop)")
+@query(f"WITH {SIZED} SELECT DISTINCT r.p_type || r.p_brand AS read, w.p_partkey AS ap FROM word r JOIN word w USING (prop)")
 def op_getter(spark, sf):
-    d, one = words_of(spark, sf), F.lit(0).alias("module")
-    return lookups.fields(d.select(F.col("p_type").alias("read"), one, "prop").distinct(), d.select(one, "prop", F.col("p_partkey").alias("ap")).distinct())
+    d, one = sized(spark, sf), F.lit(0).alias("module")
+    return lookups.fields(d.select(F.concat("p_type", "p_brand").alias("read"), one, "prop").distinct(), d.select(one, "prop", F.col("p_partkey").alias("ap")).distinct())
 
 
-NAMES = "(SELECT DISTINCT {id} AS id, CASE p_size % 3 WHEN 0 THEN 'literal' WHEN 1 THEN 'prefix' ELSE 'suffix' END AS kind, CASE p_size % 3 WHEN 0 THEN prop WHEN 1 THEN prop[1:1 + p_size % 2] ELSE prop[-1 - p_size % 2:] END AS t FROM word)"
+NAMES = """(SELECT DISTINCT {id} AS id, CASE p_size % 3 WHEN 0 THEN 'literal' WHEN 1 THEN 'prefix' ELSE 'suffix' END AS kind,
+  CASE p_size % 3 WHEN 0 THEN prop WHEN 1 THEN left(prop, length(prop) - 1 - p_size % 2) ELSE right(prop, 3 + p_size % 2) END AS t FROM word)"""
 
 
 def event_names(spark: SparkSession, sf: str, column: str, name: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("literal"), F.lit("prefix"), F.lit("suffix")), F.col("p_size") % 3 + 1)
-    n = F.lit(1) + F.col("p_size") % 2
-    part = F.when(kind == "literal", F.col("prop")).when(kind == "prefix", F.left("prop", n)).otherwise(F.right("prop", n))
-    return words_of(spark, sf).select(F.col(column).alias(name), kind.alias("kind"), part.alias("text")).distinct()
+    n = F.col("p_size") % 2
+    part = F.when(kind == "literal", F.col("prop")).when(kind == "prefix", F.left("prop", F.length("prop") - 1 - n)).otherwise(F.right("prop", 3 + n))
+    return sized(spark, sf).select(F.col(column).alias(name), kind.alias("kind"), part.alias("text")).distinct()
 
 
-@query(f"""WITH {WORDS}, e AS {NAMES.format(id='p_brand')}, o AS {NAMES.format(id='p_partkey')}
+@query(f"""WITH {SIZED}, e AS {NAMES.format(id='p_brand')}, o AS {NAMES.format(id='p_partkey')}
 SELECT DISTINCT e.id AS emit, o.id AS callback FROM e JOIN o ON CASE
   WHEN e.kind = 'literal' AND o.kind = 'literal' THEN e.t = o.t WHEN e.kind = 'literal' AND o.kind = 'prefix' THEN starts_with(e.t, o.t) WHEN e.kind = 'literal' THEN suffix(e.t, o.t)
   WHEN e.kind = 'prefix' AND o.kind = 'literal' THEN starts_with(o.t, e.t) WHEN e.kind = 'prefix' AND o.kind = 'prefix' THEN starts_with(e.t, o.t) OR starts_with(o.t, e.t) WHEN e.kind = 'prefix' THEN false
@@ -256,9 +285,11 @@ def op_builtin_cb(spark, sf):
     return lookups.builtin_callbacks(calls)
 
 
-@query("SELECT DISTINCT l_orderkey AS edge, l_suppkey AS ap FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT DISTINCT l_orderkey AS edge, l_suppkey AS ap FROM lineitem WHERE l_linenumber = 1 AND l_tax >= 0.03 AND l_discount >= 0.05")
 def op_promise(spark, sf):
-    return table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("edge"), F.col("l_suppkey").alias("ap")).distinct()
+    module, name = F.when(F.col("l_tax") >= 0.03, BUILT_IN).otherwise("lib"), F.when(F.col("l_discount") >= 0.05, "Promise").otherwise("Object")
+    calls = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("edge"), module.alias("module"), name.alias("name"), (F.col("l_linenumber") - 1).alias("pos"), F.col("l_suppkey").alias("ap"))
+    return lookups.constructed(calls)
 
 
 @query("SELECT DISTINCT l_orderkey AS call, coalesce(CASE WHEN p_size < 25 THEN p_partkey END, -l_suppkey) AS callee FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
@@ -270,49 +301,46 @@ def op_export_lookup(spark, sf):
 # ---- advisories, modules, soundness
 
 
-@query(f"""WITH RECURSIVE {EDGE}, {REACH}, {WORDS},
-dep AS (SELECT DISTINCT p_type AS library, [p_size, CAST(p_partkey % 10 AS INTEGER), 0] AS version FROM part),
-adv AS (SELECT p_partkey AS id, p_type AS library, [p_size - 1, 0, 0] AS low, [p_size + 1, 9, 0] AS high, string_split(p_name, ' ') AS props FROM part),
-hit AS (SELECT id, library, unnest(props) AS prop FROM adv WHERE EXISTS (SELECT 1 FROM dep WHERE dep.library = adv.library AND dep.version BETWEEN low AND high))
-SELECT id, count(DISTINCT p_partkey) AS functions FROM hit JOIN word ON library = p_type AND hit.prop = word.prop WHERE p_partkey IN (SELECT node FROM reach) GROUP BY id""")
+@query(f"""WITH RECURSIVE {REACH},
+dep AS (SELECT DISTINCT library, [p_size, CAST(p_partkey % 10 AS INTEGER), 0] AS version FROM fn),
+adv AS (SELECT p_partkey AS id, p_type || '-' || p_brand AS library, [CAST(p_retailprice AS INTEGER) % 50, 0, 0] AS low, [CAST(p_retailprice AS INTEGER) % 50 + 3, 9, 0] AS high, string_split(p_name, ' ') AS props FROM part),
+hit AS (SELECT id, library, unnest(props) AS prop FROM adv WHERE EXISTS (SELECT 1 FROM dep WHERE dep.library = adv.library AND dep.version BETWEEN low AND high)),
+own AS (SELECT node, library, unnest(string_split(p_name, ' ')) AS prop FROM fn)
+SELECT id, count(DISTINCT node) AS functions FROM hit JOIN own USING (library, prop) WHERE node IN (SELECT node FROM reach) GROUP BY id""")
 def op_scan_alarms(spark, sf):
-    p = table(spark, sf, "part").withColumn("library", F.col("p_type"))
-    dep = p.select("library", F.array("p_size", (F.col("p_partkey") % 10).cast("int"), F.lit(0)).alias("version"))
-    bound = lambda d, m: F.array(F.col("p_size") + d, F.lit(m), F.lit(0))
-    adv = p.select(F.col("p_partkey").alias("id"), "library", bound(-1, 0).alias("low"), bound(1, 9).alias("high"), F.split("p_name", " ").alias("props"))
-    defs = words_of(spark, sf).select(F.col("p_type").alias("library"), "prop", F.col("p_partkey").alias("fn"))
+    f, p = fns(spark, sf), table(spark, sf, "part")
+    dep = f.select("library", F.array("p_size", (F.col("p_partkey") % 10).cast("int"), F.lit(0)).alias("version"))
+    low = F.col("p_retailprice").cast("decimal(20,0)").cast("int") % 50
+    adv = p.select(F.col("p_partkey").alias("id"), F.concat_ws("-", "p_type", "p_brand").alias("library"), F.array(low, F.lit(0), F.lit(0)).alias("low"), F.array(low + 3, F.lit(9), F.lit(0)).alias("high"), F.split("p_name", " ").alias("props"))
+    defs = f.select("library", F.explode(F.split("p_name", " ")).alias("prop"), F.col("node").alias("fn"))
     return matching.alarms(adv, dep, defs, reach(spark, sf))
 
 
-PATTERN = """CASE p_size % 3 WHEN 0 THEN concat('call <', p_type, '>') WHEN 1 THEN concat('call {<', p_type, '>.{', array_join(split(p_name, ' '), ','), '},<', p_type, '>.none} [1, 9]')
-  ELSE concat('call <', p_type, '>()') END"""
+PATTERN = """CASE p_size % 3 WHEN 0 THEN concat('call <', library, '>') WHEN 1 THEN concat('call {<', library, '>.{', array_join(split(p_name, ' '), ','), '},<', library, '>.none} [1, 9]')
+  ELSE concat('call <', library, '>()') END"""
 
 
-@query(f"""WITH RECURSIVE {EDGE}, {REACH}, {WORDS},
-dep AS (SELECT DISTINCT p_type AS library, [p_size, CAST(p_partkey % 10 AS INTEGER), 0] AS version FROM part WHERE p_brand NOT LIKE '%1'),
-adv AS (SELECT p_partkey AS id, p_type AS library, p_size % 3 AS form, string_split(p_name, ' ') AS props FROM part WHERE EXISTS (SELECT 1 FROM dep WHERE library = p_type AND version BETWEEN [p_size - 1, 0, 0] AND [p_size + 1, 9, 9])),
-own AS (SELECT p_type AS library, p_partkey AS fn FROM part WHERE p_size < 25), given AS (SELECT src AS fn, min(dst) AS returned FROM edge GROUP BY src),
-hit AS (SELECT id, fn FROM adv JOIN own USING (library) WHERE form = 0 UNION SELECT id, p_partkey FROM (SELECT id, library, unnest(props) AS prop FROM adv WHERE form = 1) a JOIN word ON library = p_type AND a.prop = word.prop
+@query(f"""WITH RECURSIVE {REACH},
+dep AS (SELECT DISTINCT library, [p_size, CAST(p_partkey % 10 AS INTEGER), 0] AS version FROM fn WHERE p_partkey % 10 <> 1),
+adv AS (SELECT p_partkey AS id, p_type || '-' || p_brand AS library, p_size % 3 AS form, string_split(p_name, ' ') AS props FROM part WHERE EXISTS (
+  SELECT 1 FROM dep WHERE library = p_type || '-' || p_brand AND version BETWEEN [CAST(p_retailprice AS INTEGER) % 50, 0, 0] AND [CAST(p_retailprice AS INTEGER) % 50 + 3, 9, 9])),
+own AS (SELECT library, node AS fn FROM fn WHERE p_size < 25), given AS (SELECT src AS fn, min(dst) AS returned FROM call GROUP BY src),
+word AS (SELECT node, library, unnest(string_split(p_name, ' ')) AS prop FROM fn),
+hit AS (SELECT id, fn FROM adv JOIN own USING (library) WHERE form = 0 UNION SELECT id, node FROM (SELECT id, library, unnest(props) AS prop FROM adv WHERE form = 1) a JOIN word USING (library, prop)
   UNION SELECT id, returned FROM adv JOIN own USING (library) JOIN given USING (fn) WHERE form = 2)
 SELECT id, count(DISTINCT fn) AS functions FROM hit WHERE fn IN (SELECT node FROM reach) GROUP BY id""")
 def op_scan_patterns(spark, sf):
-    p, number = table(spark, sf, "part"), lambda *c: F.concat_ws(".", *c)
-    adv = p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("library"), number(F.col("p_size") - 1, F.lit("0.0")).alias("low"), number(F.col("p_size") + 1, F.lit("9.9")).alias("high"), F.expr(PATTERN).alias("pattern"))
-    early = F.when(F.col("p_brand").endswith("1"), "-rc.1").otherwise("")
-    dep = p.select(F.col("p_type").alias("library"), F.concat(number("p_size", F.col("p_partkey") % 10, F.lit("0")), early).alias("version"))
-    exported = p.where("p_size < 25").select(F.col("p_type").alias("library"), F.lit(None).cast("string").alias("prop"), F.col("p_partkey").alias("fn"))
-    members = words_of(spark, sf).select(F.col("p_type").alias("library"), "prop", F.col("p_partkey").alias("fn"))
-    returns = part_edges(spark, sf).groupBy(F.col("src").alias("fn")).agg(F.min("dst").alias("returned"))
+    f, p, number = fns(spark, sf), table(spark, sf, "part").withColumn("library", F.concat_ws("-", "p_type", "p_brand")), lambda *c: F.concat_ws(".", *[F.col(x) if isinstance(x, str) else x for x in c])
+    low = F.col("p_retailprice").cast("decimal(20,0)").cast("int") % 50
+    adv = p.select(F.col("p_partkey").alias("id"), "library", number(low, F.lit("0.0")).alias("low"), number(low + 3, F.lit("9.9")).alias("high"), F.expr(PATTERN).alias("pattern"))
+    early = F.when(F.col("p_partkey") % 10 == 1, "-rc.1").otherwise("")
+    dep = f.select("library", F.concat(number("p_size", F.col("p_partkey") % 10, F.lit("0")), early).alias("version"))
+    exported = f.where("p_size < 25").select("library", F.lit(None).cast("string").alias("prop"), F.col("node").alias("fn"))
+    members = f.select("library", F.explode(F.split("p_name", " ")).alias("prop"), F.col("node").alias("fn"))
+    returns = fn_edges(spark, sf).groupBy(F.col("src").alias("fn")).agg(F.min("dst").alias("returned"))
     return scan.alarms(adv, dep, exported.union(members), returns, reach(spark, sf))
 
 
-@query(f"WITH RECURSIVE {EDGE}, {REACH} SELECT p_brand AS module FROM part WHERE p_partkey IN (SELECT node FROM reach) UNION SELECT p_brand FROM part WHERE p_size = 2")
-def op_used_modules(spark, sf):
-    p = table(spark, sf, "part")
-    used = p.join(reach(spark, sf), F.col("p_partkey") == F.col("node"), "left_semi")
-    return graph.merged(used.select(F.col("p_brand").alias("module")), p.where("p_size = 2").select(F.col("p_brand").alias("module")))
-
-
 @query(f"WITH RECURSIVE {LOAD}, {LOADED} SELECT DISTINCT node AS module FROM walk WHERE node LIKE 'o%' AND node NOT IN (SELECT 'o' || l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def op_side_effect(spark, sf):
     stored = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(named("o", "l_orderkey").alias("node"))

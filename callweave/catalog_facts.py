@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callweave.catalog import EDGE, LOAD, QUERIES, REACH, RUNS, SEQ, TREE, WORDS, load_edges, part_edges, query, reach, run, streamed, tree, words_of
+from callweave.catalog import EDGE, LOAD, QUERIES, REACH, RUNS, SEQ, SIZED, TREE, fn_id, fns, load_edges, part_edges, query, reach, run, sized, streamed, tree
 from callweave.functions import names, text
 from callweave.operators import events, graph, lookups, paths, solver, soundness
 from callweave.session import table
@@ -175,11 +175,13 @@ def tallied(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, soundne
 # ---- reads, calls, usages
 
 
-@query(f"""WITH {WORDS}, r AS (SELECT DISTINCT p_type AS read, 'prefix' AS kind, prop[1:1 + p_size % 2] AS t FROM word UNION SELECT DISTINCT p_type, 'suffix', prop[-1 - p_size % 2:] FROM word)
+@query(f"""WITH {SIZED}, r AS (SELECT DISTINCT p_type || p_brand AS read, 'prefix' AS kind, left(prop, length(prop) - 1 - p_size % 2) AS t FROM word
+  UNION SELECT DISTINCT p_type || p_brand, 'suffix', right(prop, 3 + p_size % 2) FROM word)
 SELECT DISTINCT read, p_partkey AS ap FROM r JOIN word ON CASE kind WHEN 'prefix' THEN starts_with(prop, t) ELSE suffix(prop, t) END""")
 def op_wild_reads(spark, sf):
-    d, n = words_of(spark, sf), F.lit(1) + F.col("p_size") % 2
-    reads = [d.select(F.col("p_type").alias("read"), F.lit(kind).alias("kind"), cut(F.col("prop"), n).alias("text")) for kind, cut in (("prefix", F.left), ("suffix", F.right))]
+    d, n = sized(spark, sf), F.col("p_size") % 2
+    cuts = (("prefix", F.left("prop", F.length("prop") - 1 - n)), ("suffix", F.right("prop", 3 + n)))
+    reads = [d.select(F.concat("p_type", "p_brand").alias("read"), F.lit(kind).alias("kind"), cut.alias("text")) for kind, cut in cuts]
     return lookups.read_by_pattern(reads[0].union(reads[1]).distinct(), d.select("prop", F.col("p_partkey").alias("ap")).distinct())
 
 
@@ -231,10 +233,21 @@ def op_graph_counts(spark, sf):
     return graph.graph_counts(table(spark, sf, "part").select(F.col("p_partkey").alias("node")), targets)
 
 
-@query(f"WITH RECURSIVE {EDGE}, {REACH} SELECT count(DISTINCT p_brand) AS modules FROM part WHERE p_brand LIKE 'Brand#1%' AND p_partkey IN (SELECT node FROM reach)")
+@query(f"WITH RECURSIVE {REACH} SELECT count(DISTINCT module) AS modules FROM fn WHERE module LIKE 'Brand#1%' AND node IN (SELECT node FROM reach)")
 def op_modules_reached(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("module"))
-    return graph.modules_reached(p.join(reach(spark, sf), "node", "left_semi"), "Brand#1")
+    return graph.modules_reached(fns(spark, sf).join(reach(spark, sf), "node", "left_semi"), "Brand#1")
+
+
+#: Paths of a line belong to the function that the line is; the path at their bottom says what is imported.
+@query(f"""WITH RECURSIVE {REACH}, {ROOTED.replace("l_suppkey, n AS sl", "l_suppkey, l_partkey, l_quantity").replace("(SELECT l_orderkey, n, ap, kind AS root", "(SELECT l_orderkey, n, ap, l_partkey, l_quantity, kind AS root").replace("p.n, p.ap, root", "p.n, p.ap, p.l_partkey, p.l_quantity, root")},
+used AS (SELECT l_partkey * 100 + CAST(l_quantity AS BIGINT) AS node, root_file FROM k WHERE root = 'import'),
+home AS (SELECT module, min(node) AS main FROM fn GROUP BY module)
+SELECT DISTINCT root_file AS module FROM used WHERE node IN (SELECT node FROM reach) OR node IN (SELECT main FROM home JOIN fn USING (module) WHERE node IN (SELECT node FROM reach))""")
+def op_used_modules(spark, sf):
+    f = fns(spark, sf)
+    homes = f.join(f.groupBy("module").agg(F.min("node").alias("main")), "module").select("node", "main")
+    usage = lines(spark, sf).select(fn_id().alias("fn"), F.col("edge").alias("ap"))
+    return graph.used_modules(reach(spark, sf), homes, usage, paths.rooted(access_paths(spark, sf), paths.FROM_LIBRARY))
 
 
 @query(f"WITH RECURSIVE {TREE}, top AS (SELECT 'r' || r_regionkey AS run, 'r' || r_regionkey AS node FROM region UNION ALL SELECT run, dst FROM top JOIN tree ON node = src) SELECT run, count(*) AS dependencies FROM top WHERE run <> node GROUP BY run")

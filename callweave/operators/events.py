@@ -47,24 +47,31 @@ def bracketed(on: Column, off: Column, *seq: str) -> Column:
     return F.coalesce(last.over(in_order(*seq).rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(False))
 
 
-def hooked(hooks: DataFrame, skipped: str = "graceful-fs") -> DataFrame:
+def hooked(hooks: DataFrame, skipped: str = "graceful-fs", enabled: Column | None = None) -> DataFrame:
     """hooks (stream, seq columns, hook, place, takes_function) -> the same with kind and key, as events have them.
 
     hook: invoke, builtin, function or require. A call sets the caller unless it stands in a file with `skipped` in its name; a
     built-in function uses it up unless it is given a function; entering a function of such a file does nothing, entering one
-    of the run time, whose place begins with (*, uses the caller up without an edge; a load is an edge to a file.
+    of the run time, whose place begins with (*, uses the caller up without an edge; a load is an edge to a file. Calls and loads while
+    enabled is not true do nothing.
     """
-    skip, internal = F.col("place").contains(skipped), F.col("place").startswith("(*")
+    skip, internal, on = F.col("place").contains(skipped), F.col("place").startswith("(*"), F.lit(True) if enabled is None else enabled
     kind = (
-        F.when((F.col("hook") == "invoke") & ~skip, CALL).when((F.col("hook") == "builtin") & ~F.col("takes_function"), CLEAR)
-        .when((F.col("hook") == "function") & ~skip, F.when(internal, CLEAR).otherwise(ENTER)).when(F.col("hook") == "require", LOAD)
+        F.when((F.col("hook") == "invoke") & ~skip & on, CALL).when((F.col("hook") == "builtin") & ~F.col("takes_function"), CLEAR)
+        .when((F.col("hook") == "function") & ~skip, F.when(internal, CLEAR).otherwise(ENTER)).when((F.col("hook") == "require") & on, LOAD)
     )
     return hooks.withColumn("kind", F.coalesce(kind, F.lit("none"))).withColumn("key", F.col("place"))
 
 
-def recorded_edges(hooks: DataFrame, *seq: str) -> DataFrame:
-    """(stream, source, target, is_load): the edges that hooks, as in hooked(), give, once for each stream; calls by the run time itself make none, but loads do."""
-    d = with_caller(hooked(hooks), *seq).where(F.col("kind").isin(ENTER, LOAD) & F.col("caller").isNotNull())
+def recorded_edges(hooks: DataFrame, *seq: str, on: Column | None = None, off: Column | None = None) -> DataFrame:
+    """(stream, source, target, is_load): the edges that hooks, as in hooked(), give, once for each stream; calls by the run time itself make none, but loads do.
+
+    on, off: what begins and ends the load of the main module; calls and loads count from the last `on`, itself included, to the next `off`.
+    """
+    enabled = None
+    if on is not None:
+        hooks, enabled = hooks.withColumn("__on", bracketed(on, off if off is not None else F.lit(False), *seq)), F.col("__on")
+    d = with_caller(hooked(hooks, enabled=enabled), *seq).where(F.col("kind").isin(ENTER, LOAD) & F.col("caller").isNotNull())
     is_load = F.col("kind") == LOAD
     return d.where(is_load | ~F.col("caller").startswith("(*")).select("stream", F.col("caller").alias("source"), F.col("key").alias("target"), is_load.alias("is_load")).distinct()
 

@@ -81,6 +81,18 @@ def metrics(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count_distinct("node").alias("functions"), F.count_distinct("module").alias("modules"), (F.count_distinct("package") - 1).alias("packages"))
 
 
+def used_modules(reachable: DataFrame, homes: DataFrame, usage: DataFrame, paths: DataFrame) -> DataFrame:
+    """(module): the files that paths begin at which reachable functions (node) use, or the main functions of the modules that these are in.
+
+    homes (node, main): each function's module's main function; usage (fn, ap); paths (ap, root, root_file) as in paths.rooted(). Paths
+    that don't begin at an import name no module.
+    """
+    main = homes.join(reachable.select("node"), "node", "left_semi").select(F.col("main").alias("fn"))
+    users = reachable.select(F.col("node").alias("fn")).union(main).distinct()
+    used = usage.join(users, "fn", "left_semi").select("ap").distinct()
+    return paths.where("root = 'import'").join(used, "ap", "left_semi").select(F.col("root_file").alias("module")).distinct()
+
+
 def modules_reached(nodes: DataFrame, prefix: str = "") -> DataFrame:
     """nodes (node, module): one row with how many modules begin with prefix."""
     return nodes.where(F.col("module").startswith(prefix)).agg(F.count_distinct("module").alias("modules"))

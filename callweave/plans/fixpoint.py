@@ -8,31 +8,43 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.session import added, checkpointed, new_folder
+from callweave.session import added, checkpointed, new_folder, written
 
 Relations = dict[str, DataFrame]
-#: After so many rounds the pieces of a relation are put together again.
-COMPACT = 8
+#: A frontier of at most so many rows goes so many steps ahead in one round, not one.
+FEW, STEPS = 100_000, 4
 
 
 class Known:
-    """A relation in the shared folder, a file set for each round: `every` reads them all, `new` those of the last round.
+    """A relation in the shared folder, a file set for each round: `every` reads them all, `new` those of the last round, `count` of them.
 
-    Scans pack small files together, so that the number of partitions follows the rows and not the rounds.
+    Rows are told apart by key, all columns unless some are named. What a round derives is written once, and known rows are only looked up
+    for it: where that is small, it is broadcast to the files of what is known (Spark goes by the size of its files), and nothing
+    known is shuffled. Scans pack small files together, so that the number of partitions follows the rows and not the rounds.
     """
 
-    def __init__(self, base: DataFrame):
+    def __init__(self, base: DataFrame, key: list[str] | None = None):
         self.spark, self.schema, self.parts = base.sparkSession, base.schema, []
-        self.keep(base.distinct())
+        self.key = key or self.schema.names
+        self._take(base.distinct())
 
-    def keep(self, rows: DataFrame) -> bool:
-        """Takes rows in, if there are any."""
+    def _take(self, rows: DataFrame) -> None:
         folder = new_folder(self.spark)
-        held = added(rows, folder) > 0
-        if held or not self.parts:
+        self.count = added(rows, folder)
+        if self.count or not self.parts:
             self.parts.append(folder)
-        self.new = self._read([folder]) if held else None
-        return held
+        self.new = self._read([folder]) if self.count else None
+
+    def keep(self, derived: DataFrame) -> bool:
+        """Takes in what isn't known yet of derived, if there is any."""
+        folder = new_folder(self.spark)
+        self.derived = self.count = added(derived.select(self.schema.names).distinct(), folder)
+        self.new = None
+        if self.count:
+            rows = self._read([folder])
+            met = self.every.select(self.key).join(rows.select(self.key), self.key)
+            self._take(rows.join(met, self.key, "left_anti"))
+        return self.count > 0
 
     def _read(self, folders: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*folders)
@@ -41,24 +53,28 @@ class Known:
     def every(self) -> DataFrame:
         return self._read(self.parts)
 
-    def fresh(self, derived: DataFrame) -> DataFrame:
-        columns = self.schema.names
-        return derived.select(columns).distinct().join(self.every, columns, "left_anti")
 
-
-def fixpoint(base: Relations, step: Callable[[Relations, Relations], Relations], max_rounds: int | None = None) -> Relations:
+def fixpoint(base: Relations, step: Callable[[Relations, Relations], Relations], max_rounds: int | None = None, first: Relations | None = None, log: list[dict[str, int]] | None = None) -> Relations:
     """All facts that follow from base. step(all, delta) derives, from all facts and those new in the last round, facts of the same relations.
 
+    first: the rows of base that are new in the first round, where base is closed but for what follows from these; else all are. log gets
+    how many different rows each round derives, by relation, known ones among them.
+
     A round keeps what no round had before: rows are sets, without nulls. Each round's new rows go to the shared folder, so that
     neither lineage nor work grows with the number of rounds. It ends when a round adds nothing, or after max_rounds.
     """
     known, rounds = {k: Known(df) for k, df in base.items()}, 0
+    if first is not None:
+        for k, r in known.items():
+            r.new = checkpointed(first[k].select(r.schema.names).distinct()) if k in first else None
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
         every = {k: r.every for k, r in known.items()}
         derived = step(every, {k: r.new if r.new is not None else every[k].limit(0) for k, r in known.items()})
         with ThreadPoolExecutor(len(derived)) as pool:  # relations are independent within a round
-            held = dict(zip(derived, pool.map(lambda kd: known[kd[0]].keep(known[kd[0]].fresh(kd[1])), derived.items()), strict=True))
+            held = dict(zip(derived, pool.map(lambda kd: known[kd[0]].keep(kd[1]), derived.items()), strict=True))
+        if log is not None:
+            log.append({k: known[k].derived for k in derived})
         for k in known.keys() - derived.keys():
             known[k].new = None
         if not any(held.values()):
@@ -67,20 +83,27 @@ def fixpoint(base: Relations, step: Callable[[Relations, Relations], Relations],
 
 
 def reached(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(node, depth): nodes that seeds (node) lead to over edges (src, dst), seeds included, with the fewest steps to each."""
-    edges = checkpointed(edges.select("src", "dst"))  # every round joins them
-    known = checkpointed(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
-    last, depth = known, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        ahead = last.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).where("node IS NOT NULL").distinct()
-        last = checkpointed(ahead.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if last.isEmpty():
-            break
-        known = known.union(last)
-        if depth % COMPACT == 0:
-            known = checkpointed(known)
-    return known
+    """(node, depth): nodes that seeds (node) lead to over edges (src, dst), seeds included, with the fewest steps to each.
+
+    A round goes one step from what the last one found, or STEPS steps where that is few rows, so that long thin ways take fewer rounds.
+    """
+    edges = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"))  # every round joins them
+    known = Known(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)), ["node"])
+    depth = 0
+    while known.count and (max_depth is None or depth < max_depth):
+        steps = STEPS if known.count <= FEW else 1
+        steps = steps if max_depth is None else min(steps, max_depth - depth)
+        # what the last round found, at the depth it has
+        ahead, found = known.new.where(F.col("depth") == depth), []
+        for k in range(1, steps + 1):
+            ahead = ahead.select("node").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            found.append(ahead.withColumn("depth", F.lit(depth + k)))
+        every = found[0]
+        for more in found[1:]:
+            every = every.union(more)
+        known.keep(every.groupBy("node").agg(F.min("depth").alias("depth")))
+        depth += steps
+    return known.every
 
 
 def closure(edges: DataFrame) -> DataFrame:

@@ -92,18 +92,25 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """nodes (node, node_kind) and edges (source, target, label) as the lines of a directed graph, nodes first, each line once."""
-    lines = graph_lines(nodes, edges)
+    """nodes (node, node_kind) and edges (source, target, label) as a directed graph in the DOT language: its files in order of names are one text, nodes first, each line once."""
+    lines = graph_lines(nodes, edges).union(nodes.sparkSession.createDataFrame([(-1, "digraph {"), (2, "}")], "part int, line string"))
     lines.orderBy("part", "line").select(F.col("line").alias("value")).write.text(path)
 
 
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Edges (source, target) alone as such a graph, without labels."""
+    lines = edges.select(F.lit(1).alias("part"), dot_line(F.col("source"), F.col("target")).alias("line")).distinct()
+    lines = lines.union(edges.sparkSession.createDataFrame([(-1, "digraph {"), (2, "}")], "part int, line string"))
+    lines.orderBy("part", "line").select(F.col("line").alias("value")).write.text(path)
+
+
+def labelled(edges: DataFrame, place: bool = True) -> DataFrame:
+    """edges (source, target, node_key, file, sl, sc) with the label of the calls: the callee's node and where the call is written."""
+    at = F.concat_ws(":", "file", F.col("sl").cast("string"), F.col("sc").cast("string"))
+    return edges.select("source", "target", (F.concat(F.col("node_key"), F.lit(" "), at) if place else F.col("node_key")).alias("label"))
+
+
 def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, line): 0 for the lines of nodes, 1 for those of edges."""
     n = nodes.select(F.lit(0).alias("part"), dot_node(F.col("node"), F.col("node_kind")).alias("line"))
     return n.union(edges.select(F.lit(1), dot_edge(F.col("source"), F.col("target"), F.col("label")))).distinct()
-
-
-def write_dot(edges: DataFrame, path: str) -> None:
-    """Edges (source, target) as the lines of a directed graph; its parts, in order of names, are one file's."""
-    lines = edges.select(F.concat(dot_line(F.col("source"), F.col("target"))).alias("value")).distinct().orderBy("value")
-    lines.write.text(path)

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -36,6 +36,40 @@ def call_edges(events: DataFrame) -> DataFrame:
     return events.groupBy("stream").applyInPandasWithState(_edges, EDGE, "pending long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _ordered(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Events wait until the watermark has passed them, then they are taken in order; the pending call and those that wait are the state."""
+    pending, held = state.get if state.exists else (None, "[]")
+    held = json.loads(held)
+    if not state.hasTimedOut:
+        for rows in frames:
+            at = rows["ts"].astype("datetime64[us]").astype("int64")
+            held += [[int(t), int(i), k, int(x)] for t, i, k, x in zip(at, rows["event_id"], rows["kind"], rows["key"], strict=True)]
+    held.sort()
+    passed = state.getCurrentWatermarkMs()
+    due = sum(e[0] <= passed * 1000 for e in held)
+    out = []
+    for _, _, kind, k in held[:due]:
+        if kind == ENTER and pending is not None:
+            out.append((key[0], pending, k))
+        if kind in (CALL, ENTER, CLEAR, LOAD):
+            pending = k if kind == CALL else None
+    held = held[due:]
+    state.update((pending, json.dumps(held)))
+    if held:
+        state.setTimeoutTimestamp(max(held[0][0] // 1000 + 1, passed + 1))
+    yield pd.DataFrame(out, columns=["stream", "source", "target"]).astype("int64")
+
+
+def late_call_edges(events: DataFrame, delay: str) -> DataFrame:
+    """Streamed events -> call edges as in call_edges(), whatever order they come in, as long as none is `delay` older than the newest before it.
+
+    An event is taken when the watermark has passed it; those that wait are state, as many as a stream has in `delay`. Later ones are
+    dropped. What still waits when the stream ends comes with the next event that is newer by `delay`, of any stream.
+    """
+    late = events.withWatermark("ts", delay)
+    return late.groupBy("stream").applyInPandasWithState(_ordered, EDGE, "pending long, held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def _loads(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     on = bool(state.get[0]) if state.exists else False
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
@@ -44,8 +78,10 @@ def _loads(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
     yield rows.loc[seen & (rows["kind"] == LOAD), ["stream", "event_id", "key"]].astype("int64")
 
 
-def illegal_loads(events: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Streamed events (stream, ts, event_id, kind, key, start) -> loads after a stream's start of keys that allowed (key), a table, does not have."""
+def illegal_loads(events: DataFrame, allowed: DataFrame, builtin: Column | None = None) -> DataFrame:
+    """Streamed events (stream, ts, event_id, kind, key, start) -> loads after a stream's start of keys that allowed (key), a table, does not have; nor those for which builtin, over events, holds."""
+    if builtin is not None:  # such a load starts nothing and is none
+        events = events.withColumn("kind", F.when(builtin & (F.col("kind") == LOAD), "none").otherwise(F.col("kind")))
     loads = events.groupBy("stream").applyInPandasWithState(_loads, "stream long, event_id long, key long", "started boolean", "append", GroupStateTimeout.NoTimeout)
     return loads.join(allowed.withColumn("ok", F.lit(True)), "key", "left_outer").where("ok IS NULL").select("stream", "event_id", "key")
 

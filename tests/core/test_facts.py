@@ -138,7 +138,7 @@ def test_more_sources_and_sinks(spark, tmp_path):
     nodes = spark.createDataFrame([("f", "resolved"), ('u"', "unresolved")], "node string, node_kind string")
     edges = spark.createDataFrame([("f", "f", "l")], "source string, target string, label string")
     files.write_graph(nodes, edges, at("graph"))
-    want = ['  "f";', '  "u\\"" [ color = "lightblue", style = "filled" ];', '  "f" -> "f" [ label = "l" ];']
+    want = ["digraph {", "}", '  "f";', '  "u\\"" [ color = "lightblue", style = "filled" ];', '  "f" -> "f" [ label = "l" ];']
     assert sorted(r.value for r in spark.read.text(at("graph")).collect()) == sorted(want)
     files.write_json(nodes, at("nodes"))
     assert spark.read.json(at("nodes")).count() == 2

@@ -122,6 +122,10 @@ def test_files(spark, tmp_path):
     rows = [(0, k, x) for k, x in enumerate(listing.split("\n"))]
     tree = files.tree_edges(spark.createDataFrame(rows, "run long, line_no int, line string"))
     assert {(r.parent, r.child) for r in tree.collect()} == {("root@1", "a@1"), ("a@1", "b@2"), ("root@1", "c@3"), ("c@3", "b@2")}
-    files.write_dot(spark.createDataFrame([("x", "y"), ("x", "y")], "source string, target string"), str(tmp_path / "dot"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "dot")).collect()] == ['  "x" -> "y";']
+    files.write_edges(spark.createDataFrame([("x", "y"), ("x", "y")], "source string, target string"), str(tmp_path / "dot"))
+    text = lambda name: "\n".join(p.read_text().rstrip() for p in sorted((tmp_path / name).glob("part-*")) if p.read_text())
+    assert text("dot") == 'digraph {\n  "x" -> "y";\n}'
+    calls = files.labelled(spark.createDataFrame([("x", "y", "f()", "a.js", 3, 7)], "source string, target string, node_key string, file string, sl int, sc int"))
+    files.write_graph(spark.createDataFrame([("x", "resolved"), ("y", "unknown")], "node string, node_kind string"), calls, str(tmp_path / "graph"))
+    assert text("graph") == 'digraph {\n  "x";\n  "y" [ color = "lightblue", style = "filled" ];\n  "x" -> "y" [ label = "f() a.js:3:7" ];\n}'
     assert files.files(spark, str(tmp_path), "*.json", outside="dyn").count() == 1
