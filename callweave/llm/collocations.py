@@ -30,7 +30,7 @@ from callweave.llm.workers import mapped
 from callweave.session import table, written
 
 #: Cells of each of the sketch's two rows, and how many go together when sketches meet.
-CELLS, RANGE = 1 << 26, 1 << 20
+CELLS, RANGE = 1 << 26, 1 << 17
 ROWS = 2
 #: Bytes of text whose candidates share an automaton; a longer text is taken alone.
 SHARD = 16 << 20
