@@ -341,11 +341,12 @@ def op_scan_patterns(spark, sf):
     return scan.alarms(adv, dep, exported.union(members), returns, reach(spark, sf))
 
 
-@query(f"WITH RECURSIVE {LOAD}, {LOADED} SELECT DISTINCT node AS module FROM walk WHERE node LIKE 'o%' AND node NOT IN (SELECT 'o' || l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+@query(f"""WITH RECURSIVE {REACH} SELECT DISTINCT 'o' || l_orderkey AS module FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'N' AND l_tax >= 0.07 AND l_discount >= 0.07
+  AND l_partkey * 100 + CAST(l_quantity AS BIGINT) IN (SELECT node FROM reach)""")
 def op_side_effect(spark, sf):
-    stored = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(named("o", "l_orderkey").alias("node"))
-    loaded = reached(load_edges(spark, sf), loaders(spark, sf)).where("node LIKE 'o%'")
-    return loaded.join(stored, "node", "left_anti").select(F.col("node").alias("module"))
+    stored = ~((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N") & (F.col("l_tax") >= 0.07) & (F.col("l_discount") >= 0.07))
+    loads = table(spark, sf, "lineitem").select(fn_id().alias("fn"), named("o", "l_orderkey").alias("module"), stored.alias("stored"))
+    return graph.loaded_for_effect(loads, reach(spark, sf))
 
 
 @query("""WITH dyn AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target FROM lineitem), st AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target FROM lineitem WHERE l_returnflag <> 'R'),

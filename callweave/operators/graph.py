@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callweave.functions.names import resolved
 from callweave.plans.fixpoint import closure, reached
 from callweave.session import checkpointed
 
@@ -93,6 +94,16 @@ def used_modules(reachable: DataFrame, homes: DataFrame, usage: DataFrame, paths
     return paths.where("root = 'import'").join(used, "ap", "left_semi").select(F.col("root_file").alias("module")).distinct()
 
 
+def module_files(modules: DataFrame, cwd: str = "/") -> DataFrame:
+    """(file): the files of modules (module), as absolute paths; built-in and internal modules, whose names have no /, are left out."""
+    return modules.where(F.col("module").contains("/")).select(resolved(F.lit(cwd), F.col("module")).alias("file")).distinct()
+
+
+def loaded_for_effect(loads: DataFrame, reachable: DataFrame) -> DataFrame:
+    """(module): modules that reachable functions (node) load by a statement of its own. loads (fn, module, stored): stored tells whether what the load gives is used where it stands; a module that is also loaded so is among them."""
+    return loads.where(~F.col("stored")).join(reachable.select(F.col("node").alias("fn")), "fn", "left_semi").select("module").distinct()
+
+
 def modules_reached(nodes: DataFrame, prefix: str = "") -> DataFrame:
     """nodes (node, module): one row with how many modules begin with prefix."""
     return nodes.where(F.col("module").startswith(prefix)).agg(F.count_distinct("module").alias("modules"))

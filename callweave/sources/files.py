@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callweave.functions.text import dot_edge, dot_line, dot_node
+from callweave.functions.text import dot_edge, dot_line, dot_node, latex_row
 
 ADVISORY = "library string, versionMin string, versionMax string, pattern string, id int, comment string"
 PLACE = "struct<source:string,start:struct<line:int,column:int>,end:struct<line:int,column:int>>"
@@ -114,3 +114,35 @@ def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, line): 0 for the lines of nodes, 1 for those of edges."""
     n = nodes.select(F.lit(0).alias("part"), dot_node(F.col("node"), F.col("node_kind")).alias("line"))
     return n.union(edges.select(F.lit(1), dot_edge(F.col("source"), F.col("target"), F.col("label")))).distinct()
+
+
+def latex_table(rows: DataFrame) -> str:
+    """A small result as a table with a rule on every side: one line a row, in the order of all columns."""
+    lines = rows.select(*rows.columns, latex_row(*[F.col(c) for c in rows.columns]).alias("__line")).orderBy(*rows.columns)
+    body = "\n".join(r["__line"] for r in lines.select("__line").toLocalIterator())
+    return f"\\begin{{tabular}}{{|{'c|' * len(rows.columns)}}}\n\\hline\n{body}\n\\end{{tabular}}"
+
+
+def benchmark_inputs(spark: SparkSession, path: str, resources: str) -> DataFrame:
+    """(package, ord, input): the inputs that a file lists for each package, `{RES}` in them replaced once by the package's folder of resources."""
+    texts = spark.read.text(path, wholetext=True)
+    rows = texts.select(F.explode(F.from_json("value", "map<string,array<string>>", {"mode": "FAILFAST"})).alias("package", "inputs")).select("package", F.posexplode("inputs").alias("ord", "input"))
+    at = F.instr("input", "{RES}")
+    return rows.select("package", "ord", F.when(at > 0, F.concat(F.left("input", at - 1), F.lit(f"{resources}/"), F.col("package"), F.substr("input", at + 5))).otherwise(F.col("input")).alias("input"))
+
+
+def scanned(listing: DataFrame, endings: list[str] | None = None, outside: list[str] | None = None) -> DataFrame:
+    """(path, ord): the files of listing (path), those in folders before the files beside these folders, else by name.
+
+    endings: which a name with a dot must have; names without one always pass. outside: endings of paths that are left out.
+    """
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    keep = F.lit(True)
+    if endings is not None:
+        keep = ~name.contains(".") | F.greatest(*[F.col("path").endswith(e) for e in endings], F.lit(False))
+    for e in outside or ():
+        keep = keep & ~F.col("path").endswith(e)
+    # a folder sorts before a file at each level
+    parts = F.split("path", "/")
+    order = F.transform(parts, lambda x, i: F.struct((i == F.size(parts) - 1).alias("last"), x.alias("name")))
+    return listing.where(keep).select("path", order.alias("ord"))
