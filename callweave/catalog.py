@@ -303,14 +303,14 @@ def op_export_lookup(spark, sf):
 
 @query(f"""WITH RECURSIVE {REACH},
 dep AS (SELECT DISTINCT library, [p_size, CAST(p_partkey % 10 AS INTEGER), 0] AS version FROM fn),
-adv AS (SELECT p_partkey AS id, p_type || '-' || p_brand AS library, [CAST(p_retailprice AS INTEGER) % 50, 0, 0] AS low, [CAST(p_retailprice AS INTEGER) % 50 + 3, 9, 0] AS high, string_split(p_name, ' ') AS props FROM part),
+adv AS (SELECT p_partkey AS id, p_type || '-' || p_brand AS library, [CAST(floor(p_retailprice) AS INTEGER) % 50, 0, 0] AS low, [CAST(floor(p_retailprice) AS INTEGER) % 50 + 3, 9, 0] AS high, string_split(p_name, ' ') AS props FROM part),
 hit AS (SELECT id, library, unnest(props) AS prop FROM adv WHERE EXISTS (SELECT 1 FROM dep WHERE dep.library = adv.library AND dep.version BETWEEN low AND high)),
 own AS (SELECT node, library, unnest(string_split(p_name, ' ')) AS prop FROM fn)
 SELECT id, count(DISTINCT node) AS functions FROM hit JOIN own USING (library, prop) WHERE node IN (SELECT node FROM reach) GROUP BY id""")
 def op_scan_alarms(spark, sf):
     f, p = fns(spark, sf), table(spark, sf, "part")
     dep = f.select("library", F.array("p_size", (F.col("p_partkey") % 10).cast("int"), F.lit(0)).alias("version"))
-    low = F.col("p_retailprice").cast("decimal(20,0)").cast("int") % 50
+    low = F.floor("p_retailprice").cast("int") % 50
     adv = p.select(F.col("p_partkey").alias("id"), F.concat_ws("-", "p_type", "p_brand").alias("library"), F.array(low, F.lit(0), F.lit(0)).alias("low"), F.array(low + 3, F.lit(9), F.lit(0)).alias("high"), F.split("p_name", " ").alias("props"))
     defs = f.select("library", F.explode(F.split("p_name", " ")).alias("prop"), F.col("node").alias("fn"))
     return matching.alarms(adv, dep, defs, reach(spark, sf))
@@ -323,7 +323,7 @@ PATTERN = """CASE p_size % 3 WHEN 0 THEN concat('call <', library, '>') WHEN 1 T
 @query(f"""WITH RECURSIVE {REACH},
 dep AS (SELECT DISTINCT library, [p_size, CAST(p_partkey % 10 AS INTEGER), 0] AS version FROM fn WHERE p_partkey % 10 <> 1),
 adv AS (SELECT p_partkey AS id, p_type || '-' || p_brand AS library, p_size % 3 AS form, string_split(p_name, ' ') AS props FROM part WHERE EXISTS (
-  SELECT 1 FROM dep WHERE library = p_type || '-' || p_brand AND version BETWEEN [CAST(p_retailprice AS INTEGER) % 50, 0, 0] AND [CAST(p_retailprice AS INTEGER) % 50 + 3, 9, 9])),
+  SELECT 1 FROM dep WHERE library = p_type || '-' || p_brand AND version BETWEEN [CAST(floor(p_retailprice) AS INTEGER) % 50, 0, 0] AND [CAST(floor(p_retailprice) AS INTEGER) % 50 + 3, 9, 9])),
 own AS (SELECT library, node AS fn FROM fn WHERE p_size < 25), given AS (SELECT src AS fn, min(dst) AS returned FROM call GROUP BY src),
 word AS (SELECT node, library, unnest(string_split(p_name, ' ')) AS prop FROM fn),
 hit AS (SELECT id, fn FROM adv JOIN own USING (library) WHERE form = 0 UNION SELECT id, node FROM (SELECT id, library, unnest(props) AS prop FROM adv WHERE form = 1) a JOIN word USING (library, prop)
@@ -331,7 +331,7 @@ hit AS (SELECT id, fn FROM adv JOIN own USING (library) WHERE form = 0 UNION SEL
 SELECT id, count(DISTINCT fn) AS functions FROM hit WHERE fn IN (SELECT node FROM reach) GROUP BY id""")
 def op_scan_patterns(spark, sf):
     f, p, number = fns(spark, sf), table(spark, sf, "part").withColumn("library", F.concat_ws("-", "p_type", "p_brand")), lambda *c: F.concat_ws(".", *[F.col(x) if isinstance(x, str) else x for x in c])
-    low = F.col("p_retailprice").cast("decimal(20,0)").cast("int") % 50
+    low = F.floor("p_retailprice").cast("int") % 50
     adv = p.select(F.col("p_partkey").alias("id"), "library", number(low, F.lit("0.0")).alias("low"), number(low + 3, F.lit("9.9")).alias("high"), F.expr(PATTERN).alias("pattern"))
     early = F.when(F.col("p_partkey") % 10 == 1, "-rc.1").otherwise("")
     dep = f.select("library", F.concat(number("p_size", F.col("p_partkey") % 10, F.lit("0")), early).alias("version"))
