@@ -12,7 +12,7 @@ from callweave.session import added, checkpointed, new_folder, written
 
 Relations = dict[str, DataFrame]
 #: A frontier of at most so many rows goes so many steps ahead in one round, not one.
-FEW, STEPS = 100_000, 4
+FEW, STEPS = 100_000, 8
 
 
 class Known:
