@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.session import added, checkpointed, new_folder, written
+from callweave.session import added, checkpointed, new_folder, removed, written
 
 Relations = dict[str, DataFrame]
 #: A frontier of at most so many rows goes so many steps ahead in one round, not one.
@@ -33,6 +33,8 @@ class Known:
         self.count = added(rows, folder)
         if self.count or not self.parts:
             self.parts.append(folder)
+        else:
+            removed(self.spark, folder)
         self.new = self._read([folder]) if self.count else None
 
     def keep(self, derived: DataFrame) -> bool:
@@ -44,6 +46,7 @@ class Known:
             rows = self._read([folder])
             met = self.every.select(self.key).join(rows.select(self.key), self.key)
             self._take(rows.join(met, self.key, "left_anti"))
+        removed(self.spark, folder)
         return self.count > 0
 
     def _read(self, folders: list[str]) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,33 @@ def written(df: DataFrame, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders of tables that this process has written and not removed, in order.
+MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/callweave-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark).rstrip('/')}/callweave-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """The folder and what is in it go, if they are there; whatever store it lies in."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in MADE:
+        MADE.remove(folder)
+
+
+@contextlib.contextmanager
+def tables_of(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within are removed at its end; results that read them must be written elsewhere, or collected, before."""
+    before = len(MADE)
+    try:
+        yield
+    finally:
+        for folder in MADE[before:]:
+            removed(spark, folder)
 
 
 def added(df: DataFrame, folder: str) -> int:
