@@ -20,6 +20,7 @@ TAKEN_OUT = {
     "op_used_modules": [("node IN (SELECT node FROM reach) OR", "true OR"), ("OR node IN (SELECT main FROM home", "OR false AND node IN (SELECT main FROM home"), ("WHERE root = 'import'", "")],
     "op_scan_alarms": [("node" + REACHED, "true"), ("AND dep.version BETWEEN low AND high", ""), ("USING (library, prop)", "USING (library)")],
     "op_scan_patterns": [("fn" + REACHED, "true"), ("form = 2", "false"), ("form = 1", "false"), ("form = 0", "false"), ("WHERE p_partkey % 10 <> 1", "")],
+    "op_scan_report": [("AND fn IN (SELECT node FROM walk)", ""), ("WHERE s_nationkey >= 5", ""), ("UNION SELECT dst FROM walk JOIN ends ON src = node", ""), ("WHERE src IN (SELECT node FROM walk)", "")],
     "op_side_effect": [("IN (SELECT node FROM reach)", "IS NOT NULL"), ("l_tax >= 0.07 AND", "")],
     "op_pattern_matches": [("AND def", ""), ("AND NOT EXISTS", "AND EXISTS"), ("OR (c.kind = 'prop' AND c.name = 'bind'", "OR (false")],
     "op_bracketed_edges": [("WHEN hook = 'require' AND k >= 90 THEN false", ""), ("AND on_ THEN 'call'", "THEN 'call'"), ("AND on_ THEN 'load'", "THEN 'load'")],
