@@ -2,8 +2,10 @@
 
 import re
 
+from callweave import session
 from callweave.catalog_program import QUERIES
-from callweave.operators import lookups
+from callweave.operators import lookups, paths
+from callweave.plans.fixpoint import fixpoint
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +44,18 @@ def test_large_sets_of_keys_and_missing_values(spark, monkeypatch):
 def test_imports_are_asked_once_for_a_folder(spark):
     plan = QUERIES["op_resolved_modules"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Join Inner, \(host#\d+ = host#\d+\)\n[ :+-]*Aggregate \[host", plan)
+
+
+def test_levels_of_paths_are_not_looked_up(spark, monkeypatch):
+    """Where each path is one row, levels are written once, dealt by what they stand on where there are many; paths of two rows are sets still."""
+    place = "named_struct('sl', 1, 'sc', 0, 'el', 1, 'ec', 9) AS place"
+    at = lambda d: d.selectExpr("concat('p', id) AS ap", "IF(id % 5 = 0, 'import', IF(id % 2 = 0, 'prop', 'call')) AS kind", "IF(id % 5 = 0, null, concat('p', id - 1)) AS on", "concat('m', id) AS name", "'/f.js' AS file", "'/t.js' AS target", place)
+    once = at(spark.range(1_000))
+    asked = []
+    monkeypatch.setattr(paths, "fixpoint", lambda *a, **k: asked.append(1) or fixpoint(*a, **k))
+    plain = sorted(map(tuple, paths.rooted(once).collect()))
+    assert len(plain) == 1_000 and not asked
+    monkeypatch.setattr(session, "DEAL", 10)
+    assert sorted(map(tuple, paths.rooted(once).collect())) == plain and not asked
+    assert sorted(map(tuple, paths.rooted(once.union(once)).collect())) == plain and asked
+    assert set(paths.with_keys(once).columns) == {*once.columns, *paths.rooted(once).columns}
