@@ -87,8 +87,9 @@ def joined_graphs(*graphs: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def graph_counts(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row: nodes, edges and different pairs of source and target, of nodes (node) and targets (edge, source, target)."""
     n = nodes.select("node").distinct().agg(F.count("*").alias("nodes"))
-    e = targets.agg(F.count_distinct("edge").alias("edges"), F.count_distinct("source", "target").alias("pairs"))
-    return n.crossJoin(e)  # one row by one row
+    e = targets.where("edge IS NOT NULL").select("edge").distinct().agg(F.count("*").alias("edges"))
+    p = targets.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct().agg(F.count("*").alias("pairs"))
+    return n.crossJoin(e).crossJoin(p)  # one row by one row
 
 
 def merged(*graphs: DataFrame) -> DataFrame:

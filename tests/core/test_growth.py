@@ -4,7 +4,7 @@ import re
 
 from callweave import session
 from callweave.catalog_program import QUERIES
-from callweave.operators import lookups, paths
+from callweave.operators import graph, lookups, paths
 from callweave.plans.fixpoint import fixpoint
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +59,10 @@ def test_levels_of_paths_are_not_looked_up(spark, monkeypatch):
     assert sorted(map(tuple, paths.rooted(once).collect())) == plain and not asked
     assert sorted(map(tuple, paths.rooted(once.union(once)).collect())) == plain and asked
     assert set(paths.with_keys(once).columns) == {*once.columns, *paths.rooted(once).columns}
+
+
+def test_counts_of_a_graph_do_not_double_its_rows(spark):
+    rows = spark.createDataFrame([(None, 1, 2), ("a", None, 2), ("b", 1, 2), ("b", 3, None)], "edge string, source long, target long")
+    out = graph.graph_counts(spark.range(3).withColumnRenamed("id", "node"), rows)
+    assert [tuple(r) for r in out.collect()] == [(3, 2, 1)]
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
