@@ -16,7 +16,7 @@ BUILTIN_CALLBACKS = [("forEach", 0), ("filter", 0), ("map", 0), ("reduce", 0), (
 SET, BLOCK = 1_000, 1_024
 
 
-def _sets(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+def sets_of(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """rows (id, key...) -> (set, key...), the different sets of keys that ids have, and (set, ids), who has them, in blocks."""
     d = rows.repartition("id").distinct().withColumn("n", F.count("*").over(W.partitionBy("id")))
     name = lambda c: F.unhex(F.sha2(F.to_json(F.struct(c)), 256)).alias("set")
@@ -36,8 +36,8 @@ def met(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     blocks of which are dealt over all tasks. What is shuffled grows with the input and the pairs of sets, not with the pairs of ids.
     """
     keys = lambda d: d.select(key).distinct()
-    own, who = _sets(left.join(keys(right), key, "left_semi").select("id", *key), key)
-    other, whom = _sets(right.join(keys(left), key, "left_semi").select("id", *key), key)
+    own, who = sets_of(left.join(keys(right), key, "left_semi").select("id", *key), key)
+    other, whom = sets_of(right.join(keys(left), key, "left_semi").select("id", *key), key)
     pairs = own.withColumnRenamed("set", "one").join(other.withColumnRenamed("set", "two"), key).select("one", "two").distinct()
     blocks = pairs.join(who.toDF("one", "a"), "one").join(whom.toDF("two", "b"), "two").select("a", "b")
     dealt = blocks.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))

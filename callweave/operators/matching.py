@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.operators.lookups import sets_of
+
 
 def version(text: Column) -> Column:
     """1.2.3-pre+build as an array of numbers; missing parts are 0."""
@@ -25,8 +27,10 @@ def vulnerable(advisories: DataFrame, dependencies: DataFrame) -> DataFrame:
 def alarms(advisories: DataFrame, dependencies: DataFrame, definitions: DataFrame, reachable: DataFrame) -> DataFrame:
     """(id, functions): advisories (id, library, low, high, props) that concern an installed version, with how many reachable definitions (library, prop, fn) they name. A null id stays one."""
     named = vulnerable(advisories, dependencies).select("id", "library", F.explode("props").alias("prop"))
-    hit = named.join(definitions, ["library", "prop"]).join(reachable.select(F.col("node").alias("fn")), "fn", "left_semi")
-    return hit.groupBy("id").agg(F.count_distinct("fn").alias("functions"))
+    sets, who = sets_of(named, ["library", "prop"])  # advisories that name the same are counted once
+    own = definitions.select("library", "prop", "fn").join(reachable.select(F.col("node").alias("fn")), "fn", "left_semi")
+    counted = sets.join(own, ["library", "prop"]).groupBy("set").agg(F.count_distinct("fn").alias("functions"))
+    return who.join(counted, "set").select(F.explode("ids").alias("of"), "functions").select("of.id", "functions")
 
 
 def classified(dynamic: DataFrame, static: DataFrame, known_unsound: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 
 from callweave import session
 from callweave.catalog_program import QUERIES
-from callweave.operators import graph, lookups, paths
+from callweave.operators import graph, lookups, matching, paths
 from callweave.plans.fixpoint import fixpoint
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +66,12 @@ def test_counts_of_a_graph_do_not_double_its_rows(spark):
     out = graph.graph_counts(spark.range(3).withColumnRenamed("id", "node"), rows)
     assert [tuple(r) for r in out.collect()] == [(3, 2, 1)]
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_advisories_that_name_the_same_are_counted_once(spark):
+    adv = spark.range(300).repartition(3).selectExpr("IF(id = 7, null, id) AS id", "'l' AS library", "1 AS low", "2 AS high", "array('a', 'b') AS props")
+    dep, reach = spark.range(1).selectExpr("'l' AS library", "1 AS version"), spark.range(200).toDF("node")
+    defs = spark.range(300).repartition(3).selectExpr("'l' AS library", "explode(array('a', 'b')) AS prop", "id AS fn")
+    n, out = shuffled(spark, lambda: matching.alarms(adv, dep, defs, reach).collect())
+    assert len(out) == 300 and {r.functions for r in out} == {200} and sum(r.id is None for r in out) == 1
+    assert n < 10_000
