@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FUNCTION, MODULE, UNRESOLVED = "function", "module", "unresolved"
+#: What a row beside an observed edge says of its source.
+STATIC, UNSOUND, ABSENT = 0, 1, 2
 
 
 @dataclass(frozen=True)
@@ -49,20 +51,30 @@ def judged(observed: DataFrame, static: DataFrame, rules: Rules) -> DataFrame:
     name in its own, without a leading ../, or a name given in wrong_loads; a call fits a function on the lines observed, moved
     if that is known, or one that is alike. Each edge id is one observation.
     """
-    flag = lambda d, name, *keys: d.select(*keys).distinct().withColumn(name, F.lit(True))
-    o = observed.join(flag(rules.unsound, "unsound", "source", "target"), ["source", "target"], "left").join(flag(rules.absent, "absent", "source"), "source", "left")
-    o = o.join(rules.moved.dropDuplicates(["target"]).select("target", F.col("lines").alias("moved")), "target", "left").withColumn("lines", F.coalesce("moved", "lines"))
-    file = F.regexp_replace("target_file", r"^\.\./", "")
-    t = static.select("source", "kind", F.col("file").alias("static_file"), F.col("lines").alias("static_lines"), "place")
-    pairs = o.select("edge", "source", "target", "lines", "is_load", file.alias("name")).join(t, "source")
-    wrong = flag(rules.wrong_loads.select("target", F.col("file").alias("static_file")), "wrong", "target", "static_file")
-    alike = flag(rules.alike.select("lines", F.col("file").alias("static_file"), "place"), "alike", "lines", "static_file", "place")
-    pairs = pairs.join(wrong, ["target", "static_file"], "left").join(alike, ["lines", "static_file", "place"], "left")
-    load = (F.col("kind") == MODULE) & (F.contains("static_file", "name") | F.coalesce("wrong", F.lit(False)))
-    call = (F.col("kind") == FUNCTION) & ((F.col("static_lines") == F.col("lines")) | F.coalesce("alike", F.lit(False)))
+    first = rules.moved.dropDuplicates(["target"]).select("target", F.col("lines").alias("moved"))
+    wrong = rules.wrong_loads.groupBy("target").agg(F.collect_set("file").alias("wrong"))
+    o = observed.join(first.join(wrong, "target", "full"), "target", "left").withColumn("lines", F.coalesce("moved", "lines"))
+    o = o.select("edge", "source", "source_file", "target", "target_file", "lines", "is_load", "wrong")
+    o = o.repartition("source").groupBy(o.columns).agg(F.count("*").alias("times"))
+    alike = rules.alike.groupBy(F.col("file").alias("static_file"), "place").agg(F.collect_set("lines").alias("alike"))
+    t = static.select("source", F.lit(STATIC).alias("role"), "kind", F.col("file").alias("static_file"), F.col("lines").alias("static_lines"), "place").distinct()
+    t = t.join(alike, ["static_file", "place"], "left").drop("place")
+    # what is known of a source beforehand goes with its static targets, so that all of an edge meets in one join by source
+    none = F.lit(None).cast("string")
+    t = t.select("source", "role", "kind", "static_file", "static_lines", "alike")
+    t = t.union(rules.unsound.select("source", F.lit(UNSOUND), none, F.col("target"), none, F.lit(None).cast("array<string>")).distinct())
+    t = t.union(rules.absent.select("source", F.lit(ABSENT), none, none, none, F.lit(None).cast("array<string>")).distinct())
+    name = F.regexp_replace("target_file", r"^\.\./", "")
+    has = lambda c, x: F.coalesce(F.array_contains(c, F.col(x)), F.lit(False))
+    load = (F.col("kind") == MODULE) & (F.contains("static_file", name) | has("wrong", "static_file"))
+    call = (F.col("kind") == FUNCTION) & ((F.col("static_lines") == F.col("lines")) | has("alike", "lines"))
     fits = F.coalesce(F.when(F.col("is_load"), load).otherwise(call), F.lit(False))
-    met = pairs.groupBy("edge").agg(F.max(F.col("kind") == UNRESOLVED).alias("open"), F.max(fits).alias("fits"))
-    d = o.join(met, "edge", "left")
+    is_static = F.col("role") == STATIC
+    d = o.join(t, "source", "left").groupBy(o.columns).agg(
+        F.max(F.when(is_static, F.col("kind") == UNRESOLVED)).alias("open"), F.max(F.when(is_static, fits)).alias("fits"),
+        F.max((F.col("role") == UNSOUND) & (F.col("static_file") == F.col("target"))).alias("unsound"), F.max(F.col("role") == ABSENT).alias("absent"),
+    )
+    d = d.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
     kind = F.when(touches(rules.skipped), "skipped").when(touches(rules.ignored), "ignored")
     kind = kind.when(F.col("fits").isNull() & is_("absent"), "expected_missing_source").when(F.col("fits").isNull(), "missing_source")

@@ -4,7 +4,7 @@ import re
 
 from callweave import session
 from callweave.catalog_program import QUERIES
-from callweave.operators import graph, lookups, matching, paths
+from callweave.operators import graph, lookups, matching, paths, soundness
 from callweave.plans.fixpoint import fixpoint
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +75,20 @@ def test_advisories_that_name_the_same_are_counted_once(spark):
     n, out = shuffled(spark, lambda: matching.alarms(adv, dep, defs, reach).collect())
     assert len(out) == 300 and {r.functions for r in out} == {200} and sum(r.id is None for r in out) == 1
     assert n < 10_000
+
+
+def test_edges_are_judged_in_one_join_by_source(spark):
+    """What is known of an edge's source meets it with the static targets; copies of an observation and known edges without any target stay."""
+    rows = [("e1", "s", "f", "t", "../g", "1", False), ("e2", "s", "f", "t", "../g", "2", True), ("e2", "s", "f", "t", "../g", "2", True), ("e3", "n", "f", "t", "g", "9", False), ("e4", None, "f", "t", "g", "9", False)]
+    observed = spark.createDataFrame(rows, "edge string, source string, source_file string, target string, target_file string, lines string, is_load boolean")
+    static = spark.createDataFrame([("s", "function", "g", "1", None), ("s", "module", "h", None, None)], "source string, kind string, file string, lines string, place string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    rules = soundness.Rules(
+        unsound=spark.createDataFrame([("s", "t")], "source string, target string"), absent=spark.createDataFrame([("n",), ("s",)], "source string"), moved=none("target string, lines string"),
+        wrong_loads=none("target string, file string"), alike=none("lines string, file string, place string"),
+    )
+    out = soundness.judged(observed, static, rules)
+    got = sorted((r["edge"], r["class"], r.absent) for r in out.collect())
+    assert got == [("e1", "unexpectedly_sound", True), ("e2", "known_unsound", True), ("e2", "known_unsound", True), ("e3", "expected_missing_source", True), ("e4", "missing_source", False)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join \w+, .*\(edge#", plan)) == 0 and len(re.findall(r"Join \w+, \(source#\d+ = source#\d+\)", plan)) == 1
