@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions.names import resolved
 from callweave.plans.fixpoint import closure, reached
-from callweave.session import checkpointed, written
+from callweave.session import dealt, written
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -36,12 +36,12 @@ def unreached(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame
 
 def traces(edges: DataFrame, targets: DataFrame, depth: int = 10) -> DataFrame:
     """(target, step, node): from each target back over the first edge, by `ord`, that leads to it, and so on for `depth` steps or as long as there is one."""
-    first = checkpointed(edges.groupBy("dst").agg(F.min_by("src", F.struct("ord", "src")).alias("src")))
-    at = checkpointed(targets.select(F.col("node").alias("target"), F.lit(0).alias("step"), "node"))
-    out = at
+    first, _ = dealt(edges.groupBy("dst").agg(F.min_by("src", F.struct("ord", "src")).alias("src")), "dst")  # every step looks it up as it lies
+    at = written(targets.select(F.col("node").alias("target"), "node"))
+    out = at.select("target", F.lit(0).alias("step"), "node")
     for k in range(1, depth + 1):
-        at = checkpointed(at.join(first, F.col("node") == F.col("dst")).select("target", F.lit(k).alias("step"), F.col("src").alias("node")))
-        out = out.union(at)
+        at = written(at.join(first, F.col("node") == F.col("dst")).select("target", F.col("src").alias("node")))
+        out = out.union(at.select("target", F.lit(k).alias("step"), "node"))
     return out
 
 

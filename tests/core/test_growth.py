@@ -92,3 +92,15 @@ def test_edges_are_judged_in_one_join_by_source(spark):
     assert got == [("e1", "unexpectedly_sound", True), ("e2", "known_unsound", True), ("e2", "known_unsound", True), ("e3", "expected_missing_source", True), ("e4", "missing_source", False)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Join \w+, .*\(edge#", plan)) == 0 and len(re.findall(r"Join \w+, \(source#\d+ = source#\d+\)", plan)) == 1
+
+
+def test_traces_deal_the_first_edges_once(spark, monkeypatch):
+    monkeypatch.setattr(session, "DEAL", 10)
+    edges = spark.range(1, 300).selectExpr("id - 1 AS src", "id AS dst", "id AS ord")
+    out = graph.traces(edges, spark.createDataFrame([(299,), (2,), (2,)], "node long"), 10)
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == sorted([(299, k, 299 - k) for k in range(11)] + 2 * [(2, k, 2 - k) for k in range(3)])
+    made = []
+    monkeypatch.setattr(graph, "dealt", lambda df, key: made.append(key) or session.dealt(df, key))
+    graph.traces(edges, spark.createDataFrame([(2,)], "node long"), 2)
+    assert made == ["dst"]
