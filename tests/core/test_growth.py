@@ -2,9 +2,11 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from callweave import session
 from callweave.catalog_program import QUERIES
-from callweave.operators import graph, lookups, matching, paths, soundness
+from callweave.operators import graph, lookups, matching, paths, pattern_match, soundness
 from callweave.plans.fixpoint import fixpoint
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +106,16 @@ def test_traces_deal_the_first_edges_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "dealt", lambda df, key: made.append(key) or session.dealt(df, key))
     graph.traces(edges, spark.createDataFrame([(2,)], "node long"), 2)
     assert made == ["dst"]
+
+
+def test_patterns_are_asked_at_once(spark):
+    """Paths are made once, however many patterns there are; a path of two rows counts once."""
+    rows = [("i", "import", None, "m1", True), ("p", "prop", "i", "bind", None), ("c", "call", "p", "", None), ("c", "call", "p", "", None), ("d", "call", "i", "", None)]
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: made.add(1) or x)
+    paths_ = spark.createDataFrame(rows, "ap string, kind string, on string, name string, default boolean").repartition(1).withColumn("name", seen.asNondeterministic()("name"))
+    args = spark.createDataFrame([("c", 0)], "ap string, pos int")
+    texts = ["import m*", "importD m1", "read <m1>.bind", "readO <m1>.bind", "call <m1>", "call {<m2>,<m1>.bind} [1,1]", "call <m1>.bind [2,2]", "call <m1>"]
+    out = sorted(map(tuple, pattern_match.matches(paths_, args, texts).collect()))
+    assert out == sorted([("import m*", "i"), ("importD m1", "i"), ("read <m1>.bind", "p"), ("call <m1>", "d"), ("call {<m2>,<m1>.bind} [1,1]", "c")])
+    assert made.value == len(rows)
