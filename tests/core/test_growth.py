@@ -1,12 +1,14 @@
 """What queries shuffle and how often they do it, as tables grow."""
 
+import os
 import re
 
 from pyspark.sql import functions as F
 
 from callweave import session
+from callweave.catalog_facts import solver_facts
 from callweave.catalog_program import QUERIES
-from callweave.operators import graph, lookups, matching, paths, pattern_match, soundness
+from callweave.operators import graph, lookups, matching, paths, pattern_match, solver, soundness
 from callweave.plans.fixpoint import fixpoint
 
 SF = "/root/testdata/sf0.001"
@@ -119,3 +121,26 @@ def test_patterns_are_asked_at_once(spark):
     out = sorted(map(tuple, pattern_match.matches(paths_, args, texts).collect()))
     assert out == sorted([("import m*", "i"), ("importD m1", "i"), ("read <m1>.bind", "p"), ("call <m1>", "d"), ("call {<m2>,<m1>.bind} [1,1]", "c")])
     assert made.value == len(rows)
+
+
+def shared_files(spark):
+    """Folders in the shared one that hold files."""
+    at = session.shared_dir(spark)
+    return {os.path.relpath(d, at).split("/")[0] for d, _, files in os.walk(at) if files}
+
+
+def settings(spark):
+    return [spark.conf.get(f"spark.sql.{k}") for k in ("autoBroadcastJoinThreshold", "classic.shuffleDependency.fileCleanup.enabled")]
+
+
+def test_the_solver_broadcasts_little_and_keeps_only_what_is_known(spark, monkeypatch):
+    """Within the rounds large files are not broadcast and shuffles are removed; what stays is the solution's own tables, no checkpoints."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    own, during = settings(spark), []
+    monkeypatch.setattr(solver, "fixpoint", lambda *a, **k: during.append(settings(spark)) or fixpoint(*a, **k))
+    before = shared_files(spark)
+    out = solver.solve(solver_facts(spark, SF))
+    assert during == [[str(session.BROADCAST), "true"]] and settings(spark) == own
+    read = {re.search("callweave-[0-9a-f]+", f)[0] for df in out.values() for f in df.inputFiles()}
+    left = shared_files(spark) - before
+    assert read <= left and len(left - read) <= 1 and not any(x.startswith("rdd") for x in left), left - read  # `live` is of the rounds
