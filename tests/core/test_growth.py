@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from callweave import session
 from callweave.catalog_facts import solver_facts
-from callweave.catalog_program import QUERIES
-from callweave.operators import graph, lookups, matching, paths, pattern_match, solver, soundness
+from callweave.catalog_program import QUERIES, program
+from callweave.operators import construct, graph, lookups, matching, paths, pattern_match, solver, soundness
 from callweave.plans.fixpoint import fixpoint
 
 SF = "/root/testdata/sf0.001"
@@ -144,3 +144,10 @@ def test_the_solver_broadcasts_little_and_keeps_only_what_is_known(spark, monkey
     read = {re.search("callweave-[0-9a-f]+", f)[0] for df in out.values() for f in df.inputFiles()}
     left = shared_files(spark) - before
     assert read <= left and len(left - read) <= 1 and not any(x.startswith("rdd") for x in left), left - read  # `live` is of the rounds
+
+
+def test_paths_keep_only_their_levels(spark):
+    before = shared_files(spark)
+    out = construct.keyed(program(spark, SF)["paths"])
+    read = {re.search("callweave-[0-9a-f]+", f)[0] for f in out.inputFiles()}
+    assert shared_files(spark) - before == read and out.count() > 0
