@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from callweave import session
 from callweave.catalog_facts import solver_facts
 from callweave.catalog_program import QUERIES, program
-from callweave.operators import construct, graph, lookups, matching, paths, pattern_match, solver, soundness
+from callweave.operators import construct, graph, lookups, matching, paths, pattern_match, scan, solver, soundness
 from callweave.plans.fixpoint import fixpoint
 
 SF = "/root/testdata/sf0.001"
@@ -151,3 +151,14 @@ def test_paths_keep_only_their_levels(spark):
     out = construct.keyed(program(spark, SF)["paths"])
     read = {re.search("callweave-[0-9a-f]+", f)[0] for f in out.inputFiles()}
     assert shared_files(spark) - before == read and out.count() > 0
+
+
+def test_what_a_scan_holds_is_compressed(spark):
+    """Advisories that are held are tables, not checkpoints of raw rows."""
+    before = shared_files(spark)
+    adv = spark.createDataFrame([(1, "l", "1", "2", "call <l>"), (None, "l", "1", "2", "call <l>")], "id long, library string, low string, high string, pattern string")
+    dep, returns = spark.createDataFrame([("l", "1.5.0")], "library string, version string"), spark.createDataFrame([], "fn long, returned long")
+    defs = spark.createDataFrame([("l", None, 7)], "library string, prop string, fn long")
+    out = scan.hits(adv, dep, defs, returns, spark.createDataFrame([(7,)], "node long"))
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "l", 7), (None, "l", 7)]
+    assert not any(x.startswith("rdd") or len(x) == 36 for x in shared_files(spark) - before)
