@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,10 +90,16 @@ def illegal_loads(events: DataFrame, allowed: DataFrame, builtin: Column | None
 
 #: The entry of a package's model that describes the module itself.
 MAIN = "MAIN_MODULE"
+#: Hooks that a model is told by; rows of others aren't moved.
+TOLD = ("loaded", "read", "invoke", "bound", "builtin", "function")
 HOOKS = "stream long, ts timestamp, event_id long, hook string, client boolean, base string, object string, name string, type string, place string"
 SHAPE = "stream long, ts timestamp, event_id long, path string, value string"
 
 
+#: Where a time is missing.
+NO_TIME = np.iinfo("int64").min
+
+
 class _Seen:
     """What a run has shown of its library so far: objects by path, functions by name, bound functions, the module, and whether a call into it is under way."""
 
@@ -139,13 +147,32 @@ class _Seen:
         return None
 
 
+class _Hook(NamedTuple):
+    ts: int
+    event_id: int
+    hook: str
+    client: bool
+    base: str | None
+    object: str | None
+    name: str | None
+    type: str | None
+    place: str | None
+
+
 def _shapes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Runs are many and short: their rows are taken as lists, since each step over a frame costs more than all their events."""
     seen = _Seen(state.get[0] if state.exists else None)
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    rows = rows.astype({c: object for c in ("base", "object", "name", "type", "place")}).where(rows.notna(), None)
-    out = [(key[0], e.ts, e.event_id, *added) for e in rows.itertuples(index=False) if (added := seen.take(e))]
+    rows = []
+    for f in frames:
+        at = f["ts"].to_numpy("datetime64[ns]").view("int64").tolist()
+        rows += map(_Hook, at, *(f[c].tolist() for c in _Hook._fields[1:]))
+    rows.sort(key=lambda e: (e.ts == NO_TIME, e.ts, e.event_id))
+    out = [(e.ts, e.event_id, *added) for e in rows if (added := seen.take(e))]
     state.update((str(seen),))
-    yield pd.DataFrame(out, columns=["stream", "ts", "event_id", "path", "value"]).astype({"stream": "int64", "event_id": "int64", "ts": "datetime64[ns]"})
+    if out:
+        ts, ids, paths, values = zip(*out, strict=True)
+        own = {"stream": np.full(len(out), key[0], "int64"), "ts": np.array(ts, "int64").view("datetime64[ns]"), "event_id": np.array(ids, "int64")}
+        yield pd.DataFrame({**own, "path": np.array(paths, object), "value": np.array(values, object)})
 
 
 def shapes(hooks: DataFrame) -> DataFrame:
@@ -158,7 +185,8 @@ def shapes(hooks: DataFrame) -> DataFrame:
     client code calls into the library. Entered on a receiver that no read gave, a function is under `undefined`. State
     is one text a run, as large as what its client code has read.
     """
-    return hooks.groupBy("stream").applyInPandasWithState(_shapes, SHAPE, "seen string", "append", GroupStateTimeout.NoTimeout)
+    told = hooks.where(F.col("hook").isin(*TOLD))
+    return told.groupBy("stream").applyInPandasWithState(_shapes, SHAPE, "seen string", "append", GroupStateTimeout.NoTimeout)
 
 
 def package_model(shape: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from callweave import session
@@ -10,6 +11,7 @@ from callweave.catalog_facts import solver_facts
 from callweave.catalog_program import QUERIES, program
 from callweave.operators import construct, graph, lookups, matching, paths, pattern_match, scan, solver, soundness
 from callweave.plans.fixpoint import fixpoint
+from callweave.streaming import live
 
 SF = "/root/testdata/sf0.001"
 
@@ -162,3 +164,28 @@ def test_what_a_scan_holds_is_compressed(spark):
     out = scan.hits(adv, dep, defs, returns, spark.createDataFrame([(7,)], "node long"))
     assert sorted(map(tuple, out.collect()), key=str) == [(1, "l", 7), (None, "l", 7)]
     assert not any(x.startswith("rdd") or len(x) == 36 for x in shared_files(spark) - before)
+
+
+class _State:
+    """A run's state, held here."""
+
+    def __init__(self):
+        self.get, self.exists = (), False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+
+def test_runs_are_taken_without_steps_over_frames(monkeypatch):
+    """A run of few events pays for no sorting, casting or joining of frames; missing values stay missing, what adds nothing gives no frame."""
+    for name in ("sort_values", "astype", "where", "itertuples"):
+        monkeypatch.setattr(pd.DataFrame, name, lambda *a, **k: 1 / 0)
+    at = [pd.Timestamp("2024-01-01 00:00:03.000004"), None, pd.Timestamp("2024-01-01 00:00:01"), pd.Timestamp("2024-01-01 00:00:02")]
+    rows = [("read", True, "m", "o", "a", "number", ""), ("read", True, "m", "o", "z", "string", ""), ("loaded", True, None, "m", None, "object", None), ("invoke", None, "m", None, None, None, None)]
+    frame = pd.DataFrame([(t, k, *r) for k, (t, r) in enumerate(zip(at, rows, strict=True))], columns=["ts", "event_id", "hook", "client", "base", "object", "name", "type", "place"])
+    state = _State()
+    (out,) = live._shapes((7,), iter([frame[:2], frame[2:]]), state)
+    assert out["path"].tolist() == [live.MAIN, "a", "z"] and out["value"].tolist() == ["object", "number", "string"]
+    assert out["ts"].tolist()[:2] == [at[2], at[0]] and out["ts"].isna().tolist() == [False, False, True]
+    assert set(out["stream"]) == {7} and out["event_id"].tolist() == [2, 0, 1]
+    assert list(live._shapes((7,), iter([frame[3:]]), state)) == [] and state.get[0].endswith("true]")
