@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callweave.llm import words, workers
-from callweave.session import written
+from callweave.session import WIDE_ROWS, written
 
 ORDER = 4
 #: Code points there can be: what a model without any count spreads evenly over.
@@ -35,8 +35,6 @@ SHARD_SIZE = 32 << 20
 LEVEL = 9
 #: 64 bits stand for an n-gram inside a shard: two of a million are taken for one another once in 40 million shards.
 PLACE = words.constants(16, 41)
-#: Shards are wide rows: row groups are closed by their bytes, not after a hundred rows.
-WIDE_ROWS = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 def text_chunks(texts: pa.Array):

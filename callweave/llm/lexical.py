@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from callweave.llm import words
 from callweave.llm.workers import mapped
-from callweave.session import table, written
+from callweave.session import WIDE_ROWS, table, written
 
 #: Bytes and documents of a segment; a longer text is a segment of its own.
 SEGMENT, SEGMENT_DOCS = 4 << 20, 4096
+#: Whoever reads the index holds a row group unpacked, which is several times as large as it is written.
+INDEX_ROWS = WIDE_ROWS | {"parquet.block.size": 4 << 20}
 #: Items and bytes of a block of queries; a longer item is a block of its own.
 BLOCK_ITEMS, BLOCK_BYTES = 1024, 1 << 20
 #: Scores that are held at a time.
@@ -116,7 +118,7 @@ def indexed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = mapped(texts, _sizes, "docs long, terms long").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
-    return Index(written(mapped(texts, partial(_segments, *size), SEGMENTS)), *size)
+    return Index(written(mapped(texts, partial(_segments, *size), SEGMENTS), **INDEX_ROWS), *size)
 
 
 @dataclass

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from callweave.llm import lexical
 
@@ -86,3 +87,11 @@ def test_lengths_beyond_64_bits():
 def test_empty_tables(spark):
     for docs, items in (([], [(1, "a")]), ([(1, "a")], []), ([(1, None)], [(1, "a")])):
         assert answered(spark, docs, items) == []
+
+
+def test_row_groups_hold_few_segments(spark):
+    """Readers hold a row group unpacked, so it must not grow with what a task reads."""
+    docs = spark.range(4).repartition(1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 600000), x -> concat('w', x * 4 + id)), ' ') AS text")
+    index = lexical.indexed(docs)
+    groups = [m.row_group(k).num_rows for f in index.segments.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for k in range(m.num_row_groups)]
+    assert groups == [1, 1, 1, 1] and (index.docs, index.terms) == (4, 2_400_000)
