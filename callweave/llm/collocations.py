@@ -34,19 +34,21 @@ CELLS, RANGE = 1 << 26, 1 << 17
 ROWS = 2
 #: Bytes of text whose candidates share an automaton; a longer text is taken alone.
 SHARD = 16 << 20
+#: Candidates in one automaton; a shard that has more is gone over several times. Where the sketch tells nothing apart, a shard has some three million.
+NAMES = 1 << 18
 LONGEST = 3
 #: Bytes that end a piece, and word bytes: all but those and blanks.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 WORD = np.ones(256, bool)
 WORD[[0x20, 0x09, *BREAKS]] = False
+BREAK = np.zeros(256, bool)
+BREAK[[*BREAKS]] = True
 SEEDS = words.constants(LONGEST, 13)
 
 
 def pieces(w: words.Words) -> np.ndarray:
     """The number of each word's piece; pieces end at breaks and with their text."""
-    cut = np.zeros(len(w.data) + 1, np.int64)
-    cut[1:] = np.cumsum(np.isin(w.data, np.frombuffer(BREAKS, np.uint8)))
-    return cut[w.start] + w.row
+    return np.searchsorted(np.flatnonzero(BREAK[w.data]), w.start) + w.row
 
 
 def grams(w: words.Words, lang: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -54,7 +56,7 @@ def grams(w: words.Words, lang: np.ndarray) -> list[tuple[np.ndarray, np.ndarray
     piece, own = pieces(w), words.mix(w.hash ^ lang[w.row])
     out = []
     for k in range(1, LONGEST + 1):
-        at = np.flatnonzero(piece[k - 1 :] == piece[: len(piece) - k + 1]) if len(piece) >= k else np.zeros(0, np.int64)
+        at = np.flatnonzero(piece[k - 1 :] == piece[: len(piece) - k + 1]).astype(np.int32) if len(piece) >= k else np.zeros(0, np.int32)
         h = np.zeros(len(at), np.uint64)
         for j in range(k):
             h += own[at + j] * SEEDS[j]
@@ -138,54 +140,81 @@ def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(runs: list[tuple[np.ndarray, np.ndarray]], n: int, bits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def candidates(runs: list[tuple[np.ndarray, np.ndarray]], n: int, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of the runs over n words, those that may be frequent: their cells are, and so are those of their parts."""
-    out, before = [], np.ones(n + 1, bool)
+    before = np.ones(n + 1, bool)
     for k, (h, at) in enumerate(runs):
         ok = held(bits, h) & before[at] & (before[at + 1] if k else True)
         before = np.zeros(n + 1, bool)
         before[at[ok]] = True
-        out.append((h[ok], at[ok]))
-    return out
+        yield h[ok], at[ok]
 
 
 def shard_counts(w: words.Words, lang: np.ndarray, bits: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Of texts of one language: candidates, how many words each has, and how often each occurs."""
+    names, long, f = zip(([], np.zeros(0, np.int32), np.zeros(0, np.int64)), *slices(w, lang, bits), strict=True)
+    return sum(names, []), np.concatenate(long), np.concatenate(f)
+
+
+def slices(w: words.Words, lang: np.ndarray, bits: np.ndarray) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """What shard_counts() gives, NAMES candidates at a time, each time with an automaton of their own; those that begin alike come together."""
     n = len(w.hash)
+    begin, stop, flat = spaced(w)
+    raw = flat.tobytes()
+    text = raw.decode()
+    firsts, longs, wants = [], [], []
+    for k, (h, at) in enumerate(candidates(grams(w, lang), n, bits)):
+        _, first, count = np.unique(h, return_index=True, return_counts=True)
+        firsts.append(at[first])
+        longs.append(np.full(len(first), k + 1, np.int32))
+        wants.append(count.astype(np.int32))
+    start, long, want = np.concatenate(firsts), np.concatenate(longs), np.concatenate(wants)
+    del firsts, longs, wants, flat, h, at, first, count
+    order = np.argsort(w.hash[start], kind="stable")
+    for low in range(0, len(order), NAMES):
+        own = order[low : low + NAMES]
+        size = long[own]
+        names = [raw[a:b].decode() for a, b in zip(begin[start[own]].tolist(), stop[start[own] + size - 1].tolist(), strict=True)]
+        found = scanned(names, text)
+        if not np.array_equal(found, want[own]):  # two phrases with one hash: name all of these hashes
+            every = set()
+            runs = grams(w, lang)
+            for k, ((h, at), (all_h, all_at)) in enumerate(zip(candidates(runs, n, bits), runs, strict=True)):
+                mine = all_h[np.isin(all_at, start[own[size == k + 1]])]
+                every |= {(raw[begin[i] : stop[i + k]].decode(), k + 1) for i in at[np.isin(h, mine)].tolist()}
+            names, size = [p for p, _ in every], np.array([k for _, k in every], np.int32)
+            found = scanned(names, text)
+        yield names, size, found
+
+
+def spaced(w: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each word begins, where it ends, bytes): each word with a blank before it, and a line break before each piece's first."""
     piece = pieces(w)
-    # each word with a blank before it, and a line break before each piece's first
     opens = np.concatenate([[True], piece[1:] != piece[:-1]])
     size = w.end - w.start
-    lead = np.where(opens, 3, 1)  # " \n " or " "
-    stop = np.cumsum(size + lead)
+    stop = np.cumsum(size + np.where(opens, 3, 1))  # " \n " or " "
     begin = stop - size
     flat = np.full(stop[-1] + 1, 0x20, np.uint8)
     flat[begin[opens] - 2] = 0x0A
-    flat[np.repeat(begin, size) + words.ragged(size)] = w.data[np.repeat(w.start, size) + words.ragged(size)]
-    names, long, want = [], [], []
-    for k, (h, at) in enumerate(candidates(grams(w, lang), n, bits)):
-        _, first, count = np.unique(h, return_index=True, return_counts=True)
-        names += [flat[a:b].tobytes().decode() for a, b in zip(begin[at[first]].tolist(), stop[at[first] + k].tolist(), strict=True)]
-        long.append(np.full(len(first), k + 1, np.int32))
-        want.append(count)
-    long, want = np.concatenate(long), np.concatenate(want)
-    if not names:
-        return names, long, want
-    found = scanned(names, flat)
-    if not np.array_equal(found, want):  # two phrases with one hash: name them all
-        every = {(flat[begin[i] : stop[i + k]].tobytes().decode(), k + 1) for k, (_, at) in enumerate(candidates(grams(w, lang), n, bits)) for i in at.tolist()}
-        names, long = [p for p, _ in every], np.array([k for _, k in every], np.int32)
-        found = scanned(names, flat)
-    return names, long, found
-
-
-def scanned(names: list[str], flat: np.ndarray) -> np.ndarray:
+    flat[covered(begin, stop, len(flat))] = w.data[covered(w.start, w.end, len(w.data))]
+    return begin, stop, flat
+
+
+def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places, whether one of the ranges, of which no two meet, has it."""
+    step = np.zeros(n + 1, np.int8)
+    step[start] = 1
+    step[end] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8).view(bool)
+
+
+def scanned(names: list[str], text: str) -> np.ndarray:
     """How often each name occurs between blanks, overlapping matches included."""
     automaton = ahocorasick.Automaton()
     for i, name in enumerate(names):
         automaton.add_word(f" {name} ", i)
     automaton.make_automaton()
-    return np.bincount(np.fromiter((i for _, i in automaton.iter(flat.tobytes().decode())), np.int64), minlength=len(names))
+    return np.bincount(np.fromiter((i for _, i in automaton.iter(text)), np.int64), minlength=len(names))
 
 
 COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64())])
@@ -216,9 +245,9 @@ def _counted(bits, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for w in words.chunks(own, WORD, SHARD):
                 if not len(w.hash):
                     continue
-                phrases, long, f = shard_counts(w, np.full(len(w.ptr) - 1, hashes[i]), bits.value)
                 yield pa.record_batch([pa.array([lang], pa.string()), pa.array([""], pa.string()), pa.array([0], pa.int32()), pa.array([len(w.hash)], pa.int64())], schema=COUNTS)
-                yield pa.record_batch([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(long, pa.int32()), pa.array(f, pa.int64())], schema=COUNTS)
+                for phrases, long, f in slices(w, np.full(len(w.ptr) - 1, hashes[i]), bits.value):
+                    yield pa.record_batch([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(long, pa.int32()), pa.array(f, pa.int64())], schema=COUNTS)
 
 
 def phrase_counts(docs: DataFrame, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -88,3 +88,25 @@ def test_large_counts_are_exact(spark):
 def test_least_is_bounded(spark):
     with pytest.raises(ValueError, match="255"):
         collocations.phrase_counts(spark.createDataFrame([("a", "en")], "text string, lang string"), 256)
+
+
+def test_few_candidates_share_an_automaton(monkeypatch):
+    """Of a shard whose n-grams are all candidates, few are held at a time; all are counted, those with one hash too."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    text = " ".join(rng.choice(["a", "b", "ouï", "日本", "c.", "d,", "e"]) for _ in range(400))
+    w = next(words.chunks(pa.array([text, "", "a b", "b"]), collocations.WORD))
+    bits, sizes = np.full((collocations.ROWS, collocations.CELLS // 8), 255, np.uint8), []
+    scanned, grams = collocations.scanned, collocations.grams
+    monkeypatch.setattr(collocations, "scanned", lambda names, text: sizes.append(len(names)) or scanned(names, text))
+    want = Counter()
+    for piece in [p.split() for t in (text, "a b", "b") for p in re.split("[.,]", t)]:
+        want.update(" ".join(piece[i : i + k]) for k in (1, 2, 3) for i in range(len(piece) - k + 1))
+    monkeypatch.setattr(collocations, "NAMES", 16)
+    for fold in (0, 48, 62):  # bits of hashes that are dropped: the more, the more phrases have one hash
+        monkeypatch.setattr(collocations, "grams", lambda w, lang, fold=fold: [(h >> np.uint64(fold), at) for h, at in grams(w, lang)])
+        names, long, f = collocations.shard_counts(w, np.zeros(len(w.ptr) - 1, np.uint64), bits)
+        assert len(names) == len(want) and dict(zip(names, f.tolist(), strict=True)) == want
+        assert [x.count(" ") + 1 for x in names] == long.tolist()
+        assert fold or max(sizes) == 16
