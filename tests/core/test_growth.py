@@ -189,3 +189,23 @@ def test_runs_are_taken_without_steps_over_frames(monkeypatch):
     assert out["ts"].tolist()[:2] == [at[2], at[0]] and out["ts"].isna().tolist() == [False, False, True]
     assert set(out["stream"]) == {7} and out["event_id"].tolist() == [2, 0, 1]
     assert list(live._shapes((7,), iter([frame[3:]]), state)) == [] and state.get[0].endswith("false]")  # nobody is known to have called
+
+
+def test_only_paths_that_others_lead_to_go_through_rounds(spark, monkeypatch):
+    """Of what paths call by themselves, rounds look at what others lead to; calls are not joined to what they stand on."""
+    at = (1, 0, 1, 9)
+    rows = [(f"f{k}", "function", None, None, f"/f{k}.js", None, at) for k in range(50)] + [("b", "prop", "f3", "bind", "/a.js", None, at), ("c", "call", "b", None, "/a.js", None, at), ("d", "call", "c", None, "/a.js", None, at)]
+    k = construct.keyed(spark.createDataFrame(rows, "ap string, kind string, on string, name string, file string, target string, place struct<sl:int,sc:int,el:int,ec:int>"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    args = spark.createDataFrame([("d", 2, "y"), ("d", 2, "x"), ("d", 0, "z"), ("d", 0, "z"), ("d", 1, None)], "ap string, pos int, arg string")
+    taken = []
+    monkeypatch.setattr(construct, "fixpoint", lambda base, step: taken.append(base["callee"].count()) or fixpoint(base, step))
+    callee = construct.callees(k, args, none("file string, path string, fn string"), none("file string, prop string, ap string"))
+    assert taken == [1]
+    key = {r.ap: r.node_key for r in k.collect()}
+    assert sorted(map(tuple, callee.collect())) == sorted([(a, key[a]) for a in key] + [("c", key["f3"])])
+    before = shared_files(spark)
+    out = construct.seeds(spark.createDataFrame([("f0", "d"), ("f0", "d"), ("f1", "b")], "fn string, ap string"), k, args, callee)
+    edge, read = f"{key['f0']} --{key['d']}:z;;x, y from /a.js:1:0:1:9", f"{key['f1']} --{key['b']}: from /a.js:1:0:1:9"
+    assert sorted(map(tuple, out.collect())) == sorted([(edge, "d", key["c"], key["c"]), (edge, "d", key["f3"], key["c"]), (read, "b", "GETTER<bind>", "GETTER<bind>")])
+    assert len(shared_files(spark) - before) == 1  # uses with their edges; what they are made from is gone
