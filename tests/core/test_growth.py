@@ -2,6 +2,7 @@
 
 import os
 import re
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from callweave import session
 from callweave.catalog_facts import solver_facts
 from callweave.catalog_program import QUERIES, program
 from callweave.operators import construct, graph, lookups, matching, paths, pattern_match, scan, solver, soundness
+from callweave.plans import fixpoint as rounds
 from callweave.plans.fixpoint import fixpoint
 from callweave.streaming import live
 
@@ -209,3 +211,32 @@ def test_only_paths_that_others_lead_to_go_through_rounds(spark, monkeypatch):
     edge, read = f"{key['f0']} --{key['d']}:z;;x, y from /a.js:1:0:1:9", f"{key['f1']} --{key['b']}: from /a.js:1:0:1:9"
     assert sorted(map(tuple, out.collect())) == sorted([(edge, "d", key["c"], key["c"]), (edge, "d", key["f3"], key["c"]), (read, "b", "GETTER<bind>", "GETTER<bind>")])
     assert len(shared_files(spark) - before) == 1  # uses with their edges; what they are made from is gone
+
+
+def test_large_rounds_take_one_relation_after_the_other(spark, monkeypatch):
+    """What one relation shuffles is gone before the next begins, where rounds begin with many rows; the rows are the same."""
+    import threading
+
+    at_once, most, lock, keep = [], [], threading.Lock(), rounds.Known.keep
+
+    def kept(self, derived):
+        with lock:
+            at_once.append(self)
+            most.append(len(at_once))
+        time.sleep(0.5)
+        try:
+            return keep(self, derived)
+        finally:
+            with lock:
+                at_once.remove(self)
+
+    monkeypatch.setattr(rounds.Known, "keep", kept)
+    base = {"a": spark.range(3).toDF("x"), "b": spark.range(5, 7).toDF("x")}
+    step = lambda every, new: {"a": new["b"].where("x < 12").select((F.col("x") + 1).alias("x")), "b": new["a"].where("x < 12").select((F.col("x") + 1).alias("x"))}
+    got = []
+    for together, n in ((10, 2), (0, 1)):
+        monkeypatch.setattr(rounds, "TOGETHER", together)
+        most.clear()
+        got.append({k: sorted(r.x for r in df.collect()) for k, df in fixpoint(base, step, max_rounds=3).items()})
+        assert max(most) == n
+    assert got[0] == got[1] == {"a": [0, 1, 2, 3, 4, 6, 7, 8, 9], "b": [1, 2, 3, 4, 5, 6, 7, 8]}
